@@ -27,7 +27,7 @@ PENALTY = 8.0  # nats that a language must add to a document's likelihood, besid
 SAMPLE_DOCS = 4_000  # labelled documents that the models may be fitted to, besides the clean samples
 SAMPLE_CHARS = 20_000  # only documents up to this length are taken into that sample
 SURE = 0.999  # posterior from which a sentence of that sample is fitted to
-BATCH_CHARS = 4_000_000  # characters of text estimated together
+BATCH_CHARS = 1_000_000  # characters of text estimated together
 
 # Language labels. Codes of two and three letters, and English names.
 LABELS = {
@@ -351,13 +351,15 @@ def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def detect(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: `doc_id`, `lang`, `confidence`, `shares` and `segments`.
+    """One row per document: `doc_id`, `stated`, `lang`, `confidence`, `shares` and `segments`.
+
+    `stated` is the language that the document's `lang` states, null without such a column.
 
     `lang` is the language of the greatest share and `confidence` that share times the mean certainty of its
     sentences; both are null where there is no prose (null or empty texts, code only). `shares` are the
     languages of the mixture. `segments` are all sentences and phrases of the prose with place, language,
     confidence and whether they are a full sentence of `min_words` words or more. Repeated rows give
-    repeated rows; other columns than doc_id and text are not read.
+    repeated rows; other columns than doc_id, text and lang are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the table, not by the data
 
@@ -382,6 +384,7 @@ def detect(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFra
             confidence = share * certainty / np.maximum(number, 1)
             yield pd.DataFrame({
                 "doc_id": part["doc_id"].to_numpy(),
+                "stated": part["stated"].to_numpy(),
                 "lang": np.where(some, langs[main], None),
                 "confidence": np.where(some, confidence, np.nan),
                 "shares": [
@@ -392,21 +395,22 @@ def detect(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFra
             })
 
     schema = (
-        "doc_id long, lang string, confidence double, shares array<struct<lang:string,share:double>>,"
+        "doc_id long, stated string, lang string, confidence double, shares array<struct<lang:string,share:double>>,"
         " segments array<struct<start:int,stop:int,lang:string,confidence:double,words:int,full:boolean>>"
     )
-    out = docs.select("doc_id", "text").mapInPandas(estimate, schema)
+    label = stated(F.col("lang")) if "lang" in docs.columns else F.lit(None).cast("string")
+    out = docs.select("doc_id", "text", label.alias("stated")).mapInPandas(estimate, schema)
     return out.withColumn("confidence", F.nanvl("confidence", F.lit(None).cast("double")))
 
 
 def unstated(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lang, sentences, confidence): languages of full sentences of a document that its label does not state.
 
-    `sentences` counts them and `confidence` is that of the surest. Null doc_ids are ids like any other;
-    repeated rows count once.
+    `sentences` counts them and `confidence` is that of the surest. The label goes through the estimate with its
+    text, so no text is shuffled. Null doc_ids are ids like any other; repeated rows count once, and of
+    different rows with one doc_id each is held against its own label.
     """
-    found = detect(docs.select("doc_id", "text", "lang").distinct().select("doc_id", "text"), model, min_words)
-    full = found.select("doc_id", F.explode("segments").alias("s")).where("s.full")
-    by = full.groupBy("doc_id", F.col("s.lang").alias("lang")).agg(F.count("*").alias("sentences"), F.max("s.confidence").alias("confidence"))
-    labels = docs.select(F.col("doc_id").alias("_id"), stated(F.col("lang")).alias("_stated")).where("_stated IS NOT NULL").distinct()
-    return by.join(labels, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_stated")), "left_anti")
+    full = detect(docs, model, min_words).select("doc_id", "stated", F.posexplode("segments").alias("at", "s")).where("s.full")
+    other = full.where(~F.col("s.lang").eqNullSafe(F.col("stated")))
+    by = other.groupBy("doc_id", F.col("s.lang").alias("lang"), "at").agg(F.max("s.confidence").alias("confidence"))
+    return by.groupBy("doc_id", "lang").agg(F.count("*").alias("sentences"), F.max("confidence").alias("confidence"))
