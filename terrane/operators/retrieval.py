@@ -25,6 +25,10 @@ def _doc_text() -> Column:
     return F.concat_ws(" ", "title", "title", "hint", "hint", "content")
 
 
+def _count(array: str, term: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == term))
+
+
 def bm25(chunks: DataFrame, question: str, k: int = 6) -> DataFrame:
     """The `k` chunks that answer a question best: (chunk_id, score), the greater id first on ties.
 
@@ -38,7 +42,7 @@ def bm25(chunks: DataFrame, question: str, k: int = 6) -> DataFrame:
     if not terms:
         return chunks.select("chunk_id", F.lit(0).cast("decimal(18,4)").alias("score")).limit(0)
     one = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "built_at", tokens(_doc_text()).alias("t"))
-    tf = [F.size(F.filter("t", lambda x, term=t: x == term)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [_count("t", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = one.select("chunk_id", "built_at", F.size("t").alias("len"), *tf)
     names = ["len", *(f"tf{i}" for i in range(len(terms)))]
     counted = counted.groupBy("chunk_id").agg(F.max(F.struct("built_at", *names)).alias("x")).select("chunk_id", "x.*")

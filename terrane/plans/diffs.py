@@ -17,9 +17,9 @@ b AS (SELECT cur.table_name, cur.column_name, cur.data_type, coalesce(a.nullable
   FROM cur LEFT JOIN a ON a.table_name = cur.table_name AND a.column_name = cur.column_name),
 ta AS (SELECT DISTINCT full_name, table_comment FROM tables_state), tb AS (SELECT DISTINCT b.table_name AS full_name, ta.table_comment FROM b LEFT JOIN ta ON ta.full_name = b.table_name),
 j AS (SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name, a.table_name IS NULL AS added, b.table_name IS NULL AS removed,
-  a.data_type AS at, b.data_type AS bt, a.nullable AS an, b.nullable AS bn FROM a FULL JOIN b ON a.table_name = b.table_name AND a.column_name = b.column_name),
+  a.data_type AS ty_a, b.data_type AS ty_b, a.nullable AS an, b.nullable AS bn FROM a FULL JOIN b ON a.table_name = b.table_name AND a.column_name = b.column_name),
 cc AS (SELECT table_name, column_name, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' ELSE 'modified' END AS change,
-  CASE WHEN added OR removed THEN '' ELSE 'type: ' || coalesce(at, 'None') || '→' || coalesce(bt, 'None') END AS diffs, NOT added AS breaking, at, bt FROM j WHERE added OR removed OR at IS DISTINCT FROM bt),
+  CASE WHEN added OR removed THEN '' ELSE 'type: ' || coalesce(ty_a, 'None') || '→' || coalesce(ty_b, 'None') END AS diffs, NOT added AS breaking, ty_a, ty_b FROM j WHERE added OR removed OR ty_a IS DISTINCT FROM ty_b),
 tj AS (SELECT coalesce(ta.full_name, tb.full_name) AS full_name, ta.full_name IS NULL AS added, tb.full_name IS NULL AS removed FROM ta FULL JOIN tb ON ta.full_name = tb.full_name),
 cn AS (SELECT table_name, count(*) AS n, bool_or(breaking) AS bad FROM cc GROUP BY 1),
 tc AS (SELECT full_name, CASE WHEN added THEN 'added' WHEN removed THEN 'removed' ELSE 'modified' END AS change, coalesce(n, 0) AS columns, removed OR (NOT added AND coalesce(bad, false)) AS breaking
@@ -67,8 +67,8 @@ _DRIFT = _AB + """, dr AS (
 SELECT CASE WHEN removed THEN 'missing_table' ELSE 'extra_table' END AS category, full_name AS table_name, NULL::VARCHAR AS column_name,
   CASE WHEN removed THEN '-- recreate table ' || full_name ELSE '-- DROP TABLE ' || full_name || ';' END AS repair, CASE WHEN removed THEN 'error' ELSE 'warning' END AS severity FROM tj WHERE added OR removed
 UNION ALL SELECT CASE change WHEN 'removed' THEN 'missing_column' WHEN 'added' THEN 'extra_column' ELSE 'type_mismatch' END, table_name, column_name,
-  CASE change WHEN 'removed' THEN 'ALTER TABLE ' || table_name || ' ADD (' || column_name || ' ' || at || ');' WHEN 'added' THEN 'ALTER TABLE ' || table_name || ' DROP COLUMN ' || column_name || ';'
-    ELSE 'ALTER TABLE ' || table_name || ' MODIFY (' || column_name || ' ' || at || ');' END, CASE change WHEN 'added' THEN 'warning' ELSE 'error' END
+  CASE change WHEN 'removed' THEN 'ALTER TABLE ' || table_name || ' ADD (' || column_name || ' ' || ty_a || ');' WHEN 'added' THEN 'ALTER TABLE ' || table_name || ' DROP COLUMN ' || column_name || ';'
+    ELSE 'ALTER TABLE ' || table_name || ' MODIFY (' || column_name || ' ' || ty_a || ');' END, CASE change WHEN 'added' THEN 'warning' ELSE 'error' END
 FROM cc WHERE table_name IN (SELECT full_name FROM tj WHERE NOT added AND NOT removed))
 """
 

@@ -155,10 +155,10 @@ def p4_counts(spark, d):
 
 
 @query(
-    "p4_integer_keys",
+    "integer_orphan_keys",
     "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
 )
-def p4_integer_keys(spark, d):
+def integer_orphan_keys(spark, d):
     refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
     return orphans.orphan_keys(refs, table(spark, d, "orders").select(F.col("o_orderkey").alias("key")))
 

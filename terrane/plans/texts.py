@@ -116,3 +116,22 @@ def shrink_gate(spark, d):
 def split_statements(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(F.split("text", ";", -1)).alias("statement_no", "s")).select("doc_id", "statement_no", F.length("s").alias("chars"))
+
+
+_OP_KINDS = "'CREATE_TABLE', 'DROP_TABLE', 'ADD_COLUMN', 'MODIFY_COLUMN', 'DROP_COLUMN', 'ADD_CONSTRAINT', 'CREATE_INDEX', 'COMMENT'"
+
+
+@query(
+    "ddl_extract",
+    f"""SELECT op_id, operation, upper(trim(replace(table_name, '"', ''))) AS table_name,
+  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN', 'DROP_COLUMN') THEN upper(trim(replace(column_name, '"', ''))) END AS column_name,
+  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN') THEN data_type END AS data_type FROM operations WHERE raw_sql IS NOT NULL AND operation IN ({_OP_KINDS})""",
+)
+def ddl_extract(spark, d):
+    """Every statement's text parsed by our own extractor; the SQL takes what the log says of it."""
+    from terrane.ddl.extract import extract
+
+    ops = table(spark, d, "operations").where("raw_sql IS NOT NULL")
+    rows = extract(ops.select(F.col("op_id").cast("string").alias("filename"), F.col("raw_sql").alias("sql"))).where(f"op_idx = 0 AND operation IN ({_OP_KINDS})")
+    column = F.col("operation").isin("ADD_COLUMN", "MODIFY_COLUMN", "DROP_COLUMN")
+    return rows.select(F.col("filename").cast("bigint").alias("op_id"), "operation", "table_name", F.when(column, F.col("target")).alias("column_name"), "data_type")
