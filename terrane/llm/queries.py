@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm import lang, leak, mix, split
@@ -47,15 +48,10 @@ def p1_rebuilt(spark, d):
     """The texts put together again from their pieces without the overlaps."""
     p = _pieces(spark, d)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
-    before = F.lag("stop").over(split_window())
+    before = F.lag("stop").over(W.partitionBy("chunk_id", "chunk_type").orderBy("piece_no"))
     own = F.expr("substring(piece, 1 + coalesce(prev - start, 0))")
-    return p.withColumn("prev", before).withColumn("own", own).groupBy("chunk_id", "chunk_type").agg(F.sha2(text, 256).alias("digest")).select("chunk_id", "digest").distinct()
-
-
-def split_window():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("chunk_id", "chunk_type").orderBy("piece_no")
+    p = p.withColumn("prev", before).withColumn("own", own)
+    return p.groupBy("chunk_id", "chunk_type").agg(F.sha2(text, 256).alias("digest")).select("chunk_id", "digest").distinct()
 
 
 def _leaks(spark, d):
@@ -77,16 +73,16 @@ def _mix(spark, d):
     return mix.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-@query("p7_shares")
-def p7_shares(spark, d):
-    return _mix(spark, d).shares()
-
-
 @query("p7_mix")
 def p7_mix(spark, d):
     return _mix(spark, d).records().select("doc_id", "source", "copy_no", "text")
 
 
+@query("p7_shares")
+def p7_shares(spark, d):
+    return _mix(spark, d).shares()
+
+
 def _model(spark, d):
     return lang.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"))
 
