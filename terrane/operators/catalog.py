@@ -167,7 +167,7 @@ def orphan_sequences(sequences: DataFrame, names: DataFrame) -> DataFrame:
         return F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
 
     stem = F.regexp_replace(F.upper("sequence"), SEQUENCE_PREFIXES, "")
-    s = sequences.select("sequence", stem.alias("stem")).distinct()
+    s = sequences.where("sequence IS NOT NULL").select("sequence", stem.alias("stem")).distinct()
     names = names.select(F.upper("name").alias("name")).where("name <> ''").distinct()
     longer = s.where("stem <> ''").select("sequence", prefixes(F.col("stem")).alias("p")).join(names, F.col("p") == F.col("name"), "left_semi")
     starts = names.select(prefixes(F.col("name")).alias("_p")).distinct()

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrane.session import cut
+
 # Words that are no search terms.
 STOP_WORDS = (
     "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought"
@@ -68,6 +76,46 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int = 6) -> DataFrame:
     return rows.orderBy(F.desc("score"), F.desc("vec_id")).limit(k)
 
 
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2_000) -> DataFrame:
+    """The `k` vectors nearest to each of `queries` (vec_id, embedding): (query_id, vec_id, score, rank), the greater id first on ties.
+
+    A stated set of queries against all rows: queries go out in blocks of `block`, each task keeps its best `k` per
+    query and batch, and only those meet in the shuffle. Null ids, and vectors that are null or of another length
+    than the query, are passed over; repeated vectors count once.
+    """
+    spark = vectors.sparkSession
+    asked = cut(queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding").dropDuplicates(["vec_id"]), "queries")
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    parts = []
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
+        sent = spark.sparkContext.broadcast([(r.vec_id, np.array(r.embedding, dtype=float)) for r in own])
+
+        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for size in {len(v) for _, v in sent.value}:
+                same = [(i, v) for i, v in sent.value if len(v) == size]
+                by_size[size] = np.array([i for i, _ in same]), np.stack([v for _, v in same])
+            for batch in batches:
+                sizes = batch["embedding"].map(len)
+                for size, (ids, q) in by_size.items():
+                    part = batch[sizes == size].drop_duplicates("vec_id")
+                    if not len(part) or not size:
+                        continue
+                    v, vec = np.stack(part["embedding"].to_numpy()).astype(float), part["vec_id"].to_numpy()
+                    score = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9)
+                    score = np.round(score, 4)
+                    for i, row in zip(ids, score, strict=True):
+                        top = np.lexsort((-vec, -row))[:k]
+                        yield pd.DataFrame({"query_id": i, "vec_id": vec[top], "score": row[top]})
+
+        parts.append(rows.mapInPandas(nearest, "query_id long, vec_id long, score double"))
+    found = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").cast("decimal(18,4)").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def table_chunks(tables: DataFrame, columns: DataFrame, relationships: DataFrame) -> DataFrame:
     """One text per table: its columns in order with type and flags, then what it refers to."""
     line = F.concat(
@@ -92,7 +140,5 @@ def prompt(question: str, ranked: DataFrame, chunks: DataFrame) -> str:
 
 def history(turns: DataFrame, key: str, order: str, max_turns: int) -> DataFrame:
     """The last 2 * max_turns rows of each conversation."""
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
     return turns.withColumn("_r", rank).where(F.col("_r") <= 2 * max_turns).drop("_r")

@@ -162,6 +162,20 @@ def with_kinds(ops: DataFrame) -> DataFrame:
     )
 
 
+def statement_findings(kinds: DataFrame) -> DataFrame:
+    """Findings of single statements: (source_file, statement_index, code, severity)."""
+    text = one_line(F.col("raw_sql"))
+    view = text.rlike(r"^CREATE (OR REPLACE )?(MATERIALIZED )?VIEW\b")
+    trigger = text.rlike(r"^CREATE (OR REPLACE )?TRIGGER\b") & text.rlike(r"\b(IF|CASE)\b") & (F.length("raw_sql") > 500)
+    codes = F.array_compact(F.array(
+        F.when(F.col("kind") == "ADD COLUMN NOT NULL", F.struct(F.lit("ADD_NOT_NULL_NO_DEFAULT").alias("code"), F.lit("error").alias("severity"))),
+        F.when(view & text.rlike(r"\bSELECT \*"), F.struct(F.lit("SELECT_STAR_VIEW").alias("code"), F.lit("warning").alias("severity"))),
+        F.when(trigger, F.struct(F.lit("TRIGGER_WITH_BUSINESS_LOGIC").alias("code"), F.lit("warning").alias("severity"))),
+        F.when(F.col("kind") == "DELETE (no where)", F.struct(F.lit("LARGE_DELETE_NO_WHERE").alias("code"), F.lit("warning").alias("severity"))),
+    ))
+    return kinds.select("source_file", "statement_index", F.explode(codes).alias("f")).select("source_file", "statement_index", "f.code", "f.severity")
+
+
 def classify(kinds: DataFrame) -> DataFrame:
     """Per file its primary category (the first by priority), the others, and the worst risk of all."""
     names = list(CATEGORIES)

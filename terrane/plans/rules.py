@@ -39,6 +39,17 @@ def statement_kinds(spark, d):
     return kinds(spark, d).groupBy("kind", "level").agg(F.count("*").alias("n"))
 
 
+@query(
+    "statement_findings",
+    f"""WITH {_K}, z AS (SELECT k.*, one.x, one.raw_sql FROM k JOIN one ON k.source_file = one.source_file AND k.statement_index = one.statement_index)
+SELECT source_file, statement_index, 'ADD_NOT_NULL_NO_DEFAULT' AS code, 'error' AS severity FROM z WHERE kind = 'ADD COLUMN NOT NULL'
+UNION ALL SELECT source_file, statement_index, 'SELECT_STAR_VIEW', 'warning' FROM z WHERE kind = 'CREATE PROC/VIEW' AND regexp_matches(x, '\\bVIEW\\b.* SELECT \\*')
+UNION ALL SELECT source_file, statement_index, 'LARGE_DELETE_NO_WHERE', 'warning' FROM z WHERE kind = 'DELETE (no where)'""",
+)
+def statement_findings(spark, d):
+    return r.statement_findings(kinds(spark, d))
+
+
 _RANK = _case({n: i for i, n in enumerate(r.CATEGORIES)}, "category")
 _RISK = _case({n: r.RISKS.index(x) for n, x in r.CATEGORIES.items()}, "category")
 

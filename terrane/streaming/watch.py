@@ -16,7 +16,7 @@ class Shrunk(RuntimeError):
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
-    """Bursts of events of a key with less than `gap` between two: (key, first_ts, last_ts, events). Works on streams with a watermark."""
+    """Bursts of events of a key with at most `gap` between two: (key, first_ts, last_ts, events). Works on streams with a watermark."""
     by = events.groupBy(key, F.session_window(ts, gap))
     return by.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events")).select(key, "first_ts", "last_ts", "events")
 
