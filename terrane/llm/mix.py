@@ -18,6 +18,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY_BYTES = 32_000_000
 MAX_TARGETS = 10_000  # rows of the target table; it is a setting and is read by the driver
+HELD, EXACT = "held", "exact"  # sizes of a mix, see replication_rates
 LONG = 1_000_000  # characters; longer texts are counted in pieces cut at line ends or blanks
 
 _encoders: dict[str, object] = {}
@@ -118,14 +119,15 @@ def poisson_bounds(mean: float, most: int) -> list[float]:
     return bounds
 
 
-def replication_rates(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[Rate]:
-    """The rate of each target source.
+def replication_rates(counts: DataFrame, targets: DataFrame, size: int | str = HELD) -> list[Rate]:
+    """The rate of each target source for a mix of `size` tokens.
 
-    The mix is as large as it can be with every share met: the source that runs out first, at its
-    `max_repeats`, sets the size. `total_tokens` asks for a size; a source too small for it gives all that it
-    may, and the reached shares show it. Sources without tokens cannot contribute: the others keep their
-    proportions. Rows of the targets with a null name, or a share or repeats that are null or not above 0,
-    are passed over; of several rows of one source the one with the greatest share holds.
+    HELD asks for as many tokens as the target sources hold. A source whose share of that is more than it has,
+    `max_repeats` times, gives what it may, and the reached shares show it. EXACT asks for the largest mix in
+    which every share is met: the source that runs out first sets its size. Sources without tokens cannot
+    contribute; the others keep their proportions. Rows of the targets with a null name, or a share or repeats
+    that are null or not above 0, are passed over; of several rows of one source the one with the greatest
+    share holds.
     """
     named = targets.select(source_name(F.col("source_name")).alias("source"), "target_share", "max_repeats")
     named = named.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0")
@@ -137,12 +139,16 @@ def replication_rates(counts: DataFrame, targets: DataFrame, total_tokens: int |
     held = {r.source: int(r.n or 0) for r in sizes.collect()}  # no more rows than targets
     live = [r for r in rows if held.get(r.source, 0) > 0]
     whole = sum(r.t.target_share for r in live)
-    size = min((held[r.source] * r.t.max_repeats / (r.t.target_share / whole) for r in live), default=0.0)
-    size = size if total_tokens is None else float(total_tokens)
+    if size == HELD:
+        total = float(sum(held.values()))
+    elif size == EXACT:
+        total = min((held[r.source] * r.t.max_repeats / (r.t.target_share / whole) for r in live), default=0.0)
+    else:
+        total = float(size)
     out = []
     for r in sorted(rows, key=lambda r: r.source):
         n, most = held.get(r.source, 0), r.t.max_repeats
-        mean = min(float(most), r.t.target_share / whole * size / n) if n else 0.0
+        mean = min(float(most), r.t.target_share / whole * total / n) if n else 0.0
         out.append(Rate(r.source, r.t.target_share, most, n, mean, poisson_bounds(mean, most) if n else []))
     return out
 
@@ -170,13 +176,13 @@ class Mix:
         docs: DataFrame,
         targets: DataFrame,
         seed: int = 0,
-        total_tokens: int | None = None,
+        size: int | str = HELD,
         vocabulary_path: str = TOKENIZER,
     ):
         self.seed = seed
         self.docs = docs.withColumn("_draw", draw(seed))
         self.counts = cut(token_counts(self.docs, vocabulary_path), "tokens")
-        self.rates = replication_rates(self.counts, targets, total_tokens)
+        self.rates = replication_rates(self.counts, targets, size)
 
     def records(self) -> DataFrame:
         """The documents' own columns, with `copy_no` from 1 to a document's copies, in an order shuffled over everything."""

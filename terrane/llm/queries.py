@@ -69,8 +69,8 @@ def p6_items(spark, d):
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("windows").alias("most_windows"))
 
 
-def _mix(spark, d):
-    return mix.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+def _mix(spark, d, size=mix.HELD):
+    return mix.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=size)
 
 
 @query("p7_mix")
@@ -83,6 +83,12 @@ def p7_shares(spark, d):
     return _mix(spark, d).shares()
 
 
+@query("p7_shares_exact")
+def p7_shares_exact(spark, d):
+    """The shares of the largest mix that meets them all."""
+    return _mix(spark, d, mix.EXACT).shares()
+
+
 def _model(spark, d):
     return lang.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"))
 

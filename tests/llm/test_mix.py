@@ -29,7 +29,7 @@ def test_bounds_give_the_mean(mean, most):
 
 def test_shares_and_caps(spark):
     rows = [(i, f"text number {i} of the source " * (1 + i % 5), [" Big One", "big_one", "small", "tiny", None, "other"][i % 6], 1, 1) for i in range(6000)]
-    m = mix.Mix(docs(spark, rows), targets(spark, [("big one", 0.5, 1), ("small", 0.3, 3), ("tiny", 0.15, 2), ("absent", 0.05, 2)]))
+    m = mix.Mix(docs(spark, rows), targets(spark, [("big one", 0.5, 1), ("small", 0.3, 3), ("tiny", 0.15, 2), ("absent", 0.05, 2)]), size=mix.EXACT)
     got = {r.source_name: r for r in m.shares().collect()}
     assert got["absent"].actual_share == 0 and got["absent"].copies == 0
     for name, share in (("big_one", 0.5), ("small", 0.3), ("tiny", 0.15)):
@@ -46,6 +46,16 @@ def test_shares_and_caps(spark):
     assert order != sorted(order) and [r.doc_id for r in m.records().collect()] == order
 
 
+def test_sizes(spark):
+    rows = [(i, f"text number {i}", "big" if i % 10 else "small", 1, 1) for i in range(5000)]
+    d, t = docs(spark, rows), targets(spark, [("big", 0.5, 3), ("small", 0.5, 2)])
+    held = {r.source_name: r for r in mix.Mix(d, t).shares().collect()}
+    assert held["small"].mean_repeats == 2 and held["small"].most_repeats == 2 and held["small"].copies == 1000
+    assert abs(held["big"].mean_repeats - 0.5 / 0.9) < 0.01 and abs(held["small"].actual_share - 0.2 / 0.7) < 0.02
+    asked = mix.Mix(d, t, size=1000).shares().collect()
+    assert abs(sum(r.tokens for r in asked) - 1000) < 250
+
+
 def mix_name(s):
     return s.strip().lower().replace(" ", "_") if s else s
 
