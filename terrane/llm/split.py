@@ -20,61 +20,64 @@ _SENTENCE_ENDS = ".!?…。！？؟।"
 _CLAUSE_ENDS = ",;:、，；："
 _CLOSERS = "\"'”’»)]}›」』"
 _WIDE_ENDS = "。！？、，；："  # written without a space behind them
-_LINE_ENDS = "\n\r\u0085  "
-_JOINERS = "‍︎️"
+_LINE_ENDS = "\n\r\u0085\u2028\u2029"
+_JOINERS = "\u200d\ufe0e\ufe0f"
+
+PIECES = 5_000  # rows that a task gives back at a time
 
 _PIECES = "row struct<id:string,kind:string>, piece_no int, n_pieces int, start int, stop int, boundary string, piece string"
 
 
-def _codes(chars: str) -> np.ndarray:
-    return np.array(sorted(map(ord, chars)), dtype=np.uint32)
+@lru_cache(maxsize=200_000)
+def _traits(code: int) -> int:
+    """What a character is, as bits: white space, line end, closing mark, end of a sentence or clause, one written without a space, part of the one before."""
+    c = chr(code)
+    mark = not 0xD800 <= code < 0xE000 and unicodedata.category(c) in ("Mn", "Me", "Mc")
+    tests = (
+        c.isspace(), c in _LINE_ENDS, c in _CLOSERS, c in _SENTENCE_ENDS, c in _CLAUSE_ENDS, c in _WIDE_ENDS, mark or c in _JOINERS or 0x1F3FB <= code < 0x1F400,
+    )
+    return sum(1 << i for i, t in enumerate(tests) if t)
 
 
-@lru_cache(maxsize=1)
-def _spaces_and_marks() -> tuple[np.ndarray, np.ndarray]:
-    """White space, and characters that belong to the one before them, as sorted code points."""
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    spaces = "".join(c for c in every if c.isspace())
-    marks = "".join(c for c in every if unicodedata.category(c) in ("Mn", "Me", "Mc")) + _JOINERS
-    return _codes(spaces), _codes(marks + "".join(chr(c) for c in range(0x1F3FB, 0x1F400)))
+_SPACE, _LINE, _CLOSER, _ENDS_SENTENCE, _ENDS_CLAUSE, _WIDE, _JOINED = (1 << i for i in range(7))
 
 
 def cut_strengths(codes: np.ndarray) -> np.ndarray:
     """The strength of a cut before each place 0..n of a text given as code points.
 
-    White space stays with what it follows: only the place behind a run of it is a boundary, as strong
-    as the strongest of a blank line, a line end and the punctuation before the run.
+    White space stays with what is before it: only the place behind a run of it is a boundary, as strong as
+    the strongest of a blank line, a line end and the punctuation before the run.
     """
     n = len(codes)
     out = np.full(n + 1, INSIDE_WORD, dtype=np.int64)
-    if n == 0:
+    if n < 2:
         return out
-    spaces, marks = _spaces_and_marks()
-    space = np.isin(codes, spaces)
-    newline = np.isin(codes, _codes(_LINE_ENDS))
-    newline[1:] &= ~((codes[1:] == 10) & (codes[:-1] == 13))  # CR LF is one line end
-    lines_before = np.concatenate([[0], np.cumsum(newline)])
+    kinds, which = np.unique(codes, return_inverse=True)
+    bits = np.array([_traits(c) for c in kinds.tolist()])[which]
+    space, newline = (bits & _SPACE) > 0, (bits & _LINE) > 0
+    crlf = np.zeros(n, dtype=bool)
+    crlf[1:] = (codes[1:] == 10) & (codes[:-1] == 13)
+    lines_before = np.concatenate([[0], np.cumsum(newline & ~crlf)])  # CR LF is one line end
     at = np.arange(n)
     # For each place, the last character that is no white space, and the last that is no closing mark either.
     word_end = np.maximum.accumulate(np.where(space, -1, at))
-    closer = np.isin(codes, _codes(_CLOSERS))
-    point = np.maximum.accumulate(np.where(space | closer, -1, at))
-
-    inner = np.arange(1, n)  # a cut before inner[i] is behind the character inner[i]-1
-    after_space = space[inner - 1] & ~space[inner]
-    ends = word_end[inner - 1]
-    breaks = lines_before[inner] - lines_before[np.maximum(ends, -1) + 1]
-    last = np.where(point[inner - 1] >= 0, codes[point[inner - 1]], 0)
+    point = np.maximum.accumulate(np.where((bits & (_SPACE | _CLOSER)) > 0, -1, at))
+
+    before, here = bits[:-1], bits[1:]  # a cut between these characters
+    solid = (here & _SPACE) == 0
+    after_space = ((before & _SPACE) > 0) & solid
+    breaks = lines_before[1:n] - lines_before[word_end[:-1] + 1]
+    last = np.where(point[:-1] >= 0, bits[point[:-1]], 0)
     strength = np.full(n - 1, INSIDE_WORD, dtype=np.int64)
-    strength[np.isin(codes[inner - 1], _codes(_WIDE_ENDS)) & ~space[inner]] = CLAUSE
-    strength[np.isin(codes[inner - 1], _codes("。！？")) & ~space[inner]] = SENTENCE
+    wide = ((before & _WIDE) > 0) & solid
+    strength[wide] = CLAUSE
+    strength[wide & ((before & _ENDS_SENTENCE) > 0)] = SENTENCE
     strength[after_space] = WORD
-    strength[after_space & np.isin(last, _codes(_CLAUSE_ENDS))] = CLAUSE
-    strength[after_space & np.isin(last, _codes(_SENTENCE_ENDS))] = SENTENCE
+    strength[after_space & ((last & _ENDS_CLAUSE) > 0)] = CLAUSE
+    strength[after_space & ((last & _ENDS_SENTENCE) > 0)] = SENTENCE
     strength[after_space & (breaks == 1)] = LINE
     strength[after_space & (breaks > 1)] = PARAGRAPH
-    joined = np.isin(codes[inner], marks) | ((codes[inner] == 10) & (codes[inner - 1] == 13)) | (codes[inner - 1] == 0x200D)
-    strength[joined] = INSIDE_CHARACTER
+    strength[((here & _JOINED) > 0) | crlf[1:] | (codes[:-1] == 0x200D)] = INSIDE_CHARACTER
     out[1:n] = strength
     return out
 
@@ -108,21 +111,21 @@ def cut_places(codes: np.ndarray, max_chars: int, overlap: int) -> list[tuple[in
 
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("row", "piece_no", "n_pieces", "start", "stop", "boundary", "piece")
+    out: list[tuple] = []
     for part in parts:
         for row in part.itertuples(index=False):
-            text = row.text
+            text, own = row.text, {"id": row.id, "kind": row.kind}
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             places = cut_places(codes, int(row.max_chars), int(row.overlap_chars))
-            last = len(places) - 1
-            yield pd.DataFrame({
-                "row": [{"id": row.id, "kind": row.kind}] * len(places),
-                "piece_no": range(len(places)),
-                "n_pieces": len(places),
-                "start": [a for a, _, _ in places],
-                "stop": [b for _, b, _ in places],
-                "boundary": ["end" if i == last else STRENGTH_NAMES[s] for i, (_, _, s) in enumerate(places)],
-                "piece": [text[a:b] for a, b, _ in places],
-            })
+            n = len(places)
+            for i, (a, b, strength) in enumerate(places):
+                out.append((own, i, n, a, b, "end" if i == n - 1 else STRENGTH_NAMES[strength], text[a:b]))
+                if len(out) >= PIECES:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=names)
 
 
 def with_limits(texts: DataFrame, limits: DataFrame, id_col: str, kind_col: str, text_col: str) -> DataFrame:
