@@ -59,7 +59,7 @@ def shingle_hashes(tokens: list[str], size: int = SHINGLE) -> np.ndarray:
 
 
 def item_windows(items: DataFrame, run: int, size: int) -> DataFrame:
-    """(item_id, words, shingles) of each window of `run` words of the items."""
+    """(item_id, words, shingles) of each window of `run` words of the items; the words as one text."""
 
     def windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -70,19 +70,20 @@ def item_windows(items: DataFrame, run: int, size: int) -> DataFrame:
                     h = shingle_hashes(tokens, size)
                     yield pd.DataFrame({
                         "item_id": [item_id] * n,
-                        "words": [tokens[i : i + run] for i in range(n)],
+                        "words": [" ".join(tokens[i : i + run]) for i in range(n)],
                         "shingles": [h[i : i + run - size + 1] for i in range(n)],
                     })
 
     known = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    return known.mapInPandas(windows, "item_id long, words array<string>, shingles array<long>")
+    return known.mapInPandas(windows, "item_id long, words string, shingles array<long>")
 
 
-def _scan(docs: DataFrame, run: int, size: int, wanted) -> DataFrame:
+def _scan(docs: DataFrame, run: int, size: int, wanted, every: bool) -> DataFrame:
     """The documents' shingles that are in the sorted broadcast array `wanted`, each with the words around it.
 
-    `at` is a shingle's place in its document and `around` the words from `start` on: all that a window of
-    `run` words with this shingle can hold.
+    `at` is a shingle's place in its document and `around` the words from `start` on, as one text: all that a
+    window of `run` words with this shingle can hold. If `wanted` has `every` shingle of the items, there is no
+    window where fewer shingles than it has follow one another, and they are left out.
     """
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,6 +103,10 @@ def _scan(docs: DataFrame, run: int, size: int, wanted) -> DataFrame:
             # Only shingles inside one document, and documents long enough for a window.
             fits = (hit + size <= bounds[doc + 1]) & (bounds[doc + 1] - bounds[doc] >= run)
             hit, doc = hit[fits], doc[fits]
+            if every:
+                lengths = np.diff(np.flatnonzero(np.diff(hit, prepend=-2) != 1), append=len(hit))
+                whole = np.repeat(lengths >= run - size + 1, lengths)
+                hit, doc = hit[whole], doc[whole]
             if not len(hit):
                 continue
             lo = np.maximum(bounds[doc], hit - run + size)
@@ -112,10 +117,10 @@ def _scan(docs: DataFrame, run: int, size: int, wanted) -> DataFrame:
                 "at": hit - bounds[doc],
                 "shingle": h[hit],
                 "start": lo - bounds[doc],
-                "around": [tokens[a:b] for a, b in zip(lo, hi, strict=True)],
+                "around": [" ".join(tokens[a:b]) for a, b in zip(lo, hi, strict=True)],
             })
 
-    return docs.mapInPandas(scan, "doc_id long, n_words int, at int, shingle long, start int, around array<string>")
+    return docs.mapInPandas(scan, "doc_id long, n_words int, at int, shingle long, start int, around string")
 
 
 def leaks(
@@ -140,7 +145,7 @@ def leaks(
     for k in range(passes):
         own = wanted.where(F.pmod("shingle", F.lit(passes)) == k).toPandas()["shingle"]
         sent = spark.sparkContext.broadcast(np.sort(own.to_numpy(dtype=np.int64)))
-        found.append(cut(_scan(texts, run, size, sent), "hits"))
+        found.append(cut(_scan(texts, run, size, sent, passes == 1), "hits"))
         sent.unpersist()
     hits = reduce(DataFrame.unionByName, found)
 
@@ -155,6 +160,7 @@ def leaks(
     pairs = hits.join(prefix, F.col("shingle") == F.col("_p"))
     begin = F.col("at") - F.col("place")
     pairs = pairs.where((begin >= F.col("start")) & (begin + run <= F.col("n_words")))
-    same = F.slice("around", begin - F.col("start") + 1, F.lit(run)) == F.col("window")
+    own = F.slice(F.split("around", " "), begin - F.col("start") + 1, F.lit(run))
+    same = F.array_join(own, " ") == F.col("window")
     runs = pairs.where(same).select("doc_id", "item_id", begin.alias("at")).distinct()
     return runs.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"))
