@@ -25,7 +25,7 @@ TABLE_BITS = 18  # n-grams are hashed to 2^18 rows; a model is at most 2^18 x 3
 SMOOTHING = 0.3
 PENALTY = 8.0  # nats that a language must add to a document's likelihood, besides half the logarithm of its length
 SAMPLE_DOCS = 4_000  # labelled documents that the models may be fitted to, besides the clean samples
-SAMPLE_CHARS = 20_000  # only documents up to this length are taken into that sample
+SAMPLE_CHARS = 10_000  # only documents up to this length are taken into that sample
 SURE = 0.999  # posterior from which a sentence of that sample is fitted to
 BATCH_CHARS = 1_000_000  # characters of text estimated together
 
@@ -190,6 +190,18 @@ def sentences(text: str | None, min_words: int = MIN_WORDS) -> list[Sentence]:
     return out
 
 
+def _parts(lengths: list[int]) -> Iterator[slice]:
+    """Stretches of texts of about BATCH_CHARS characters."""
+    start = total = 0
+    for i, n in enumerate(lengths):
+        total += n
+        if total >= BATCH_CHARS:
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+    if start < len(lengths):
+        yield slice(start, len(lengths))
+
+
 def _features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each order, the hashed n-grams of all texts and the number of the text each is from."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -234,12 +246,14 @@ def train(texts: list[str], langs: list[str]) -> Model:
     """n-gram models of the languages from sentences (as `sentences` makes them) and their languages."""
     names = sorted(set(langs))
     lang = np.array([names.index(x) for x in langs])
+    counts = [np.zeros((1 << TABLE_BITS, len(names))) for _ in ORDERS]
+    for own in _parts([len(t) for t in texts]):
+        for table, rows, owner in zip(counts, *_features(texts[own]), strict=True):
+            np.add.at(table, (rows, lang[own][owner]), 1.0)
     tables = []
-    for rows, owner in zip(*_features(texts), strict=True):
-        counts = np.zeros((1 << TABLE_BITS, len(names)))
-        np.add.at(counts, (rows, lang[owner]), 1.0)
-        kinds = max(1, int((counts.sum(axis=1) > 0).sum()))
-        tables.append(np.log((counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * 2 * kinds)).astype(np.float32))
+    for table in counts:
+        kinds = max(1, int((table.sum(axis=1) > 0).sum()))
+        tables.append(np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * 2 * kinds)).astype(np.float32))
     return Model(names, tables)
 
 
@@ -329,25 +343,24 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, sample_docs: int = SA
     model = train(texts, langs)
     if docs is None or sample_docs < 1:
         return model
-    usable = docs.select("text", stated(F.col("lang")).alias("lang")).where((F.col("lang").isNotNull()) & (F.length("text") <= SAMPLE_CHARS))
-    chosen = usable.orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()
+    usable = docs.select("doc_id", "text", stated(F.col("lang")).alias("lang")).where((F.col("lang").isNotNull()) & (F.length("text") <= SAMPLE_CHARS))
+    chosen = usable.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text", "lang").limit(sample_docs).collect()
     for _ in range(2):
-        found, doc, _, post = _estimate(model, [r.text for r in chosen], min_words)
-        best = post.argmax(axis=1)
-        more = [
-            (s.text, model.langs[b])
-            for s, d, b, p in zip(found, doc, best, post, strict=True)
-            if s.full and p[b] >= SURE and chosen[d].lang == model.langs[b]
-        ]
+        more = []
+        for part in _parts([len(r.text) for r in chosen]):
+            found, doc, _, post = _estimate(model, [r.text for r in chosen[part]], min_words)
+            best = post.argmax(axis=1)
+            for s, d, b, p in zip(found, doc, best, post, strict=True):
+                if s.full and p[b] >= SURE and chosen[part][d].lang == model.langs[b]:
+                    more.append((s.text, model.langs[b]))
         model = train(texts + [t for t, _ in more], langs + [x for _, x in more])
     return model
 
 
 def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        size = part["text"].str.len().fillna(0).cumsum() // BATCH_CHARS
-        for _, own in part.groupby(size.to_numpy(), sort=False):
-            yield own
+        for own in _parts(part["text"].str.len().fillna(0).astype(int).tolist()):
+            yield part.iloc[own]
 
 
 def detect(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFrame:
