@@ -13,6 +13,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,9 +59,8 @@ _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]*]*\s+(?=\S)")
 _ASIDE = re.compile(r"\([^()\n]*\)|\"[^\"\n]*\"|«[^«»\n]*»|„[^„“”\n]*[“”]|“[^“”\n]*”")
 _BACKTICKED = re.compile(r"`[^`\n]*`")
 _IDENTIFIER = re.compile(r"[\d_`]|\w\.\w")  # anywhere in a token
-_CAPITALS = re.compile(r"\b[^\W\d_a-zа-яё]{2,}\b")
 _NOT_LETTERS = re.compile(r"[^\w'’]+|[\d_]+")
-_TOKEN = re.compile(r"\S*\w\S*")
+_WORDY = re.compile(r"\w")
 
 
 @dataclass
@@ -154,15 +154,34 @@ def _with_asides(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
         yield lo + m.start(), lo + m.end(), m.group()
 
 
-def _plain(raw: str) -> str:
-    """The words of a sentence that tell its language: no identifiers, lower case, compatible forms made one."""
+@lru_cache(maxsize=1)
+def _format_characters() -> re.Pattern:
+    codes = (*range(0x20000), *range(0xE0000, 0xE0100))  # the planes that have any
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in codes if unicodedata.category(chr(c)) == "Cf") + "]")
+
+
+def _plain(raw: str) -> tuple[str, int]:
+    """The words of a sentence that tell its language, and the number of all its words.
+
+    Identifiers go; the rest is in lower case, compatible forms made one.
+    """
     if not raw.isascii():
-        raw = unicodedata.normalize("NFKC", raw)
-        raw = raw.translate({ord(c): None for c in set(raw) if unicodedata.category(c) == "Cf"})
-    plain = " ".join(t for t in _BACKTICKED.sub(" ", raw).split() if not _IDENTIFIER.search(t))
-    if not plain.isupper():
-        plain = _CAPITALS.sub(" ", plain)
-    return _NOT_LETTERS.sub(" ", plain.lower()).strip()
+        if not unicodedata.is_normalized("NFKC", raw):
+            raw = unicodedata.normalize("NFKC", raw)
+        raw = _format_characters().sub("", raw)
+    n, kept = 0, []
+    for t in (_BACKTICKED.sub(" x_ ", raw) if "`" in raw else raw).split():
+        if t.isalpha():
+            n += 1
+            kept.append(t)
+        elif _WORDY.search(t):
+            n += 1
+            if not _IDENTIFIER.search(t):
+                kept.append(t)
+    plain = " ".join(kept)
+    if not plain.isupper():  # then what is in capitals is a name
+        plain = " ".join(t for t in kept if len(t) < 2 or not t.isupper())
+    return _NOT_LETTERS.sub(" ", plain.lower()).strip(), n
 
 
 def sentences(text: str | None, min_words: int = MIN_WORDS) -> list[Sentence]:
@@ -182,9 +201,8 @@ def sentences(text: str | None, min_words: int = MIN_WORDS) -> list[Sentence]:
         cuts = [0, *(m.end() for m in _SPLIT.finditer(joined)), len(joined)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             for lo, hi, raw in _with_asides(joined, a, b):
-                plain = _plain(raw)
+                plain, n = _plain(raw)
                 if plain:
-                    n = sum(1 for _ in _TOKEN.finditer(raw))
                     full = n >= min_words and plain.count(" ") >= min_words // 2 and _ENDS.search(raw.rstrip()) is not None
                     out.append(Sentence(place(lo), place(hi - 1) + 1, f" {plain} ", n, full))
     return out
