@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from terrane.session import cut
 
 ROWS_PER_PART = 50_000  # nodes of a partition, and of a quotient that one task solves
-HOT_PARENTS = 1_000  # a parent of more than 1/1000 of the nodes (at most so many) draws no children to its partition
+MAX_BROADCAST = 100_000  # hot parents, those of more than half a partition of nodes, are sent to all executors up to this number
 
 _FRAGMENT = "id string, ext string, frag array<string>, least string, cyc string"
 
@@ -78,8 +78,10 @@ def _solve(nodes: DataFrame, size: int, rows_per_part: int, level: int) -> DataF
     def coin(c):
         return F.xxhash64(c, F.lit(level)).bitwiseAND(F.lit(1)) == 1
 
-    hot = nodes.where("next IS NOT NULL").groupBy("next").count().where(F.col("count") > max(size // HOT_PARENTS, 1))
-    hot = F.broadcast(hot.select(nxt.alias("_hot")))  # at most HOT_PARENTS rows, as each has its share of the nodes
+    # A hot parent draws no children to its partition. There are at most size / most of them.
+    most = max(1, rows_per_part // 2)
+    hot = nodes.where("next IS NOT NULL").groupBy("next").count().where(F.col("count") > most).select(nxt.alias("_hot"))
+    hot = F.broadcast(hot) if size // most <= MAX_BROADCAST else hot
     placed = nodes.join(hot, nxt == F.col("_hot"), "left")
     with_parent = nxt.isNotNull() & F.col("_hot").isNull() & ~coin(nid) & coin(nxt)
     placed = placed.withColumn("_at", F.when(with_parent, nxt).otherwise(nid))
