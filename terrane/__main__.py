@@ -12,6 +12,7 @@ from terrane.session import build_session
 COMMANDS = {
     "dump": lambda s, a: sinks.snapshot_json(s.tables, s.columns),
     "dot": lambda s, a: sinks.dot(s.tables),
+    "summary": lambda s, a: sinks.summary(s.tables),
     "mermaid": lambda s, a: sinks.mermaid(s.tables, s.columns),
     "excalidraw": lambda s, a: sinks.excalidraw(s.tables),
     "drawio": lambda s, a: sinks.drawio(s.tables),

@@ -220,8 +220,8 @@ def god_columns(tables: DataFrame, min_refs: int) -> DataFrame:
     return by.where(F.col("refs") + F.col("users") >= min_refs).select("column", "refs", "users")
 
 
-def unused_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Columns that no key, index or foreign key of any table mentions (left anti)."""
+def mentioned_columns(tables: DataFrame) -> DataFrame:
+    """Distinct (_t, _c): columns that a key, index or foreign key of any table mentions."""
     c = F.col("c")
     cons = tables.select("full_name", F.explode("constraints").alias("c"))
     used = [
@@ -229,10 +229,20 @@ def unused_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
         cons.where("c.ref_table IS NOT NULL").select(c["ref_table"].alias("_t"), F.explode(c["ref_columns"]).alias("_c")),
         tables.select(F.col("full_name").alias("_t"), F.explode("indexes").alias("i")).select("_t", F.explode("i.columns").alias("_c")),
     ]
-    mentioned = reduce(DataFrame.unionByName, used).distinct()
+    return reduce(DataFrame.unionByName, used).distinct()
+
+
+def unused_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Columns that nothing mentions (left anti)."""
+    mentioned = mentioned_columns(tables)
     return columns.join(mentioned, (F.col("table_name") == F.col("_t")) & (F.col("column_name") == F.col("_c")), "left_anti").select("table_name", "column_name")
 
 
+def drops_in_use(drops: DataFrame, tables: DataFrame) -> DataFrame:
+    """Of distinct (table_name, column_name) that are dropped, those that something still mentions (left semi)."""
+    return drops.distinct().join(mentioned_columns(tables), (F.col("table_name") == F.col("_t")) & (F.col("column_name") == F.col("_c")), "left_semi")
+
+
 def table_roles(tables: DataFrame) -> DataFrame:
     i, o = F.col("fk_in") > 0, F.col("fk_out") > 0
     role = F.when(i & ~o, "root").when(i & o, "junction").when(o, "leaf").otherwise("standalone")

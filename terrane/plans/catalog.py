@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.functions.names import norm_name
 from terrane.operators import catalog as c
 from terrane.plans.registry import query, table
 
@@ -177,6 +178,18 @@ def unused_columns(spark, d):
     return c.unused_columns(tables(spark, d), columns(spark, d))
 
 
+@query(
+    "drop_column_in_use",
+    _R + """, used AS (SELECT full_name AS t, unnest(k.columns) AS c FROM con UNION SELECT k.ref_table, unnest(k.ref_columns) FROM con WHERE k.ref_table IS NOT NULL
+  UNION SELECT full_name, unnest(i.columns) FROM (SELECT full_name, unnest(indexes) AS i FROM t)),
+x AS (SELECT DISTINCT upper(trim(replace(table_name, '"', ''))) AS table_name, upper(trim(replace(column_name, '"', ''))) AS column_name FROM operations WHERE operation = 'DROP_COLUMN')
+SELECT table_name, column_name FROM x WHERE EXISTS (SELECT 1 FROM used WHERE used.t = table_name AND used.c = column_name)""",
+)
+def drop_column_in_use(spark, d):
+    drops = table(spark, d, "operations").where("operation = 'DROP_COLUMN'")
+    return c.drops_in_use(drops.select(norm_name(F.col("table_name")).alias("table_name"), norm_name(F.col("column_name")).alias("column_name")), tables(spark, d))
+
+
 @query(
     "table_roles",
     _R + "SELECT full_name, CASE WHEN fk_in > 0 AND fk_out = 0 THEN 'root' WHEN fk_in > 0 THEN 'junction' WHEN fk_out > 0 THEN 'leaf' ELSE 'standalone' END AS role FROM d",
@@ -293,8 +306,6 @@ def insights(spark, d):
 SELECT severity, code, count(*) AS n, count(DISTINCT upper(trim(replace(table_name, '"', '')))) AS tables FROM f GROUP BY 1, 2""",
 )
 def finding_counts(spark, d):
-    from terrane.functions.names import norm_name
-
     f = table(spark, d, "findings").distinct()
     return f.groupBy("severity", "code").agg(F.count("*").alias("n"), F.countDistinct(norm_name(F.col("table_name"))).alias("tables"))
 
@@ -304,8 +315,6 @@ def finding_counts(spark, d):
     """SELECT DISTINCT finding_id, code, table_name FROM findings WHERE severity = 'error' AND code IN ('NO_PK', 'UNRESOLVED_FK') AND starts_with(upper(trim(replace(table_name, '"', ''))), 'BILLING.')""",
 )
 def findings_filter(spark, d):
-    from terrane.functions.names import norm_name
-
     f = table(spark, d, "findings").where("severity = 'error' AND code IN ('NO_PK', 'UNRESOLVED_FK')")
     return f.where(norm_name(F.col("table_name")).startswith("BILLING.")).select("finding_id", "code", "table_name").distinct()
 

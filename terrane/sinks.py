@@ -89,6 +89,18 @@ def dot(tables: DataFrame, title: str = "schema") -> str:
     return "\n".join([f'digraph "{title}" {{', "  node [shape=box];", *linked, "  subgraph cluster_lone {", '  label="no links";', *lone, "  }", *(e.line for e in edges), "}"]) + "\n"
 
 
+def summary(tables: DataFrame) -> str:
+    """One line per table with what it refers to and what refers to it."""
+    r = catalog.relationships(tables)
+    out = r.groupBy(F.col("from_table").alias("_o")).agg(F.array_join(F.array_sort(F.collect_set("to_table")), ", ").alias("to"))
+    into = r.groupBy(F.col("to_table").alias("_i")).agg(F.array_join(F.array_sort(F.collect_set("from_table")), ", ").alias("by"))
+    rows = tables.select("full_name", "column_count").join(out, F.col("full_name") == F.col("_o"), "left").join(into, F.col("full_name") == F.col("_i"), "left")
+    lines = []
+    for t in _few(rows.orderBy("full_name")):
+        lines.append(f"{t.full_name} ({t.column_count})" + (f" -> {t.to}" if t.to else "") + (f" <- {t.by}" if t.by else ""))
+    return "\n".join(lines) + "\n"
+
+
 def mermaid(tables: DataFrame, columns: DataFrame) -> str:
     cols: dict[str, list[str]] = {}
     kind = F.regexp_replace(F.col("data_type"), r"\(.*\)", "")

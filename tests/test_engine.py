@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.test_ddl import FILES
 
-from terrane import sinks
+from terrane import config, sinks
 from terrane.ddl import lineage
 from terrane.ddl.tokens import statements
 from terrane.engine import Schema
@@ -63,6 +63,15 @@ def test_renderings(schema):
         sinks.assert_contract(t, text)
 
 
+def test_summary_and_settings(schema, tmp_path):
+    assert "SHOP.ORDERS (3) -> SHOP.PEOPLE <- SHOP.ORDER_LINES" in sinks.summary(schema.tables).splitlines()
+    (tmp_path / config.FILE).write_text('dialect = "mysql"\nquestion_chunks = 3\n')
+    got = config.Settings.load({"TERRANE_QUESTION_CHUNKS": "9"}, (tmp_path / "none", tmp_path))
+    assert (got.dialect, got.question_chunks, got.cost_profile) == ("mysql", 9, "default")
+    assert config.Settings.load({}, ()).dialect == "oracle"
+    assert [config.parse_bool(x) for x in ("1", "TRUE", " yes", "no", "")] == [True, True, True, False, False]
+
+
 def test_lineage(spark):
     sql = """CREATE OR REPLACE VIEW app.v (person, total) AS SELECT u.name, SUM(o.price * o.n) AS s FROM app.users u LEFT JOIN orders o ON o.uid = u.id WHERE u.x = 1;
     CREATE TABLE t2 AS SELECT DISTINCT id, upper(nick) big FROM app.users; CREATE TABLE plain (a INT); CREATE VIEW w AS SELECT * FROM t2;"""
