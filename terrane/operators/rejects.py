@@ -125,7 +125,7 @@ def load_operations(raw: DataFrame, **cols: str) -> DataFrame:
         F.get(f, F.lit(4)).alias("operation"),
         F.get(f, F.lit(5)).alias("table_name"),
         F.get(f, F.lit(6)).alias("raw_sql"),
-        F.to_timestamp(F.regexp_replace(F.get(f, F.lit(7)), "[TZ]", " ")).cast("timestamp_ntz").alias("applied_at"),
+        F.rtrim(F.regexp_replace(F.get(f, F.lit(7)), "[TZ]", " ")).cast("timestamp_ntz").alias("applied_at"),
     )
 
 
@@ -138,7 +138,7 @@ def load_results(raw: DataFrame, **cols: str) -> DataFrame:
         F.get(f, F.lit(2)).alias("version"),
         (F.get(f, F.lit(3)) == "true").alias("skipped"),
         F.from_json(F.get(f, F.lit(4)), "array<string>").alias("errors"),
-        F.to_timestamp(F.regexp_replace(F.get(f, F.lit(5)), "[TZ]", " ")).cast("timestamp_ntz").alias("applied_at"),
+        F.rtrim(F.regexp_replace(F.get(f, F.lit(5)), "[TZ]", " ")).cast("timestamp_ntz").alias("applied_at"),
     )
 
 
