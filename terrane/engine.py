@@ -11,13 +11,14 @@ from terrane.ddl import extract, fold, lineage
 from terrane.functions.names import version_key
 from terrane.functions.versions import file_version, next_version
 from terrane.operators import catalog, diff, graph, retrieval, rules
-from terrane.session import cut
+from terrane.session import cut, ship
 
 
 class Schema:
     """The schema that a log of migrations (filename, sql) leaves. Parsed once; results are DataFrames."""
 
     def __init__(self, files: DataFrame):
+        ship(files.sparkSession)
         self.files = files
 
     @classmethod

@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def shipped(f: Query) -> Query:
+    """The query, after this package is with the session's executors."""
+
+    @wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return f(spark, folder)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query that takes (spark, folder of the tables)."""
 
     def add(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql is not None:
             SQL[name] = sql
         return f

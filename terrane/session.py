@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,22 @@ def build_session(name: str = "terrane", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     } | conf
-    return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+    spark = SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the session's executors, once: functions in Python workers import it there."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_terrane_shipped", False) or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="terrane-code-")) / "terrane_code.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._terrane_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
