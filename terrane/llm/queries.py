@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrane.llm import lang, leak, mix, split
-from terrane.plans.registry import Query, table
+from terrane.plans.registry import Query, shipped, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql is not None:
             SQL[name] = sql
         return f
