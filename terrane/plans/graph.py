@@ -111,12 +111,13 @@ def lineage_up(spark, d):
     return graph.reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, 6).select("node", "depth")
 
 
-# Referenced tables come before those that refer to them; only edges to the younger table, so that there is a DAG.
+# Referenced tables come before those that refer to them. The SQL follows only keys to a table of lesser name, since its
+# recursion needs a DAG; the operators take all keys and give null on and behind cycles, so they agree with it only where all keys are such.
 _DAG = ", g AS (SELECT dst AS src, src AS dst FROM e WHERE dst < src)"
 
 
 def _dag(spark, d):
-    return edges(spark, d).where("dst < src").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 @query("topo_levels", _REC + _DAG + ", b(node, level) AS (SELECT full_name, 0 FROM t UNION SELECT g.dst, level + 1 FROM b JOIN g ON g.src = b.node) SELECT node, max(level)::INT AS level FROM b GROUP BY 1")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.operators import graph
+from terrane.plans import graph as plans
 
 
 def frames(spark, edges, nodes=()):
@@ -125,3 +126,30 @@ def test_communities(spark):
     one = nodes.withColumn("community", F.lit("all"))
     assert graph.modularity(edges, groups) > max(0.5, graph.modularity(edges, one))
     assert graph.communities(edges.limit(0), nodes.limit(0)).count() == 0
+
+
+def brute_levels(before, nodes):
+    """Longest chains of predecessors; None for nodes on and behind cycles."""
+    level = {}
+    for _ in nodes:
+        for n in nodes:
+            own = [level.get(a) for a, b in before if b == n and a != n]
+            if n not in level and None not in own:
+                level[n] = max(own, default=-1) + 1
+    return {n: level.get(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_level_queries_take_all_keys(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    order = rng.sample(range(30), 30)  # names say nothing about who refers to whom
+    e = sorted({(f"n{order[max(p)]:02}", f"n{order[min(p)]:02}") for p in ((rng.randrange(30), rng.randrange(30)) for _ in range(45))} | {("x", "y"), ("y", "x"), ("z", "y")})
+    frame, nodes = frames(spark, e)
+    monkeypatch.setattr(plans, "edges", lambda s, d: frame)
+    monkeypatch.setattr(plans, "nodes", lambda s, d: nodes)
+    names = sorted({x for pair in e for x in pair})
+    want = brute_levels([(b, a) for a, b in e], names)
+    assert {r.node: r.level for r in plans.topo_levels(spark, "").collect()} == want
+    path = plans.critical_path(spark, "").orderBy("level").collect()
+    assert [r.level for r in path] == list(range(max(v for v in want.values() if v is not None) + 1))
+    assert all((b.node, a.node) in e and want[b.node] == b.level for a, b in zip(path, path[1:]))
