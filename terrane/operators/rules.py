@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.names import sequence_key, version_key
 from terrane.functions.versions import base_name, file_description, file_kind, file_version
+from terrane.session import cut
 
 LEVELS = ("SAFE", "MEDIUM_RISK", "HIGH_RISK", "DANGEROUS")
 
@@ -318,7 +319,7 @@ def lint(texts: DataFrame, id_col: str, text_col: str, longest: int = 120) -> Da
 
 
 def creator_dependencies(ops: DataFrame) -> DataFrame:
-    """(version, depends_on, tables): files that change a table depend on the last file before them that created it."""
+    """(source_file, depends_on, tables): files that change a table depend on the file that created it last of all, even if that came later."""
     from terrane.functions.names import norm_name
 
     s = ops.select(norm_name(F.col("table_name")).alias("t"), "operation", "source_file", sequence_key(F.col("version"), F.col("statement_index")).alias("seq"))
@@ -326,3 +327,28 @@ def creator_dependencies(ops: DataFrame) -> DataFrame:
     used = s.where("operation IN ('ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX')").select("t", "source_file").distinct()
     pairs = used.join(created.withColumnRenamed("t", "_t"), F.col("t") == F.col("_t")).where("creator <> source_file")
     return pairs.groupBy("source_file", F.col("creator").alias("depends_on")).agg(F.count("*").alias("tables"))
+
+
+def creators_before(ops: DataFrame) -> DataFrame:
+    """(source_file, depends_on, tables): each statement that changes a table depends on the file of the last CREATE_TABLE before it.
+
+    Statements are put in ranges by table and place, so a hot table spans several; each range looks up its own
+    creations and then the last of the ranges before. Statements of one place do not come before each other; a file does not depend on itself.
+    """
+    from terrane.functions.names import norm_name
+
+    creates = F.col("operation") == "CREATE_TABLE"
+    s = ops.where("operation IN ('CREATE_TABLE', 'ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX')")
+    s = s.select(norm_name(F.col("table_name")).alias("t"), sequence_key(F.col("version"), F.col("statement_index")).alias("seq"), creates.alias("creates"), "source_file")
+    s = s.where("t IS NOT NULL").distinct()
+    parts = int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = cut(s.repartitionByRange(parts, "t", "seq").withColumn("part", F.spark_partition_id()), "statements")
+    creator = F.when(F.col("creates"), F.col("source_file"))
+    # At one place uses come first, so that they do not see its creations.
+    inside = W.partitionBy("t", "part").orderBy("seq", "creates", "source_file").rowsBetween(W.unboundedPreceding, -1)
+    uses = s.withColumn("near", F.last(creator, True).over(inside)).where("NOT creates")
+    last = s.groupBy("t", "part").agg(F.max(F.when(F.col("creates"), F.struct("seq", "source_file"))).alias("m"))
+    earlier = W.partitionBy("t").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range of the table
+    last = last.select(F.col("t").alias("_t"), F.col("part").alias("_part"), F.last("m.source_file", True).over(earlier).alias("far"))
+    pairs = uses.join(last, (F.col("t") == F.col("_t")) & (F.col("part") == F.col("_part"))).select("t", "source_file", F.coalesce("near", "far").alias("depends_on"))
+    return pairs.where("depends_on <> source_file").distinct().groupBy("source_file", "depends_on").agg(F.count("*").alias("tables"))

@@ -149,14 +149,13 @@ l AS (SELECT node, max(level) AS level FROM b GROUP BY 1)
 SELECT level::INT AS level, count(*) AS files FROM l GROUP BY 1""",
 )
 def migration_levels(spark, d):
-    """How many files could run side by side, level by level, of those that depend on earlier files only."""
-    from terrane.functions.names import version_key
+    """How many files could run side by side, level by level; each depends on the creators, as of its statements, of the tables it changes.
 
+    The SQL takes only the last creator of all and leaves out those that come later, so it has fewer dependencies.
+    """
     ops = table(spark, d, "operations")
-    order = ops.groupBy("source_file").agg(F.min(version_key(F.col("version"))).alias("v"))
-    dep = rules.creator_dependencies(ops).select("source_file", "depends_on")
-    dep = dep.join(order, "source_file").join(order.toDF("_f", "_v"), F.col("depends_on") == F.col("_f")).where("_v < v")
-    lv = graph.levels(dep.select(F.col("depends_on").alias("src"), F.col("source_file").alias("dst")), order.select(F.col("source_file").alias("node")))
+    dep = rules.creators_before(ops)
+    lv = graph.levels(dep.select(F.col("depends_on").alias("src"), F.col("source_file").alias("dst")), ops.select(F.col("source_file").alias("node")))
     return lv.groupBy("level").agg(F.count("*").alias("files"))
 
 

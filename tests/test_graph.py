@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import graph
+from terrane.operators import graph, rules
 from terrane.plans import graph as plans
 
 
@@ -153,3 +153,24 @@ def test_level_queries_take_all_keys(spark, monkeypatch, seed):
     path = plans.critical_path(spark, "").orderBy("level").collect()
     assert [r.level for r in path] == list(range(max(v for v in want.values() if v is not None) + 1))
     assert all((b.node, a.node) in e and want[b.node] == b.level for a, b in zip(path, path[1:]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_migration_levels_match_creators_as_of_each_use(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    kinds = ["CREATE_TABLE", "ADD_COLUMN", "DROP_TABLE", "RENAME_TABLE"]
+    rows = [(f"f{v:02}", f"{v // 5}.{v % 5}", i, rng.choice(kinds), rng.choice(["HOT", "hot ", "hot", "a", "b", None])) for v in range(30) for i in range(4)]
+    ops = spark.createDataFrame(rng.sample(rows, len(rows)) + rows[:20], "source_file string, version string, statement_index int, operation string, table_name string")
+    created, deps, level = {}, set(), {}
+    for f, _, _, kind, name in rows:
+        name = name and name.strip().upper()
+        if name and kind == "CREATE_TABLE":
+            created[name] = f
+        elif name and kind != "RENAME_TABLE" and created.get(name, f) != f:
+            deps.add((f, created[name], name))
+    for f in sorted({r[0] for r in rows}):
+        level[f] = max((level[c] + 1 for a, c, _ in deps if a == f), default=0)
+    monkeypatch.setattr(plans, "table", lambda s, d, n: ops)
+    assert {r.level: r.files for r in plans.migration_levels(spark, "").collect()} == {n: list(level.values()).count(n) for n in level.values()}
+    got = {(r.source_file, r.depends_on): r.tables for r in rules.creators_before(ops).collect()}
+    assert got == {(f, c): len({n for g, e, n in deps if (g, e) == (f, c)}) for f, c, _ in deps}
