@@ -143,6 +143,27 @@ def hierarchy(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for all of a hierarchy, without a shuffle and without lists that grow with a tree."""
+    """(ancestor, descendant, distance) of the nodes that have a path, without a shuffle and without lists that grow with a tree."""
     above = paths.where("path IS NOT NULL").select("id", "depth", F.posexplode("path").alias("place", "ancestor"))
     return above.where("place < depth").select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("place")).alias("distance"))
+
+
+def all_descendants(links: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(ancestor, descendant, distance) of every node of (id, next), those on and below cycles included.
+
+    A descendant's chain of parents leads to the ancestor; the distance is the number of steps until it first
+    does. A member of a ring so has all other members and all that hangs below any of them as descendants. No node is its own.
+    """
+    links = cut(links.select("id", "next"), "links")
+    solved = cut(hierarchy(links, rows_per_part), "solved")
+    caught = links.join(solved.where("cycle_code IS NOT NULL").select("id", "cycle_code"), "id")
+    # Without the link of its least member a ring is a tree, whose path to that link's parent is the whole ring.
+    least = F.col("id") == F.col("cycle_code")
+    opened = cut(hierarchy(caught.select("id", F.when(~least, F.col("next")).alias("next")), rows_per_part), "opened")
+    rings = caught.where(least).select(F.col("cycle_code").alias("_code"), F.col("next").alias("_last")).join(opened.select(F.col("id").alias("_last"), F.col("path").alias("ring")), "_last")
+    round_ = opened.join(rings, F.col("root") == F.col("_code"))
+    # Members on the path are behind it already; the others come after the link that was left out.
+    met = F.size(F.array_intersect("path", "ring"))
+    round_ = round_.select("id", "depth", F.size("ring").alias("n"), met.alias("met"), F.posexplode("ring").alias("place", "ancestor")).where("place >= met")
+    round_ = round_.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") + F.col("n") - F.col("place")).alias("distance"))
+    return descendants(solved).unionByName(descendants(opened)).unionByName(round_)

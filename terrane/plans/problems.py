@@ -53,9 +53,12 @@ def p2_results(spark, d):
     return rejects.load_results(table(spark, d, "raw_log_lines"))
 
 
+def _links(spark, d):
+    return hierarchy.current_categories(table(spark, d, "product_categories"), "category_code", "parent_category", "loaded_at")
+
+
 def _categories(spark, d):
-    rows = table(spark, d, "product_categories")
-    return hierarchy.hierarchy(hierarchy.current_categories(rows, "category_code", "parent_category", "loaded_at"))
+    return hierarchy.hierarchy(_links(spark, d))
 
 
 _P3_CTE = r"""
@@ -110,7 +113,8 @@ def p3_paths(spark, d):
 
 @query("p3_descendants", P3_DESC_SQL)
 def p3_descendants(spark, d):
-    rows = hierarchy.descendants(_categories(spark, d))
+    """Descendants of all categories; the SQL leaves out those on and below cycles."""
+    rows = hierarchy.all_descendants(_links(spark, d))
     return rows.withColumnRenamed("ancestor", "category_code")
 
 

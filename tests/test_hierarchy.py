@@ -6,6 +6,7 @@ import random
 import pytest
 
 from terrane.operators import hierarchy as h
+from terrane.plans import problems
 
 
 def brute(parent):
@@ -74,3 +75,21 @@ def test_descendants(spark):
     got = {(r.ancestor, r.descendant, r.distance) for r in h.descendants(h.hierarchy(df, 50)).collect()}
     want = {(a, x, len(p) - 1 - i) for x, (p, *_) in brute(parent).items() if p for i, a in enumerate(p[:-1])}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["mixed", "ring", "self"])
+def test_descendants_on_and_below_cycles(spark, monkeypatch, name):
+    parent = forests()[name]
+    want = set()
+    for x in parent:
+        y, seen = parent[x], {x}
+        while y in parent and y not in seen:
+            want.add((y, x, len(seen)))
+            seen.add(y)
+            y = parent[y]
+    df = spark.createDataFrame([(k, v, datetime.datetime(2024, 1, 1)) for k, v in parent.items()], "category_code string, parent_category string, loaded_at timestamp")
+    monkeypatch.setattr(problems, "table", lambda s, d, n: df)
+    rows = problems.p3_descendants(spark, "").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == {(a.upper(), b.upper(), n) for a, b, n in want}
+    got = h.all_descendants(spark.createDataFrame(list(parent.items()), "id string, next string"), 40).collect()
+    assert {tuple(r) for r in got} == want
