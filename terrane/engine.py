@@ -63,7 +63,7 @@ class Schema:
             "refs": lambda: catalog.references_of(t, **args),
             "orphans": lambda: catalog.orphans(t),
             "islands": lambda: graph.islands(edges, nodes),
-            "cycles": lambda: graph.cycles(edges, **args),
+            "cycles": lambda: graph.circular(edges, **args),
             "missing-pk": lambda: catalog.missing_pk(t),
             "missing-fk": lambda: catalog.missing_fk(c),
             "impact": lambda: graph.cascade(self.relationships, **args),

@@ -98,11 +98,25 @@ def trim(edges: DataFrame, both_ends: bool = True, rounds: int | None = None) ->
 
 
 def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle, length) of simple cycles up to `longest` edges, each written once from its least node.
+    """(cycle, length) of simple cycles up to `longest` edges, each written once from its least node; longer ones are in `circular`.
 
     Paths grow only over edges that lie on some cycle and never below their first node.
     """
+    return _written(_short(trim(edges.where("src IS NOT NULL AND dst IS NOT NULL")), longest))
+
+
+def circular(edges: DataFrame, longest: int = 4) -> DataFrame:
+    """(cycle, length) of `cycles` and, for each edge that is on longer ones only, a shortest through it: each edge of a cycle is on some row."""
     e = trim(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    short = cut(_short(e, longest), "short")
+    return _written(short.unionByName(_closing(e, short)))
+
+
+def _written(paths: DataFrame) -> DataFrame:
+    return paths.select(F.array_join(F.concat("path", F.array(F.get("path", F.lit(0)))), " → ").alias("cycle"), F.size("path").alias("length"))
+
+
+def _short(e: DataFrame, longest: int) -> DataFrame:
     loops = e.where("src = dst").select(F.array("src").alias("path"))
     paths = cut(e.where("src < dst").select(F.array("src", "dst").alias("path")), "paths1")
     found = [loops]
@@ -115,7 +129,26 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.select(F.array_join(F.concat("path", F.array(F.get("path", F.lit(0)))), " → ").alias("cycle"), F.size("path").alias("length"))
+    return out
+
+
+def _closing(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(path) of a shortest cycle, the least of them from that edge, through each edge that is on no cycle of `known` (path)."""
+    at = F.transform("path", lambda x, i: F.struct(x.alias("_s"), F.coalesce(F.get("path", i + 1), F.get("path", F.lit(0))).alias("_d")))
+    on = known.select(F.explode(at).alias("p")).select("p.*")
+    left = edges.where("src <> dst").join(on, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_anti")
+    front = cut(left.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")), "closing0")
+    seen, found, n = front.select("a", "b", "node"), front.select("path").limit(0), 0
+    while not front.isEmpty():
+        n += 1
+        step = front.join(edges, F.col("node") == F.col("src")).groupBy("a", "b", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = cut(step.withColumnRenamed("dst", "node").join(seen, ["a", "b", "node"], "left_anti"), f"step{n}")
+        closed = step.where("node = a")
+        found = found.unionByName(closed.select(F.slice("path", 1, n + 1).alias("path")))
+        front = cut(step.join(closed.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "node", "path"), f"closing{n}")
+        seen = seen.unionByName(front.select("a", "b", "node"))
+    first = F.array_position("path", F.array_min("path")).cast("int")
+    return found.select(F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1)).alias("path")).distinct()
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ SELECT array_to_string(list_append(path, path[1]), ' → ') AS cycle, len(path):
 UNION ALL SELECT src || ' → ' || src, 1 FROM e WHERE src = dst""",
 )
 def cycles(spark, d):
-    return graph.cycles(edges(spark, d), 4)
+    return graph.circular(edges(spark, d), 4)
 
 
 _LEDGER = "'CORE.LEDGER_ENTRY'"

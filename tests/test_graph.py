@@ -174,3 +174,24 @@ def test_migration_levels_match_creators_as_of_each_use(spark, monkeypatch, seed
     assert {r.level: r.files for r in plans.migration_levels(spark, "").collect()} == {n: list(level.values()).count(n) for n in level.values()}
     got = {(r.source_file, r.depends_on): r.tables for r in rules.creators_before(ops).collect()}
     assert got == {(f, c): len({n for g, e, n in deps if (g, e) == (f, c)}) for f, c, _ in deps}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_of_any_length(spark, monkeypatch, seed):
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    e = sorted({*ring, ("r4", "r0"), ("r6", "n00"), ("r2", "r2"), *random_edges(seed, 20, 26)})
+    frame, _ = frames(spark, e)
+    monkeypatch.setattr(plans, "edges", lambda s, d: frame)
+    rows = plans.cycles(spark, "").collect()
+    short = brute_cycles(e, 4)
+    assert len(rows) == len({r.cycle for r in rows}) and {r.cycle for r in rows if r.length <= 4} == short
+    shortest, reported = {}, {}
+    for a, b in e:
+        if a in bfs(e, b):
+            shortest[a, b] = bfs(e, b)[a] + 1
+    for r in rows:
+        path = r.cycle.split(" → ")
+        assert path[0] == path[-1] == min(path) and len(path) - 1 == len(set(path)) == r.length
+        for pair in zip(path, path[1:]):
+            reported[pair] = min(r.length, reported.get(pair, r.length))
+    assert reported == shortest and max(shortest.values()) > 4
