@@ -208,6 +208,7 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 12, resolution
 
     Each round a node of that round's side may move to the neighbouring community with the greatest gain (the
     least name on ties). Weights between a node and communities are summed map-side, so hubs are no hot keys.
+    It ends after `rounds` even if nodes still want to move; communities are not aggregated, split or filtered.
     """
     half = edges.select("src", "dst").where("src <> dst")
     w = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src", "dst").agg(F.count("*").alias("w"))
