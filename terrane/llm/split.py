@@ -82,19 +82,20 @@ def cut_strengths(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_places(codes: np.ndarray, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
+def cut_places(codes: np.ndarray, max_chars: int, overlap: int, early: bool = False) -> list[tuple[int, int, int]]:
     """(start, stop, strength of the cut at stop) of the pieces of a text longer than `max_chars`.
 
     The strongest cut of a window is the range maximum of strengths with the place as the lesser part of
     the key, so ties go to the right. All windows of one text are as wide, so of the sparse table (the
     maxima of blocks of 1, 2, 4, ... places) the one row that covers them is kept: a query is the greater
-    of two blocks.
+    of two blocks. With `early`, where no window place is a boundary, the strongest one before it is taken, as long as the
+    piece gets longer than its overlap.
     """
     n = len(codes)
     overlap = min(max(overlap, 0), max_chars - 1)
     shortest = min(max_chars, max(overlap + 1, -(-max_chars // 2)))
     width = max_chars - shortest + 1
-    best = (cut_strengths(codes) << 40) + np.arange(n + 1)
+    keys = best = (cut_strengths(codes) << 40) + np.arange(n + 1)
     block = 1
     while block * 2 <= width:
         best = np.maximum(best[:-block], best[block:])
@@ -103,6 +104,9 @@ def cut_places(codes: np.ndarray, max_chars: int, overlap: int) -> list[tuple[in
     while n - start > max_chars:
         lo, hi = start + shortest, start + max_chars
         key = int(max(best[lo], best[hi - block + 1]))
+        if early and key >> 40 < WORD and lo > start + overlap + 1:
+            before = int(keys[start + overlap + 1 : lo].max())
+            key = before if before >> 40 >= WORD else key
         stop = key & ((1 << 40) - 1)
         out.append((start, stop, key >> 40))
         start = stop - overlap
@@ -117,7 +121,7 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in part.itertuples(index=False):
             text, own = row.text, {"id": row.id, "kind": row.kind}
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            places = cut_places(codes, int(row.max_chars), int(row.overlap_chars))
+            places = cut_places(codes, int(row.max_chars), int(row.overlap_chars), early=True)
             n = len(places)
             for i, (a, b, strength) in enumerate(places):
                 out.append((own, i, n, a, b, "end" if i == n - 1 else STRENGTH_NAMES[strength], text[a:b]))

@@ -78,3 +78,12 @@ def test_long_text(spark):
         out.append(r.piece[at - r.start :])
         at = r.stop
     assert "".join(out) == text and len(rows) > 100_000
+
+def test_boundary_before_the_window(spark):
+    text = "ab cd\n" + "x" * 40
+    assert [text[a:b] for a, b, _ in split.cut_places(codes(text), 20, 3, early=True)][0] == "ab cd\n"
+    rows = spark.createDataFrame([("c", "note", text)], "chunk_id string, chunk_type string, content string")
+    limits = spark.createDataFrame([("*", 20, 3)], "chunk_type string, max_chars int, overlap_chars int")
+    pieces = [r.piece for r in split.split_oversized(rows, limits, "chunk_id", "chunk_type", "content").orderBy("piece_no").collect()]
+    assert pieces[0] == "ab cd\n" and all(len(p) <= 20 for p in pieces) and all(b.startswith(a[-3:]) for a, b in zip(pieces, pieces[1:]))
+    assert pieces[0] + "".join(p[3:] for p in pieces[1:]) == text
