@@ -300,7 +300,8 @@ def mixture(ll: np.ndarray, doc: np.ndarray, n_docs: int, sizes: np.ndarray, pen
 
     if len(doc):
         pi = estimate(pi, 12, like, doc)
-        pi[pi < 1e-5] = 0.0
+        # One sentence of a language is a share of 1 / sentences; whether it stays is for the likelihood to say.
+        pi[pi < np.minimum(1e-5, 0.01 / np.maximum(np.bincount(doc, minlength=n_docs), 1))[:, None]] = 0.0
         support = pi > 0
         cost = penalty + 0.5 * np.log1p(sizes)
         for _ in range(k - 1):

@@ -103,3 +103,12 @@ def test_held_out_accuracy_of_mixture():
     pi, post = lang.mixture(ll, np.array([0, 0, 1]), 2, np.array([200.0, 100.0]))
     assert (pi[0] > 0).tolist() == [True, True, False] and (pi[1] > 0).tolist() == [True, False, False]
     assert post.argmax(axis=1).tolist() == [0, 1, 0]
+
+
+def test_one_sentence_of_a_very_long_document_keeps_its_language():
+    n = 150_000
+    ll = np.tile([0.0, -100.0, -100.0], (n + 2, 1))
+    ll[n // 2] = [-100.0, 0.0, -100.0]
+    pi, post = lang.mixture(ll, np.array([0] * n + [1, 1]), 2, np.array([n * 60.0, 120.0]))
+    assert (pi[0] > 0).tolist() == [True, True, False] and (pi[1] > 0).tolist() == [True, False, False]
+    assert post[n // 2].argmax() == 1
