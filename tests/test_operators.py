@@ -203,3 +203,12 @@ def test_debounce_on_a_stream(spark, tmp_path):
     q = watch.debounced(s, "k", "ts", "2 seconds").writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("bursts").count() >= 1
+
+
+def test_orphan_sequences_match_tables_of_any_width(spark, monkeypatch):
+    from terrane.plans import catalog as plans
+
+    state = spark.createDataFrame([("A.SLIM", "SLIM", 2), ("A.WIDE", "WIDE", 9)], "full_name string, name string, column_count int")
+    part = spark.createDataFrame([("Brand#12",), ("wide",), ("slim",)], "p_brand string")
+    monkeypatch.setattr(plans, "table", lambda s, d, n: {"tables_state": state, "part": part}[n])
+    assert [r.sequence for r in plans.theta_prefix_anti(spark, "").collect()] == ["S_BRAND#12"]
