@@ -89,8 +89,15 @@ def p7_shares_exact(spark, d):
     return _mix(spark, d, mix.EXACT).shares()
 
 
+_MODELS: dict[tuple[str, str], lang.Model] = {}
+
+
 def _model(spark, d):
-    return lang.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"))
+    """Fitted once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        _MODELS[key] = lang.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"))
+    return _MODELS[key]
 
 
 @query("p8_found")

@@ -112,3 +112,63 @@ def test_one_sentence_of_a_very_long_document_keeps_its_language():
     pi, post = lang.mixture(ll, np.array([0] * n + [1, 1]), 2, np.array([n * 60.0, 120.0]))
     assert (pi[0] > 0).tolist() == [True, True, False] and (pi[1] > 0).tolist() == [True, False, False]
     assert post[n // 2].argmax() == 1
+
+
+FOREIGN = {
+    "pl": "Po zmianie schematu wszystkie raporty trzeba było uruchomić jeszcze raz, ponieważ stare dane były niekompletne.",
+    "sv": "Efter ändringen av schemat måste alla rapporter köras om eftersom de gamla uppgifterna var ofullständiga.",
+    "fi": "Tällä viikolla lisäsimme uuden indeksin, joka nopeuttaa asiakkaiden tilausten hakua huomattavasti.",
+    "tr": "Bu hafta müşteri siparişlerinin aranmasını oldukça hızlandıran yeni bir dizin ekledik ve denedik.",
+}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, tiny):
+    d = tiny.replace("0.001", "0.01")  # models of few documents know too little to tell what is foreign
+    return lang.fit(spark.read.parquet(f"{d}/lang_samples.parquet"), spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def test_language_without_samples_is_unknown(spark, fitted):
+    assert fitted.langs == sorted(lang.LABELS)
+    english = " The report was run again because the old data were incomplete and nobody had noticed it."
+    rows = [(i, t, "en") for i, t in enumerate(FOREIGN.values())] + [(10 + i, t + english, "en") for i, t in enumerate(FOREIGN.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lang.detect(docs, fitted).collect()}
+    assert [got[i].lang for i in range(len(FOREIGN))] == [lang.UNKNOWN] * len(FOREIGN)
+    for i in range(len(FOREIGN)):
+        assert [s.lang for s in got[10 + i].segments] == [lang.UNKNOWN, "en"]
+    assert lang.unstated(docs, fitted).count() == 0
+
+
+def test_known_documents_stay_known(spark, tiny, fitted):
+    rows = lang.detect(spark.read.parquet(f"{tiny}/documents.parquet"), fitted).select(F.explode("segments").alias("s")).where("s.full").select("s.*").collect()
+    assert len(rows) > 100 and sum(r.lang == lang.UNKNOWN for r in rows) <= 0.01 * len(rows)
+
+
+def test_languages_come_from_the_samples(spark, samples):
+    polish = ["Stara droga była zamknięta, ponieważ nikt nie naprawił mostu nad rzeką.", "Powinni byli nam powiedzieć, co robili ludzie w tym starym domu."]
+    more = samples.unionByName(spark.createDataFrame([(" PL", t) for t in polish], "lang string, text string"))
+    m = lang.fit(more)
+    assert m.langs == ["de", "en", "fr", "pl", "ru"]
+    docs = spark.createDataFrame([(1, "Ludzie w starym domu powiedzieli nam, że nikt nie zamknął tej drogi.", "pl")], "doc_id long, text string, lang string")
+    r = lang.detect(docs, m).first()
+    assert (r.lang, r.stated) == ("pl", "pl")
+    with pytest.raises(ValueError):
+        lang.fit(samples.limit(0))
+
+
+def test_confidence_falls_with_fewer_words(spark, fitted):
+    """Single words, of another field than the sample's, are in doubt: the wrong ones more than the right ones."""
+    words = {"de": "Straße Brücke gemacht haben wird", "en": "nobody should road while which", "fr": "vieille maison était leur dans", "it": "strada vecchia erano gli ponte"}
+    rows = [(i, w, own) for i, (own, w) in enumerate((own, w) for own, ws in words.items() for w in ws.split())]
+    got = lang.detect(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fitted).collect()
+    right = [r.confidence for r in got if r.lang == r.stated]
+    wrong = [r.confidence for r in got if r.lang is not None and r.lang != r.stated]
+    assert len(right) > 2 * len(wrong) and min(right + wrong) < 0.9
+    assert np.mean(right) > np.mean(wrong)
+
+
+def test_model_is_saved(tmp_path, model):
+    model.save(str(tmp_path / "m"))
+    again = lang.Model.load(str(tmp_path / "m"))
+    assert again.langs == model.langs and (again.likelihoods([" the road "]) == model.likelihoods([" the road "])).all()
