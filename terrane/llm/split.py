@@ -86,26 +86,29 @@ def cut_places(codes: np.ndarray, max_chars: int, overlap: int, early: bool = Fa
     """(start, stop, strength of the cut at stop) of the pieces of a text longer than `max_chars`.
 
     The strongest cut of a window is the range maximum of strengths with the place as the lesser part of
-    the key, so ties go to the right. All windows of one text are as wide, so of the sparse table (the
-    maxima of blocks of 1, 2, 4, ... places) the one row that covers them is kept: a query is the greater
-    of two blocks. With `early`, where no window place is a boundary, the strongest one before it is taken, as long as the
-    piece gets longer than its overlap.
+    the key, so ties go to the right. The sparse table has the maxima of blocks of 1, 2, 4, ... places up to
+    the widest window, and a query is the greater of two blocks. With `early`, where no window place is a
+    boundary, the places before the window are asked in the same way, as long as the piece gets longer than its overlap.
     """
     n = len(codes)
     overlap = min(max(overlap, 0), max_chars - 1)
     shortest = min(max_chars, max(overlap + 1, -(-max_chars // 2)))
-    width = max_chars - shortest + 1
-    keys = best = (cut_strengths(codes) << 40) + np.arange(n + 1)
-    block = 1
-    while block * 2 <= width:
-        best = np.maximum(best[:-block], best[block:])
-        block *= 2
+    width = max(max_chars - shortest + 1, shortest - overlap - 1 if early else 0)
+    table = [(cut_strengths(codes) << 40) + np.arange(n + 1)]
+    while 2 << (len(table) - 1) <= min(width, n + 1):
+        block = 1 << (len(table) - 1)
+        table.append(np.maximum(table[-1][:-block], table[-1][block:]))
+
+    def strongest(lo: int, hi: int) -> int:
+        row = (hi - lo + 1).bit_length() - 1
+        return int(max(table[row][lo], table[row][hi - (1 << row) + 1]))
+
     out, start = [], 0
     while n - start > max_chars:
         lo, hi = start + shortest, start + max_chars
-        key = int(max(best[lo], best[hi - block + 1]))
+        key = strongest(lo, hi)
         if early and key >> 40 < WORD and lo > start + overlap + 1:
-            before = int(keys[start + overlap + 1 : lo].max())
+            before = strongest(start + overlap + 1, lo - 1)
             key = before if before >> 40 >= WORD else key
         stop = key & ((1 << 40) - 1)
         out.append((start, stop, key >> 40))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from terrane.llm import leak
@@ -73,3 +74,21 @@ def test_very_long(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     text = "filler word " * 300_000 + passage + " filler" * 10
     assert run(spark, [(1, text), (2, "p0 " + passage[3:-1])], [(9, "x " + passage + " y")]) == {(1, 9)}
+
+
+def test_hot_shingles_are_spread(spark):
+    """A passage that a third of the documents have, and a filter so full that much passes it."""
+    docs, items = corpus()
+    passage = leak.words(items[4][1])[-14:]
+    docs += [(2000 + i, f"d{i} " + " ".join(passage) + f" e{i}") for i in range(150)]
+    assert run(spark, docs, items, hot_docs=5) == brute(docs, items)
+    full = np.full(1 << 17, 255, dtype=np.uint8)
+    assert len(leak._may_have(full, np.arange(100, dtype=np.int64))) == 100
+
+
+def test_filter_has_all(spark):
+    h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)
+    f = leak.shingle_filter(spark.createDataFrame([(int(x),) for x in h], "shingle long"), len(h), block=700)
+    assert leak._may_have(f, h).tolist() == list(range(5000))
+    others = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 100_000)
+    assert len(leak._may_have(f, others)) < 2000

@@ -49,7 +49,7 @@ def test_shares_and_caps(spark):
 def test_sizes(spark):
     rows = [(i, f"text number {i}", "big" if i % 10 else "small", 1, 1) for i in range(5000)]
     d, t = docs(spark, rows), targets(spark, [("big", 0.5, 3), ("small", 0.5, 2)])
-    held = {r.source_name: r for r in mix.Mix(d, t).shares().collect()}
+    held = {r.source_name: r for r in mix.Mix(d, t, size=mix.HELD).shares().collect()}
     assert held["small"].mean_repeats == 2 and held["small"].most_repeats == 2 and held["small"].copies == 1000
     assert abs(held["big"].mean_repeats - 0.5 / 0.9) < 0.01 and abs(held["small"].actual_share - 0.2 / 0.7) < 0.02
     asked = mix.Mix(d, t, size=1000).shares().collect()
@@ -78,3 +78,19 @@ def test_edge_tables(spark):
     m = mix.Mix(some, t)
     assert m.records().count() == 3 and m.shares().first().actual_share == 1
     assert mix.Mix(some, targets(spark, [])).records().count() == 0
+
+
+def test_few_documents_meet_their_shares(spark):
+    """Draws of few documents are uneven; the rate makes up for it, to a document or two."""
+    rows = [(i, f"text number {i} of the source " * (1 + i % 7), "abc"[(i % 10) // 4], 1, 1) for i in range(150)]
+    t = targets(spark, [("a", 0.2, 2), ("b", 0.3, 3), ("c", 0.5, 4)])
+    for seed in range(3):
+        for r in mix.Mix(docs(spark, rows), t, seed=seed).shares().collect():
+            assert r.most_repeats <= r.max_repeats and abs(r.actual_share - r.target_share) <= r.tolerance + 1e-9 < 0.06
+
+
+def test_high_rates_and_limits(spark):
+    b = mix.rate_bounds(900.0, 2000)
+    assert math.isclose(sum(1 - x for x in b), 900.0, rel_tol=1e-6) and mix.rate_bounds(0.0, 2) == [1.0, 1.0]
+    with pytest.raises(ValueError):
+        mix.Mix(docs(spark, [(1, "x", "a", 1, 1)]), targets(spark, [("a", 1.0, mix.MAX_REPEATS + 1)]))
