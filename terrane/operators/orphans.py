@@ -2,14 +2,18 @@
 
 Sorted integer parent keys are compressed into contiguous runs, and each distinct reference key is
 matched as-of to the last run that starts at or before it: a key beyond that run's end is an orphan.
-Keys of other types are first numbered in their sort order.
+Texts are read as an integer behind a stem: their last digits, else the code point of their last character.
+Each side is so coded by itself, and keys with one stem are matched like integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from terrane.functions.names import norm_name
 from terrane.session import cut
@@ -17,41 +21,69 @@ from terrane.session import cut
 BUCKET_BITS = 16  # the key space is cut into buckets of 2^16 keys; a run is cut at their bounds
 
 
-def key_runs(keys: DataFrame) -> DataFrame:
-    """Runs (bucket, start, end) of the distinct values of the BIGINT column `key`; nulls are no keys."""
-    k = keys.where("key IS NOT NULL").distinct().withColumn("bucket", F.shiftright("key", BUCKET_BITS))
-    in_order = W.partitionBy("bucket").orderBy("key")  # at most 2^16 rows, as keys are distinct
+def key_runs(keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs (*by, bucket, start, end) of the distinct values of the BIGINT column `key` for each value of `by`; null keys are none."""
+    k = keys.where("key IS NOT NULL").select(*by, "key").distinct().withColumn("bucket", F.shiftright("key", BUCKET_BITS))
+    in_order = W.partitionBy(*by, "bucket").orderBy("key")  # at most 2^16 rows, as keys are distinct
     k = k.withColumn("island", F.col("key") - F.row_number().over(in_order))
-    return k.groupBy("bucket", "island").agg(F.min("key").alias("start"), F.max("key").alias("end")).drop("island")
+    return k.groupBy(*by, "bucket", "island").agg(F.min("key").alias("start"), F.max("key").alias("end")).drop("island")
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """The distinct values of refs' BIGINT `key` that parents' `key` lacks; nulls refer to nothing.
+def orphan_keys(refs: DataFrame, parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct (*by, key) of refs, with a BIGINT `key`, that parents lack; null keys refer to nothing.
 
     Each bucket is matched by one sorted pass over its run starts and its distinct reference keys, at
     most 2^17 rows whatever the number of references to one key.
     """
-    bucket = F.shiftright("key", BUCKET_BITS).alias("bucket")
     none = F.lit(None).cast("bigint")
-    asked = refs.where("key IS NOT NULL").select("key").distinct().select(bucket, "key", F.lit(1).alias("asks"), none.alias("end"))
-    runs = key_runs(parents.select("key")).select("bucket", F.col("start").alias("key"), F.lit(0).alias("asks"), "end")
-    before = W.partitionBy("bucket").orderBy("key", "asks").rowsBetween(W.unboundedPreceding, 0)
+    asked = refs.where("key IS NOT NULL").select(*by, "key").distinct()
+    asked = asked.select(*by, F.shiftright("key", BUCKET_BITS).alias("bucket"), "key", F.lit(1).alias("asks"), none.alias("end"))
+    runs = key_runs(parents, by).select(*by, "bucket", F.col("start").alias("key"), F.lit(0).alias("asks"), "end")
+    before = W.partitionBy(*by, "bucket").orderBy("key", "asks").rowsBetween(W.unboundedPreceding, 0)
     matched = runs.unionByName(asked).withColumn("run_end", F.last("end", ignorenulls=True).over(before))
-    return matched.where("asks = 1 AND (run_end IS NULL OR key > run_end)").select("key")
+    return matched.where("asks = 1 AND (run_end IS NULL OR key > run_end)").select(*by, "key")
+
+
+# What the integer of a value is: digits, a character, or none as the value is empty or null.
+_DIGITS, _CHARACTER, _EMPTY, _NULL = range(4)
+
+
+def coded(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The columns `on`, the last of them as (`kind`, `stem`, `key`): no two values have the same three.
+
+    Whole numbers are their own keys. Of a text, up to 18 last digits that do not begin with 0 are the key, and what
+    is before them the stem; without such digits the last character's code point is.
+    """
+    *rest, last = on
+    c = F.col(last)
+    if isinstance(rows.schema[last].dataType, IntegralType):
+        kind, stem, key = F.lit(_DIGITS), F.lit(""), c.cast("bigint")
+    else:
+        c = c.cast("string")
+        digits = F.regexp_extract(c, "(0|[1-9][0-9]{0,17})\\z", 1)
+        kind = F.when(c == "", _EMPTY).when(digits != "", _DIGITS).otherwise(_CHARACTER)
+        stem = F.substring(c, F.lit(1), F.length(c) - F.greatest(F.length(digits), F.lit(1)))
+        key = F.when(c == "", 0).when(digits != "", digits.try_cast("bigint")).otherwise(F.ascii(F.right(c, F.lit(1))))
+    null = F.col(last).isNull()
+    return rows.select(
+        *rest, F.when(null, _NULL).otherwise(kind).alias("kind"), F.when(null, "").otherwise(stem).alias("stem"), F.when(null, 0).otherwise(key).cast("bigint").alias("key")
+    )
 
 
 def orphan_values(refs: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
     """The distinct values of the columns `on` in refs that parents lack; a null is a value like any other.
 
-    All distinct values are numbered in sort order: ranges of values go to tasks, and a task numbers its
-    range on from its own base. The numbering is written down, so that a repeated task cannot change it.
+    The last column is coded as integers; the others and its stem say which keys are matched with which.
     """
-    both = refs.select(*on, F.lit(True).alias("asks")).unionByName(parents.select(*on, F.lit(False).alias("asks")))
-    values = both.groupBy(*on).agg(F.bool_or("asks").alias("asks"), F.bool_or(~F.col("asks")).alias("owns"))
-    numbered = values.repartitionByRange(*on).sortWithinPartitions(*on).withColumn("key", F.monotonically_increasing_id())
-    numbered = cut(numbered, "numbered")
-    orphans = orphan_keys(numbered.where("asks"), numbered.where("owns")).withColumnRenamed("key", "_key")
-    return numbered.join(orphans, F.col("key") == F.col("_key"), "left_semi").select(*on)
+    *rest, last = on
+    kind = refs.schema[last].dataType
+    found = orphan_keys(coded(refs, on), coded(parents, on), [*rest, "kind", "stem"])
+    if isinstance(kind, IntegralType):
+        value = F.when(F.col("kind") != _NULL, F.col("key")).cast(kind)
+    else:
+        end = F.when(F.col("kind") == _DIGITS, F.col("key").cast("string")).when(F.col("kind") == _CHARACTER, F.decode(F.unhex(F.lpad(F.hex("key"), 8, "0")), "UTF-32")).otherwise("")
+        value = F.when(F.col("kind") != _NULL, F.concat("stem", end))
+    return found.select(*rest, value.alias(last))
 
 
 def references(changes: DataFrame, findings: DataFrame) -> DataFrame:
@@ -91,25 +123,28 @@ def reference_status(changes: DataFrame, findings: DataFrame, tables: DataFrame,
         F.min("created_at").alias("created_at"),
         F.when(F.bool_and(F.col("dropped_at").isNotNull()), F.max("dropped_at")).alias("dropped_at"),
     )
-    missing_tables = orphan_values(refs.select("name"), owned.select("name"), ["name"]).select(F.col("name").alias("_m"), F.lit(True).alias("missing"))
-
-    have = columns.select(norm_name(F.col("table_name")).alias("name"), norm_name(F.col("column_name")).alias("col"))
-    have = have.where("name IS NOT NULL AND col IS NOT NULL")
-    lists = refs.where("size(cols) > 0").select("name", "cols").distinct()
-    pairs = lists.select("name", F.explode("cols").alias("col"))
-    missing_cols = orphan_values(pairs, have, ["name", "col"])
-    # A list of columns that names a missing one; the lists are distinct, so a popular key counts once.
+    owned = cut(owned, "owned")
+    have = columns.select(norm_name(F.col("table_name")).alias("scope"), norm_name(F.col("column_name")).alias("item"))
+    have = have.where("scope IS NOT NULL AND item IS NOT NULL")
+    # Lists of columns are distinct, so a popular key counts once.
+    lists = cut(refs.where("size(cols) > 0").select("name", "cols").distinct(), "lists")
+    none = F.lit(None).cast("string")
+    # Tables are items without a scope, columns are items of their table: one match finds both.
+    asked = refs.select(none.alias("scope"), F.col("name").alias("item")).unionByName(lists.select(F.col("name").alias("scope"), F.explode("cols").alias("item")))
+    missing = cut(orphan_values(asked, have.unionByName(owned.select(none.alias("scope"), F.col("name").alias("item"))), ["scope", "item"]), "missing")
+
     bad = lists.select("name", "cols", F.explode("cols").alias("col")).alias("l").join(
-        missing_cols.alias("m"),
-        F.col("l.name").eqNullSafe(F.col("m.name")) & F.col("l.col").eqNullSafe(F.col("m.col")),
+        missing.where("scope IS NOT NULL").alias("m"),
+        (F.col("l.name") == F.col("m.scope")) & F.col("l.col").eqNullSafe(F.col("m.item")),
         "left_semi",
     )
     bad = bad.select(F.col("name").alias("_bn"), F.col("cols").alias("_bc")).distinct().withColumn("missing_col", F.lit(True))
 
-    # The times of each name and what is missing, one row per name; references to a popular name stay where they are
+    # One row per name: its times, or that it is missing. References to a popular name stay where they are
     # if this is small, and adaptive execution splits their partition if it is not.
-    facts = missing_tables.join(owned, F.col("_m") == F.col("name"), "full")
-    facts = facts.select(F.coalesce("_m", "name").alias("_n"), "missing", "created_at", "dropped_at")
+    time = F.lit(None).cast(refs.schema["at"].dataType)
+    facts = owned.select(F.col("name").alias("_n"), F.lit(False).alias("missing"), "created_at", "dropped_at")
+    facts = facts.unionByName(missing.where("scope IS NULL").select(F.col("item").alias("_n"), F.lit(True).alias("missing"), time.alias("created_at"), time.alias("dropped_at")))
     joined = refs.join(facts, F.col("name") == F.col("_n"), "left")
     joined = joined.join(bad, (F.col("name") == F.col("_bn")) & (F.col("cols") == F.col("_bc")), "left")
     status: Column = (

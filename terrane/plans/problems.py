@@ -38,17 +38,28 @@ def p2_found(spark, d):
     return rejects.rejected(table(spark, d, "raw_log_lines")).select("line_id", "reason").distinct()
 
 
-@query("p2_rejects")
+_P2_ALL = P2_SQL.rsplit("SELECT DISTINCT", 1)[0].replace("SELECT line_id, CASE", "SELECT line_id, f, CASE")
+
+
+@query("p2_rejects", _P2_ALL + "SELECT DISTINCT t.line_id, reason, l.line FROM t JOIN raw_log_lines l ON l.line_id = t.line_id WHERE reason IS NOT NULL")
 def p2_rejects(spark, d):
     return rejects.rejected(table(spark, d, "raw_log_lines"))
 
 
-@query("p2_operations")
+@query(
+    "p2_operations",
+    _P2_ALL + """SELECT line_id, f[2] AS source_file, f[3] AS version, f[4]::DECIMAL(38, 0) AS statement_index, f[5] AS operation, f[6] AS table_name, f[7] AS raw_sql,
+  strptime(f[8], '%Y-%m-%dT%H:%M:%SZ') AS applied_at FROM t WHERE reason IS NULL AND f[1] = 'O'""",
+)
 def p2_operations(spark, d):
     return rejects.load_operations(table(spark, d, "raw_log_lines"))
 
 
-@query("p2_results")
+@query(
+    "p2_results",
+    _P2_ALL + """SELECT line_id, f[2] AS filename, f[3] AS version, f[4] = 'true' AS skipped, f[5]::JSON::VARCHAR[] AS errors,
+  strptime(f[6], '%Y-%m-%dT%H:%M:%SZ') AS applied_at FROM t WHERE reason IS NULL AND f[1] = 'R'""",
+)
 def p2_results(spark, d):
     return rejects.load_results(table(spark, d, "raw_log_lines"))
 

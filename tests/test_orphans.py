@@ -73,3 +73,21 @@ def test_reference_status(spark):
 
 def test_empty(spark):
     assert statuses(spark, [], [], [], []).count() == 0
+
+
+_NAMES = st.text("aZ_.019é€\U0001f600", max_size=5) | st.integers(0, 40).map(lambda i: f"T_{i}") | st.integers(0, 12).map(lambda i: f"T_{i:03}") | st.just("9" * 25) | st.none()
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(_NAMES, max_size=40), st.lists(_NAMES, max_size=40))
+def test_orphan_texts(spark, refs, have):
+    """Texts are coded by each side alone; what is found are the differences of the sets."""
+    rows = [spark.createDataFrame([(x,) for x in side], "n string") for side in (refs, have)]
+    got = [r.n for r in orphans.orphan_values(*rows, ["n"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(refs) - set(have)
+
+
+def test_runs_compress_numbered_names(spark):
+    names = spark.createDataFrame([(f"ORDERS_{i}",) for i in range(1, 2001)], "n string")
+    runs = orphans.key_runs(orphans.coded(names, ["n"]), ["kind", "stem"]).collect()
+    assert [(r.stem, r.start, r.end) for r in runs] == [("ORDERS_", 1, 2000)]
