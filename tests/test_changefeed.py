@@ -111,3 +111,37 @@ def test_sequence_key_sorts_as_versions(spark):
     df = spark.createDataFrame([(v, i) for v in versions for i in (0, 2, 10)], "v string, i int")
     got = [(r.v, r.i) for r in df.withColumn("k", sequence_key(F.col("v"), F.col("i"))).orderBy("k").collect()]
     assert [order(v, i) for v, i in got] == sorted(order(v, i) for v in versions for i in (0, 2, 10))
+
+
+def contradicting(seed):
+    """A feed whose later deliveries say something else than the first, some with another kind of statement."""
+    rng = random.Random(seed)
+    rows = feed(seed)
+    for r in rows:
+        if r["op_id"] >= 10_000:
+            r |= {"data_type": "XML"} | ({"operation": rng.choice(["COMMENT", "DROP_COLUMN", "ADD_COLUMN"]), "column_name": "x"} if rng.random() < 0.5 else {})
+    return rows
+
+
+def test_the_first_delivery_counts_in_any_batches(spark):
+    rows = contradicting(5)
+    want = fold(rows)
+    assert state(cf.current_columns(spark.createDataFrame(rows, SCHEMA))) == want
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        path = scratch(spark, "batches")
+        for k in range(3):
+            cf.append_changes(spark.createDataFrame(rows[k::3], SCHEMA), path)
+        assert state(cf.read_state(spark, path)) == want
+        assert state(cf.read_state(spark, path, rows_per_task=7)) == want  # hot tables are spread
+
+
+def test_compacted_files_go_on(spark):
+    rows = feed(21)
+    path, small = scratch(spark, "batches"), scratch(spark, "compacted")
+    cf.append_changes(spark.createDataFrame(rows[:400], SCHEMA), path)
+    cf.compact(spark, path, small)
+    assert spark.read.parquet(small).count() < spark.read.parquet(path).count()
+    assert state(cf.read_state(spark, small)) == fold(rows[:400])
+    cf.append_changes(spark.createDataFrame(rows[400:], SCHEMA), small)
+    assert state(cf.read_state(spark, small)) == fold(rows)
