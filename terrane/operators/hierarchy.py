@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from terrane.session import cut
 
-ROWS_PER_PART = 50_000  # nodes of a partition, and of a quotient that one task solves
+ROWS_PER_PART = 20_000  # nodes of a partition, and of a quotient that one task solves
+LABELS_PER_BATCH = 500_000  # ids in the paths that a task holds and gives back at a time
 MAX_BROADCAST = 100_000  # hot parents, those of more than half a partition of nodes, are sent to all executors up to this number
 
 _FRAGMENT = "id string, ext string, frag array<string>, least string, cyc string"
@@ -30,12 +31,12 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not frames:
         return
     rows = pd.concat(frames, ignore_index=True)
-    ids, labels, least = rows["id"].tolist(), [list(x) for x in rows["label"]], rows["least"].tolist()
+    ids, labels, least = rows["id"].tolist(), rows["label"].tolist(), rows["least"].tolist()
     nexts = [x if isinstance(x, str) else None for x in rows["next"]]
     cyc = [x if isinstance(x, str) else None for x in rows["cyc"]]
     at = {x: i for i, x in enumerate(ids)}
     ext: list = [None] * len(ids)
-    frag: list = [None] * len(ids)
+    up = [-1] * len(ids)  # the node before in the fragment; paths are written out only as they are given back
     new, walking, done = 0, 1, 2
     state = bytearray(len(ids))
     for start in range(len(ids)):
@@ -45,7 +46,7 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if cyc[u] is not None or v is None:
                 state[u] = done
                 if cyc[u] is None:
-                    ext[u], frag[u] = nexts[u], labels[u]
+                    ext[u] = nexts[u]
                 break
             state[u] = walking
             walk.append(u)
@@ -62,9 +63,24 @@ def _contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if cyc[y] is not None:
                 cyc[x] = cyc[y]
             else:
-                ext[x], frag[x] = ext[y], frag[y] + labels[x]
+                ext[x], up[x] = ext[y], y
                 least[x] = min(least[x], least[y])  # if the fragment is part of a ring, its share of the least code
-    yield pd.DataFrame({"id": ids, "ext": ext, "frag": frag, "least": least, "cyc": cyc})
+
+    start, held, frags = 0, 0, []
+    for i in range(len(ids)):
+        frag = None
+        if cyc[i] is None:
+            chain, u = [], i
+            while u >= 0:
+                chain.append(labels[u])
+                u = up[u]
+            frag = [x for own in reversed(chain) for x in own]
+            held += len(frag)
+        frags.append(frag)
+        if held >= LABELS_PER_BATCH or i == len(ids) - 1:
+            own = slice(start, i + 1)
+            yield pd.DataFrame({"id": ids[own], "ext": ext[own], "frag": frags, "least": least[own], "cyc": cyc[own]})
+            start, held, frags = i + 1, 0, []
 
 
 def _solve(nodes: DataFrame, size: int, rows_per_part: int, level: int) -> DataFrame:

@@ -101,12 +101,11 @@ SELECT id AS category_code, array_to_string(path, '/') AS path, (len(path) - 1):
 P3_DESC_SQL = (
     _P3_CTE
     + r"""
-walk(id, path) AS (
-  SELECT id, [id] FROM c WHERE id NOT IN (SELECT id FROM link)
-  UNION ALL SELECT l.id, list_append(w.path, l.id) FROM walk w JOIN link l ON l.p = w.id
+walk(id, up, path) AS (
+  SELECT id, p, [id] FROM link WHERE p <> id
+  UNION ALL SELECT w.id, l.p, list_append(w.path, w.up) FROM walk w JOIN link l ON l.id = w.up WHERE l.p <> w.up AND NOT list_contains(w.path, l.p)
 )
-SELECT a AS category_code, id AS descendant, (len(path) - list_position(path, a))::INT AS distance
-FROM (SELECT id, path, unnest(path) AS a FROM walk) WHERE a <> id
+SELECT up AS category_code, id AS descendant, len(path)::INT AS distance FROM walk
 """
 )
 
@@ -124,7 +123,7 @@ def p3_paths(spark, d):
 
 @query("p3_descendants", P3_DESC_SQL)
 def p3_descendants(spark, d):
-    """Descendants of all categories; the SQL leaves out those on and below cycles."""
+    """Descendants of all categories, those on and below cycles included."""
     rows = hierarchy.all_descendants(_links(spark, d))
     return rows.withColumnRenamed("ancestor", "category_code")
 
@@ -169,6 +168,13 @@ def p4_counts(spark, d):
     return orphans.orphan_counts(_statuses(spark, d))
 
 
+@query("integer_orphans_found", "SELECT DISTINCT op_id AS key FROM operations WHERE op_id NOT IN (SELECT op_id FROM operations WHERE raw_sql IS NOT NULL)")
+def integer_orphans_found(spark, d):
+    """Deliveries that no delivery with a text has the number of: keys of both sides are matched as the integers they are."""
+    ops = table(spark, d, "operations").select(F.col("op_id").alias("key"), "raw_sql")
+    return orphans.orphan_keys(ops.select("key"), ops.where("raw_sql IS NOT NULL").select("key"))
+
+
 @query(
     "integer_orphan_keys",
     "SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import pandas as pd
 import pytest
 
 from terrane.operators import hierarchy as h
@@ -93,3 +94,14 @@ def test_descendants_on_and_below_cycles(spark, monkeypatch, name):
     assert len(rows) == len(want) and {tuple(r) for r in rows} == {(a.upper(), b.upper(), n) for a, b, n in want}
     got = h.all_descendants(spark.createDataFrame(list(parent.items()), "id string, next string"), 40).collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_paths_of_a_long_chain_come_in_slices(monkeypatch):
+    monkeypatch.setattr(h, "LABELS_PER_BATCH", 5_000)
+    n = 1_500
+    ids = [f"{i:05}" for i in range(n)]
+    frame = pd.DataFrame({"id": ids, "next": [*ids[1:], None], "label": [[x] for x in ids], "least": ids, "cyc": [None] * n})
+    parts = list(h._contract(iter([frame])))
+    assert len(parts) > 100 and max(p["frag"].map(len).sum() for p in parts) < 5_000 + n
+    got = pd.concat(parts)
+    assert got["id"].tolist() == ids and [f[0] for f in got["frag"]] == [ids[-1]] * n and got["frag"].map(len).tolist() == list(range(n, 0, -1))
