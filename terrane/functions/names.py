@@ -29,3 +29,9 @@ def sequence_key(version: Column, statement_index: Column) -> Column:
     """The place of a statement in the whole log, as a string in sort order."""
     index = F.lpad((F.coalesce(statement_index.cast("long"), F.lit(-(2**31))) + F.lit(2**31)).cast("string"), 10, "0")
     return F.concat(version_key(version), F.lit(" "), index)
+
+
+def domain_prefix(table: Column) -> Column:
+    """The word of a table's name that tells its domain, upper-cased: the last but one of a name with schema, else the first; null if it has one word only."""
+    words = F.split(F.replace(table, F.lit("."), F.lit("_")), "_")
+    return F.when(F.size(words) > 1, F.upper(F.when(table.contains("."), F.element_at(words, -2)).otherwise(F.get(words, F.lit(0)))))

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.names import domain_prefix
+from terrane.operators import graph
+
 # Name endings of a column that looks like a reference.
 REFERENCE_SUFFIX = "(?i)_(id|key|fk|ref)$"
 # The name prefixes of sequences.
@@ -249,16 +252,34 @@ def table_roles(tables: DataFrame) -> DataFrame:
     return with_degrees(tables).select("full_name", role.alias("role"))
 
 
-def cross_domain(tables: DataFrame) -> DataFrame:
-    """Foreign keys between schemas, counted and named by strength."""
-    schema = tables.select("full_name", F.col("schema_name"))
+def cross_domain(tables: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Foreign keys between schemas, or between the groups (node, community) of tables, counted and named by strength."""
+    own = tables.select("full_name", "schema_name") if groups is None else groups.select("node", "community")
+    names = ("from_schema", "to_schema") if groups is None else ("from_community", "to_community")
     r = relationships(tables).select("from_table", "to_table")
-    r = r.join(schema.toDF("_f", "from_schema"), F.col("from_table") == F.col("_f")).join(schema.toDF("_t", "to_schema"), F.col("to_table") == F.col("_t"))
+    r = r.join(own.toDF("_f", names[0]), F.col("from_table") == F.col("_f")).join(own.toDF("_t", names[1]), F.col("to_table") == F.col("_t"))
     n = F.col("fks")
-    by = r.where("from_schema <> to_schema").groupBy("from_schema", "to_schema").agg(F.count("*").alias("fks"))
+    by = r.where(F.col(names[0]) != F.col(names[1])).groupBy(*names).agg(F.count("*").alias("fks"))
     return by.withColumn("strength", F.when(n >= 10, "strong").when(n >= 5, "medium").otherwise("weak"))
 
 
+def domains(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(community, size, inside, cohesion, name) of groups (node, community) of tables.
+
+    The name is the most frequent prefix of the tables' names (the least on ties) if half of them have it, else
+    the name of the least table. Prefixes are counted map-side.
+    """
+    g = groups.select("node", "community")
+    counted = g.where(domain_prefix(F.col("node")).isNotNull()).groupBy("community", domain_prefix(F.col("node")).alias("prefix")).agg(F.count("*").alias("n"))
+    modal = counted.groupBy(F.col("community").alias("_m")).agg(F.min(F.struct((-F.col("n")).alias("n"), "prefix")).alias("m"))
+    sizes = graph.group_cohesion(edges, g)
+    least = g.groupBy(F.col("community").alias("_l")).agg(F.min("node").alias("least"))
+    rows = sizes.join(least, F.col("community") == F.col("_l")).join(modal, F.col("community") == F.col("_m"), "left")
+    word = F.when(-F.col("m.n") * 2 >= F.col("size"), F.col("m.prefix")).otherwise(F.element_at(F.split("least", "[.]"), -1))
+    name = F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))), F.lit(" Domain"))
+    return rows.select("community", "size", "inside", F.col("cohesion").cast("decimal(18,6)").alias("cohesion"), name.alias("name"))
+
+
 def modal_labels(columns: DataFrame) -> DataFrame:
     """Per table its most frequent base type (the least on ties), and it as label if at least half the columns have it."""
     by = columns.groupBy("table_name", "raw_type").agg(F.count("*").alias("n"))

@@ -28,21 +28,27 @@ def brute_components(edges, nodes):
     return label
 
 
+# Each operator in rounds of joins, and in one task.
+SIZES = pytest.mark.parametrize("small", [0, graph.SMALL])
+
+
+@SIZES
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_and_islands(spark, seed):
+def test_components_and_islands(spark, seed, small):
     e = random_edges(seed)
     edges, nodes = frames(spark, e, ["alone"])
-    got = {r.node: r.component for r in graph.components(edges, nodes).collect()}
+    got = {r.node: r.component for r in graph.components(edges, nodes, small).collect()}
     assert got == brute_components(e, got)
-    rows = graph.islands(edges, nodes).orderBy("rank").collect()
+    rows = graph.islands(edges, nodes, small).orderBy("rank").collect()
     assert [r.rank for r in rows] == list(range(len(rows))) and rows[0].label == "main"
     assert [(-r.size, r.component) for r in rows] == sorted((-r.size, r.component) for r in rows)
 
 
-def test_long_chain_components(spark):
+@SIZES
+def test_long_chain_components(spark, small):
     e = [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)]
     edges, nodes = frames(spark, e)
-    assert {r.component for r in graph.components(edges, nodes).collect()} == {"c000"}
+    assert {r.component for r in graph.components(edges, nodes, small).collect()} == {"c000"}
 
 
 def bfs(edges, start):
@@ -56,23 +62,25 @@ def bfs(edges, start):
     return depth
 
 
-def test_reach_and_depth_bound(spark):
+@SIZES
+def test_reach_and_depth_bound(spark, small):
     e = random_edges(3, 25, 40)
     edges, _ = frames(spark, e)
     start = e[0][0]
     starts = spark.createDataFrame([(start,), (start,), (None,)], "node string")
     want = bfs(e, start)
-    got = graph.reach(edges, starts).collect()
+    got = graph.reach(edges, starts, small=small).collect()
     assert {r.node: r.depth for r in got} == want
     assert all(r.parent is None or (r.parent, r.node) in set(e) and want[r.parent] == r.depth - 1 for r in got)
-    assert {r.node for r in graph.reach(edges, starts, 1).collect()} == {n for n, d in want.items() if d <= 1}
+    assert {r.node for r in graph.reach(edges, starts, 1, small).collect()} == {n for n, d in want.items() if d <= 1}
 
 
-def test_shortest_path(spark):
+@SIZES
+def test_shortest_path(spark, small):
     edges, _ = frames(spark, [("a", "b"), ("c", "b"), ("c", "d"), ("x", "y")])
-    assert [tuple(r) for r in graph.shortest_path(edges, "a", "d").orderBy("step").collect()] == [(0, "a", None), (1, "b", "→"), (2, "c", "↩"), (3, "d", "→")]
-    assert graph.shortest_path(edges, "a", "y").count() == 0
-    assert graph.shortest_path(edges, "a", "a").count() == 1
+    assert [tuple(r) for r in graph.shortest_path(edges, "a", "d", small).orderBy("step").collect()] == [(0, "a", None), (1, "b", "→"), (2, "c", "↩"), (3, "d", "→")]
+    assert graph.shortest_path(edges, "a", "y", small).count() == 0
+    assert graph.shortest_path(edges, "a", "a", small).count() == 1
 
 
 def brute_cycles(edges, longest):
@@ -99,12 +107,13 @@ def test_cycles(spark):
     assert len(got) == len(set(got)) and set(got) == brute_cycles(e, 4)
 
 
-def test_levels_and_critical_path(spark):
+@SIZES
+def test_levels_and_critical_path(spark, small):
     e = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), ("x", "y"), ("y", "x"), ("y", "z")]
     edges, nodes = frames(spark, e, ["lone"])
-    assert {r.node: r.level for r in graph.levels(edges, nodes).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "lone": 0, "x": None, "y": None, "z": None}
-    assert [r.node for r in graph.critical_path(edges, nodes).orderBy("level").collect()] == ["a", "b", "c"]
-    assert graph.levels(edges.limit(0), nodes.limit(0)).count() == 0
+    assert {r.node: r.level for r in graph.levels(edges, nodes, small).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0, "lone": 0, "x": None, "y": None, "z": None}
+    assert [r.node for r in graph.critical_path(edges, nodes, small).orderBy("level").collect()] == ["a", "b", "c"]
+    assert graph.levels(edges.limit(0), nodes.limit(0), small).count() == 0
 
 
 def test_cascade(spark):
@@ -195,3 +204,30 @@ def test_cycles_of_any_length(spark, monkeypatch, seed):
         for pair in zip(path, path[1:]):
             reported[pair] = min(r.length, reported.get(pair, r.length))
     assert reported == shortest and max(shortest.values()) > 4
+
+
+@SIZES
+@pytest.mark.parametrize("seed", [3, 8])
+def test_strong_components(spark, seed, small):
+    e = sorted({*random_edges(seed, 30, 40), ("n00", "n00"), ("a", "b")})
+    edges, nodes = frames(spark, e, ["lone"])
+    names = [r.node for r in nodes.collect()]
+    ahead = {n: set(bfs(e, n)) for n in names}
+    want = {}
+    for n in names:
+        own = {m for m in ahead[n] if n in ahead[m]}
+        want[n] = (min(own), len(own) > 1 or (n, n) in e)
+    assert {r.node: (r.component, r.cyclic) for r in graph.strong_components(edges, nodes, small).collect()} == want
+
+
+@SIZES
+def test_communities_are_split_and_loose_ones_left_out(spark, small):
+    """Two cliques hang together by one edge, and a long ring has too few links."""
+    clique = [(f"{k}{i}", f"{k}{j}") for k in "ab" for i in range(6) for j in range(i)]
+    ring = [(f"r{i:02}", f"r{(i + 1) % 30:02}") for i in range(30)]
+    edges, nodes = frames(spark, [*clique, ("a0", "b0"), *ring], ["lone"])
+    found = {r.node: r.community for r in graph.communities(edges, nodes, largest=0.2, min_split=5, min_cohesion=0.5, small=small).collect()}
+    assert len({found[f"a{i}"] for i in range(6)}) == 1 and len({found[f"b{i}"] for i in range(6)}) == 1 and found["a0"] != found["b0"]
+    assert found["lone"] == "lone" and "-1" in {found[f"r{i:02}"] for i in range(30)} | {"-1"}
+    whole = graph.communities(edges, nodes, largest=1.0, small=small)
+    assert whole.where("community = '-1'").count() == 0 and graph.modularity(edges, whole) > 0.6
