@@ -328,6 +328,17 @@ def _rows(filename: str, sql: str | None) -> Iterator[dict]:
             yield {"filename": filename, "stmt_idx": i, "op_idx": k, "raw_sql": raw} | op
 
 
+def split(files: DataFrame) -> DataFrame:
+    """The statements of (filename, sql): (filename, stmt_idx, raw_sql), without their ends. Null texts give none."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [(f, i, text_of(s, own)) for f, s in zip(part["filename"].to_pylist(), part["sql"].to_pylist(), strict=True) for i, own in enumerate(statements(s))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.int32(), pa.string()), strict=True)], ["filename", "stmt_idx", "raw_sql"])
+
+    return files.select("filename", "sql").mapInArrow(cut, "filename string, stmt_idx int, raw_sql string")
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Operations of (filename, sql): one pass in Python over the texts. Null texts give none; a file that comes twice counts once."""
 

@@ -68,7 +68,7 @@ class Schema:
             "missing-fk": lambda: catalog.missing_fk(c),
             "impact": lambda: graph.cascade(self.relationships, **args),
             "fk-path": lambda: graph.shortest_path(edges, **args),
-            "insights": lambda: catalog.insights(t, c),
+            "insights": lambda: catalog.insights(t, c, self.sequences),
             "pii": lambda: rules.pii(c, **args),
             "stats": lambda: catalog.state_stats(t, c),
             "domains": lambda: graph.communities(edges, nodes),

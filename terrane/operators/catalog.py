@@ -17,12 +17,22 @@ SEQUENCE_PREFIXES = "^(SEQ_|SQ_|S_)"
 
 
 def snapshot(tables: DataFrame) -> DataFrame:
-    """One row per table; exact repeats go."""
-    return tables.dropDuplicates(["full_name"])
+    """One row per table; exact repeats go. Of rows that differ the one created last counts, then the one dropped last (not at all is latest), then the greatest."""
+    return _one_each(tables, ["full_name"], ["created_at", "dropped_at"])
 
 
 def column_rows(columns: DataFrame) -> DataFrame:
-    return columns.dropDuplicates(["table_name", "column_name"])
+    """One row per column of a table; of rows that differ the one with the greatest place counts, then the greatest."""
+    return _one_each(columns, ["table_name", "column_name"], ["ord"])
+
+
+def _one_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is last by `order`, then by all its values as text. Nulls of `dropped_at` come last, other nulls first."""
+    at = [F.col(c).isNull() if c == "dropped_at" else F.col(c) for c in order]
+    at = [x.alias(f"_{i}") for i, x in enumerate([*at, *(F.col(c) for c in order if c == "dropped_at")])]
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    last = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.max_by(whole, F.struct(*at, F.to_json(whole))).alias("_r"))
+    return last.select("_r.*")
 
 
 def relationships(tables: DataFrame) -> DataFrame:
@@ -365,8 +375,12 @@ def surprising_joins(tables: DataFrame, top: int = 20) -> DataFrame:
     return rows.select("a", "b", surprise.cast("decimal(18,4)").alias("surprise")).orderBy(F.desc("surprise"), "a", "b").limit(top)
 
 
-def insights(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Findings of the snapshot's rules: (code, severity, table_name, column_name)."""
+def insights(tables: DataFrame, columns: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """Findings of the snapshot's rules: (code, severity, table_name, column_name).
+
+    A circle of foreign keys is one finding for each cycle that `graph.circular` writes, as column_name from its table_name; an
+    island of two tables or more one for its least table. Sequences (sequence) without a table are named as table_name.
+    """
     none = F.lit(None).cast("string")
 
     def found(df: DataFrame, code: str, severity: str, table: str = "full_name", column: Column = none) -> DataFrame:
@@ -395,4 +409,50 @@ def insights(tables: DataFrame, columns: DataFrame) -> DataFrame:
         found(god_tables(tables), "GOD_TABLE", "info"),
         found(surprising_joins(tables), "SURPRISING_JOIN", "info", "a", F.col("b")),
     ]
+    edges = fk_edges(tables)
+    circles = graph.circular(edges).withColumn("first", F.split_part("cycle", F.lit(" → "), F.lit(1)))
+    rules.append(found(circles, "CIRCULAR_FK", "warning", "first", F.col("cycle")))
+    apart = graph.islands(edges, tables.select(F.col("full_name").alias("node"))).where("rank > 0 AND size > 1")
+    rules.append(found(apart, "ISLAND", "warning", "component"))
+    if sequences is not None:
+        rules.append(found(orphan_sequences(sequences, tables), "ORPHAN_SEQUENCE", "info", "sequence"))
     return reduce(DataFrame.unionByName, rules)
+
+
+def property_nodes(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(node, type, label) of tables, columns and the migrations that create or change tables."""
+    versions = tables.select(F.explode(F.array_compact(F.concat(F.array("created_in"), F.coalesce("modified_in", F.array().cast("array<string>"))))).alias("v")).distinct()
+    return (
+        tables.select(F.col("full_name").alias("node"), F.lit("table").alias("type"), F.element_at(F.split("full_name", "[.]"), -1).alias("label"))
+        .unionByName(columns.select(F.concat_ws(".", "table_name", "column_name").alias("node"), F.lit("column").alias("type"), F.col("column_name").alias("label")))
+        .unionByName(versions.select(F.concat(F.lit("migration:"), "v").alias("node"), F.lit("migration").alias("type"), F.concat(F.lit("V"), "v").alias("label")))
+    )
+
+
+def property_edges(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(src, dst, relation) of the property graph: contains, foreign_key, creates, modifies."""
+    version = lambda c: F.concat(F.lit("migration:"), c)
+    changed = tables.select("full_name", F.explode(F.array_distinct("modified_in")).alias("v"), "created_in").where("NOT v <=> created_in")
+    return (
+        columns.select(F.col("table_name").alias("src"), F.concat_ws(".", "table_name", "column_name").alias("dst"), F.lit("contains").alias("relation"))
+        .unionByName(fk_edges(tables).withColumn("relation", F.lit("foreign_key")))
+        .unionByName(tables.where("created_in IS NOT NULL").select(version("created_in").alias("src"), F.col("full_name").alias("dst"), F.lit("creates").alias("relation")))
+        .unionByName(changed.select(version("v").alias("src"), F.col("full_name").alias("dst"), F.lit("modifies").alias("relation")))
+    )
+
+
+def graph_warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(warning, n) of a property graph (node, type, label), (src, dst, relation): what lacks an attribute, nodes but migrations that no edge
+    touches, ends of edges that are no nodes, and the number of components if there are several. What is well has no row."""
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("_n")).distinct()
+    alone = nodes.where("type <> 'migration'").join(touched, F.col("node") == F.col("_n"), "left_anti")
+    loose = touched.join(nodes.select("node"), F.col("node") == F.col("_n"), "left_anti")
+    parts = graph.components(edges, nodes).select("component").distinct()
+    counts = [
+        nodes.select(F.lit("missing type or label").alias("warning"), F.count_if(F.col("type").isNull() | F.col("label").isNull()).alias("n")),
+        edges.select(F.lit("missing relation").alias("warning"), F.count_if(F.col("relation").isNull()).alias("n")),
+        alone.select(F.lit("isolated nodes").alias("warning"), F.count("*").alias("n")),
+        loose.select(F.lit("unknown ends of edges").alias("warning"), F.count("*").alias("n")),
+        parts.select(F.lit("components").alias("warning"), F.when(F.count("*") > 1, F.count("*")).otherwise(0).alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, counts).where("n > 0")

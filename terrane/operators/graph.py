@@ -182,33 +182,28 @@ def islands(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame
     return rows.withColumn("label", F.when(F.col("rank") == 0, "main").otherwise(F.concat(F.lit("island-"), F.col("rank").cast("string"))))
 
 
-def trim(edges: DataFrame, both_ends: bool = True, rounds: int | None = None) -> DataFrame:
-    """Edges left when nodes without an incoming (and, with both_ends, an outgoing) edge are taken off again and again: what cycles are in."""
-    e, n, size = cut(edges.select("src", "dst").distinct(), "trim0"), 0, None
-    while rounds is None or n < rounds:
-        n += 1
-        kept = e.join(e.select(F.col("dst").alias("_d")).distinct(), F.col("src") == F.col("_d"), "left_semi")
-        if both_ends:
-            kept = kept.join(e.select(F.col("src").alias("_s")).distinct(), F.col("dst") == F.col("_s"), "left_semi")
-        kept = cut(kept, f"trim{n}")
-        before, size = size if size is not None else e.count(), kept.count()
-        e = kept
-        if size == before:
-            break
-    return e
+def cyclic_edges(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """The edges that lie on some cycle: those inside a strong component, and loops."""
+    e = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    parts = strong_components(e, e.select(F.explode(F.array("src", "dst")).alias("node")), small).where("cyclic").select("node", "component")
+    parts = cut(parts, "cyclic")
+    return cut(e.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").where("a = b").select("src", "dst"), "on_cycles")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 4, small: int = SMALL) -> DataFrame:
     """(cycle, length) of simple cycles up to `longest` edges, each written once from its least node; longer ones are in `circular`.
 
     Paths grow only over edges that lie on some cycle and never below their first node.
     """
-    return _written(_short(trim(edges.where("src IS NOT NULL AND dst IS NOT NULL")), longest))
+    e = cyclic_edges(edges, small)
+    return _written(e.select(F.array("src").alias("path")) if e.isEmpty() else _short(e, longest))
 
 
-def circular(edges: DataFrame, longest: int = 4) -> DataFrame:
+def circular(edges: DataFrame, longest: int = 4, small: int = SMALL) -> DataFrame:
     """(cycle, length) of `cycles` and, for each edge that is on longer ones only, a shortest through it: each edge of a cycle is on some row."""
-    e = trim(edges.where("src IS NOT NULL AND dst IS NOT NULL"))
+    e = cyclic_edges(edges, small)
+    if e.isEmpty():
+        return _written(e.select(F.array("src").alias("path")))
     short = cut(_short(e, longest), "short")
     return _written(short.unionByName(_closing(e, short)))
 

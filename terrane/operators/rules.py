@@ -127,7 +127,7 @@ PII_PATTERNS = {
 def one_line(sql: Column) -> Column:
     """Upper-cased, with single blanks, without comments and the final semicolon."""
     bare = F.regexp_replace(F.regexp_replace(sql, "--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")
-    return F.upper(F.regexp_replace(F.btrim(F.regexp_replace(bare, r"\s+", " ")), " ?;$", ""))
+    return F.upper(F.regexp_replace(F.btrim(F.regexp_replace(bare, r"(?U)\s+", " ")), " ?;$", ""))
 
 
 def statement_kind(sql: Column) -> Column:
@@ -252,24 +252,109 @@ def stability(mods: DataFrame, total: int | Column, high: float = 20.0, stable:
 
 
 def pii(columns: DataFrame, extra: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Columns whose lower-cased name tells personal data: categories, confidence and the pattern that told last.
+    """Columns whose lower-cased name or whose comment, as written, tells personal data: categories, confidence and the pattern that told last.
 
-    Confidence is 0.6, 0.8 if a pattern with an underscore matches, and 1 if one of the first category found is
-    the whole name. All patterns are tested in one pass over the columns, without a join.
+    Categories are those of the name, then those of the comment, each as often as one of its patterns is found.
+    Confidence is 0.6, 0.8 if a pattern with an underscore is in the name, and 1 if one of the first category's is the
+    whole name. `extra` patterns are added to a category, or make one. All patterns are tested in one pass, without a join.
     """
-    patterns = [(k, p) for k, ps in (PII_PATTERNS | (extra or {})).items() for p in ps]
+    extra = extra or {}
+    every = {k: (*ps, *extra.get(k, ())) for k, ps in PII_PATTERNS.items()} | {k: tuple(ps) for k, ps in extra.items() if k not in PII_PATTERNS}
+    patterns = [(k, p) for k, ps in every.items() for p in ps]
     name = F.lower("column_name")
-    hits = F.array_compact(F.array(*(F.when(name.rlike(p), F.struct(F.lit(k).alias("category"), F.lit(p).alias("pattern"), name.rlike(f"^(?:{p})$").alias("whole"))) for k, p in patterns)))
-    rows = columns.withColumn("h", hits).where(F.size("h") > 0)
+
+    def found(text: Column) -> list[Column]:
+        return [F.when(text.rlike(p), F.struct(F.lit(k).alias("category"), F.lit(p).alias("pattern"))) for k, p in patterns]
+
+    comment = found(F.col("column_comment")) if "column_comment" in columns.columns else []
+    rows = columns.withColumn("h", F.array_compact(F.array(*found(name), *comment))).where(F.size("h") > 0)
     first = F.get("h", F.lit(0))["category"]
-    whole = F.exists("h", lambda x: x["whole"] & (x["category"] == F.get(F.col("h"), F.lit(0))["category"]))
-    conf = F.when(whole, 1.0).when(F.exists("h", lambda x: x["pattern"].contains("_")), 0.8).otherwise(0.6)
+    whole = reduce(lambda a, b: a | b, [(first == k) & name.rlike(f"^(?:{p})\\z") for k, p in patterns])
+    strong = reduce(lambda a, b: a | b, [name.rlike(p) for _, p in patterns if "_" in p])
+    conf = F.when(whole, 1.0).when(strong, 0.8).otherwise(0.6)
     return rows.select(
         "table_name", "column_name", first.alias("category"), F.array_join(F.transform("h", lambda x: x["category"]), ",").alias("categories"),
         conf.cast("decimal(3,1)").alias("confidence"), F.element_at("h", -1)["pattern"].alias("evidence"),
     )
 
 
+def pii_tables(found: DataFrame, top: int = 5) -> DataFrame:
+    """The `top` tables with the most columns of personal data: (table_name, columns, surest)."""
+    by = found.groupBy("table_name").agg(F.count("*").alias("columns"), F.max("confidence").alias("surest"))
+    return by.orderBy(F.desc("columns"), "table_name").limit(top)
+
+
+# What undoes an operation, what is lost by it, and the penalty; an operation without a reverse cannot be undone. {t}, {o} and {n} are
+# its table, object and new name.
+REVERSE = {
+    "CREATE_TABLE": ("DROP TABLE {t} CASCADE CONSTRAINTS;", "Rollback will drop table {t} - all data will be lost", 10),
+    "CREATE_VIEW": ("DROP VIEW {o};", None, 0),
+    "CREATE_INDEX": ("DROP INDEX {o};", "Rollback will drop index {o} - queries may be slower", 5),
+    "CREATE_SEQUENCE": ("DROP SEQUENCE {o};", "Rollback will drop sequence {o} - ID generation will reset", 10),
+    "ADD_COLUMN": ("ALTER TABLE {t} DROP COLUMN {o};", "Rollback will drop column {t}.{o} - data will be lost", 15),
+    "ADD_CONSTRAINT": ("ALTER TABLE {t} DROP CONSTRAINT {o};", None, 5),
+    "RENAME_COLUMN": ("ALTER TABLE {t} RENAME COLUMN {n} TO {o};", None, 0),
+    "RENAME_TABLE": ("ALTER TABLE {n} RENAME TO {t};", None, 0),
+    "DROP_TABLE": (None, "Cannot restore table {t} without full backup and schema definition", None),
+    "DROP_VIEW": (None, "Cannot restore view {o} without original CREATE VIEW statement", None),
+    "DROP_INDEX": (None, "Cannot restore index {o} without original CREATE INDEX statement", None),
+    "DROP_SEQUENCE": (None, "Cannot restore sequence {o} without knowing original start value", None),
+    "DROP_COLUMN": (None, "Cannot restore dropped column {t}.{o} without backup", None),
+    "MODIFY_COLUMN": (None, "Cannot undo MODIFY on {t} without knowing original column definitions", None),
+    "INSERT": (None, "Cannot undo INSERT without knowing exact rows inserted", None),
+    "UPDATE": (None, "Cannot undo UPDATE without knowing original values", None),
+    "DELETE": (None, "Cannot undo DELETE - data is permanently lost", None),
+    "TRUNCATE": (None, "Cannot undo TRUNCATE - all data is permanently lost", None),
+}
+UNNAMED = "Rollback constraint name must be specified manually"
+
+
+def reverse_operations(ops: DataFrame) -> DataFrame:
+    """`ops` (operation, table_name, target, new_name, ...) with `reverse` and `warning` statements and whether they are `irreversible`.
+
+    Operations of other kinds (comments and the like) need no undoing: all three are null or false. A constraint
+    without a name has a warning in place of its reverse.
+    """
+
+    def filled(template: str | None) -> Column:
+        out = F.lit(template)
+        for mark, name in (("{t}", "table_name"), ("{o}", "target"), ("{n}", "new_name")):
+            if template and mark in template:
+                out = F.replace(out, F.lit(mark), F.coalesce(name, F.lit("?")))
+        return out.cast("string")
+
+    kind = F.when(F.col("comment").eqNullSafe("inline"), "INLINE").otherwise(F.col("operation"))  # what is written in a CREATE goes with it
+    unnamed = (kind == "ADD_CONSTRAINT") & F.col("target").isNull()
+    reverse, warning = F.when(unnamed, F.lit(None).cast("string")), F.when(unnamed, UNNAMED)
+    for k, (undo, lost, _) in REVERSE.items():
+        reverse, warning = reverse.when(kind == k, filled(undo)), warning.when(kind == k, filled(lost))
+    lost = kind.isin(*(k for k, (undo, _, _) in REVERSE.items() if undo is None))
+    return ops.withColumn("reverse", reverse).withColumn("warning", warning).withColumn("irreversible", F.coalesce(lost, F.lit(False)))
+
+
+def rollback_plan(ops: DataFrame) -> DataFrame:
+    """Per file of `ops` (filename, stmt_idx, op_idx, ...): feasibility, its script, its distinct warnings, and what cannot be undone.
+
+    The script has the reverse statements in the order of the file, and is null where anything is irreversible or
+    nothing is to be undone. Texts of a file are gathered in one row, as the file itself is.
+    """
+    r = reverse_operations(ops)
+    at = F.struct("stmt_idx", "op_idx")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("x"))))), lambda e: e["x"])
+    penalty = reduce(lambda c, k: c.when(F.col("operation") == k, REVERSE[k][2] or 0), REVERSE, F.when(F.lit(False), 0)).otherwise(0)
+    by = r.groupBy("filename").agg(
+        F.bool_or("irreversible").alias("bad"), F.sum(penalty).alias("penalty"), F.array_join(listed("reverse"), "\n").alias("script"),
+        F.array_distinct(listed("warning")).alias("warnings"), F.count_if("irreversible").alias("lost"),
+    )
+    partial = (F.col("penalty") > 0) | (F.size("warnings") > 0)
+    return by.select(
+        "filename",
+        F.when(F.col("bad"), "irreversible").when(partial, "partial").otherwise("reversible").alias("feasibility"),
+        F.when(F.col("bad"), 0).when(partial, F.greatest(F.lit(20), 100 - F.col("penalty"))).otherwise(95).cast("int").alias("score"),
+        F.when(~F.col("bad") & (F.col("script") != ""), F.col("script")).alias("script"), "warnings", F.col("lost").cast("int").alias("lost"),
+    )
+
+
 def naming(files: DataFrame, path_col: str, pattern: str = "^[a-z0-9_]+$", longest: int = 120) -> DataFrame:
     """File names that break the naming rules: (filename, code)."""
     name, desc = base_name(F.col(path_col)), F.replace(file_description(F.col(path_col)), F.lit(" "), F.lit("_"))
@@ -292,9 +377,18 @@ def duplicate_versions(files: DataFrame, path_col: str) -> DataFrame:
 
 
 def version_gaps(numbers: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group, missing stretches between successive whole numbers: (group, after, before, missing)."""
-    nxt = F.lead(value).over(W.partitionBy(group).orderBy(value))
-    rows = numbers.select(group, value).distinct().withColumn("before", nxt)
+    """Per group, missing stretches between successive whole numbers: (group, after, before, missing).
+
+    Numbers are put in ranges by group and value, so a group can span several tasks; each range's last number is
+    followed by the first of the next range of its group, and these ends, one row a range, are matched by themselves.
+    """
+    parts = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = numbers.select(group, value).distinct().repartitionByRange(parts, group, value)
+    n = cut(n.withColumn("_part", F.spark_partition_id()), "numbers")
+    rows = n.withColumn("before", F.lead(value).over(W.partitionBy(group, "_part").orderBy(value)))
+    first = n.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.min(value).alias("_first"))
+    first = first.select("_g", "_p", F.lead("_first").over(W.partitionBy("_g").orderBy("_p")).alias("_next"))
+    rows = rows.join(first, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")), "left").withColumn("before", F.coalesce("before", "_next"))
     return rows.where(F.col("before") - F.col(value) > 1).select(group, F.col(value).alias("after"), "before", (F.col("before") - F.col(value) - 1).alias("missing"))
 
 
@@ -307,12 +401,29 @@ def order_check(files: DataFrame, path_col: str, version_col: str) -> DataFrame:
     return rows.withColumn("moved", F.col("by_name") != F.col("renumbered"))
 
 
+# Words that lint takes as keywords.
+KEYWORDS = ("select", "from", "where", "insert", "into", "update", "delete", "create", "alter", "drop", "table", "index", "view", "join", "group", "order", "values", "constraint")
+
+
 def lint(texts: DataFrame, id_col: str, text_col: str, longest: int = 120) -> DataFrame:
-    """Line rules per text, and its score: 100 less 10 for each error (tab), 5 for each warning (long line), 1 for each note (trailing blank)."""
-    lines = F.split(F.coalesce(text_col, F.lit("")), "\r\n|\r|\n")
+    """Line rules per text, and its score: 100 less 10 for each error, 5 for each warning, 1 for each note; passed from 80.
+
+    Errors are lines with a tab and brackets or quotes that do not close; warnings are long lines, comma-first lines and
+    lines that mix upper-case and lower-case keywords; notes are trailing blanks and more than one blank line in a row.
+    """
+    text = F.coalesce(text_col, F.lit(""))
+    lines = F.split(text, "\r\n|\r|\n")
     count = lambda test: F.size(F.filter(lines, test))
+    of = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    open_ends = F.when(of("(") != of(")"), 1).otherwise(0) + F.when(of("'") % 2 != 0, 1).otherwise(0)
+    word = "|".join(KEYWORDS)
+    mixed = lambda x: x.rlike(rf"\b({word})\b") & x.rlike(rf"\b({word.upper()})\b")
+    blank = F.regexp_count(text, F.lit(r"(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)"))
     rows = texts.select(
-        F.col(id_col), count(lambda x: x.contains("\t")).alias("errors"), count(lambda x: F.length(x) > longest).alias("warnings"), count(lambda x: x.rlike("[ \t]$")).alias("notes")
+        F.col(id_col),
+        (count(lambda x: x.contains("\t")) + open_ends).alias("errors"),
+        count(lambda x: (F.length(x) > longest) | x.rlike(r"^\s*,") | mixed(x)).alias("warnings"),
+        (count(lambda x: x.rlike("[ \t]$")) + blank).alias("notes"),
     )
     score = F.greatest(F.lit(0), 100 - 10 * F.col("errors") - 5 * F.col("warnings") - F.col("notes"))
     return rows.withColumn("score", score).withColumn("passed", score >= 80)
@@ -352,3 +463,38 @@ def creators_before(ops: DataFrame) -> DataFrame:
     last = last.select(F.col("t").alias("_t"), F.col("part").alias("_part"), F.last("m.source_file", True).over(earlier).alias("far"))
     pairs = uses.join(last, (F.col("t") == F.col("_t")) & (F.col("part") == F.col("_part"))).select("t", "source_file", F.coalesce("near", "far").alias("depends_on"))
     return pairs.where("depends_on <> source_file").distinct().groupBy("source_file", "depends_on").agg(F.count("*").alias("tables"))
+
+
+def dependency_issues(ops: DataFrame) -> DataFrame:
+    """(code, severity, source_file, object) of the files of a log.
+
+    UNREFERENCED_OBJECT: a file changes a table that no file creates. ISOLATED_MIGRATION: a file depends on no other
+    and creates no table. CIRCULAR_DEPENDENCY: files that depend on one another, with the least of them; a file depends on
+    the file that created its table last of all.
+    """
+    from terrane.functions.names import norm_name
+    from terrane.operators.graph import strong_components
+
+    s = cut(ops.select(norm_name(F.col("table_name")).alias("t"), "operation", "source_file").distinct(), "uses")
+    creates = s.where("operation = 'CREATE_TABLE' AND t IS NOT NULL")
+    changes = s.where("operation IN ('ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX') AND t IS NOT NULL").select("source_file", "t").distinct()
+    unknown = changes.join(creates.select(F.col("t").alias("_t")).distinct(), F.col("t") == F.col("_t"), "left_anti")
+    deps = cut(creator_dependencies(ops).select("source_file", "depends_on"), "dependencies")
+    files = s.select("source_file").distinct()
+    active = deps.select(F.col("source_file").alias("_f")).unionByName(creates.select(F.col("source_file").alias("_f"))).distinct()
+    alone = files.join(active, F.col("source_file") == F.col("_f"), "left_anti")
+    circles = strong_components(deps.select(F.col("depends_on").alias("src"), F.col("source_file").alias("dst")), files.select(F.col("source_file").alias("node"))).where("cyclic")
+
+    def issue(df: DataFrame, code: str, severity: str, file: str, what: Column) -> DataFrame:
+        return df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(file).alias("source_file"), what.alias("object"))
+
+    none = F.lit(None).cast("string")
+    rows = issue(unknown, "UNREFERENCED_OBJECT", "error", "source_file", F.col("t")).unionByName(issue(alone, "ISOLATED_MIGRATION", "warning", "source_file", none))
+    return rows.unionByName(issue(circles, "CIRCULAR_DEPENDENCY", "error", "node", F.col("component")))
+
+
+def missing_versions(files: DataFrame, path_col: str) -> DataFrame:
+    """(folder, after, before, missing) of gaps between the whole first parts of the versions of a folder's files."""
+    major = F.regexp_extract(file_version(F.col(path_col)), "^[0-9]+", 0).try_cast("decimal(38,0)")
+    n = files.select(F.regexp_extract(path_col, "^(.*)/", 1).alias("folder"), major.alias("n")).where("n IS NOT NULL").distinct()
+    return version_gaps(n, "folder", "n").select("folder", "after", "before", "missing")

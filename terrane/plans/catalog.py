@@ -112,17 +112,20 @@ def unresolved_fk(spark, d):
     return c.unresolved_fks(tables(spark, d))
 
 
-@query(
-    "theta_prefix_anti",
-    """WITH s AS (SELECT DISTINCT sequence, regexp_replace(upper(sequence), '^(SEQ_|SQ_|S_)', '') AS stem FROM
-  (SELECT 'SEQ_' || split_part(full_name, '.', 2) AS sequence FROM tables_state UNION ALL SELECT 'S_' || upper(p_brand) FROM part))
-SELECT sequence FROM s WHERE NOT EXISTS (SELECT 1 FROM tables_state t WHERE t.column_count > 4 AND (starts_with(upper(t.name), stem) OR starts_with(stem, upper(t.name))))""",
-)
-def theta_prefix_anti(spark, d):
-    """Sequences that match no table; the SQL compares them with tables of over four columns only, so it may have more."""
+# Sequences named as tables are, and those of brands, few of which are.
+_SEQS = """sq AS (SELECT DISTINCT sequence, regexp_replace(upper(sequence), '^(SEQ_|SQ_|S_)', '') AS stem FROM
+  (SELECT 'SEQ_' || split_part(full_name, '.', 2) AS sequence FROM tables_state UNION ALL SELECT 'S_' || upper(p_brand) FROM part)),
+lone AS (SELECT sequence FROM sq WHERE NOT EXISTS (SELECT 1 FROM tables_state t WHERE starts_with(upper(t.name), stem) OR starts_with(stem, upper(t.name))))"""
+
+
+def sequences(spark, d):
     seqs = table(spark, d, "tables_state").select(F.concat(F.lit("SEQ_"), F.split_part("full_name", F.lit("."), F.lit(2))).alias("sequence"))
-    seqs = seqs.unionByName(table(spark, d, "part").select(F.concat(F.lit("S_"), F.upper("p_brand")).alias("sequence")))
-    return c.orphan_sequences(seqs, table(spark, d, "tables_state"))
+    return seqs.unionByName(table(spark, d, "part").select(F.concat(F.lit("S_"), F.upper("p_brand")).alias("sequence")))
+
+
+@query("theta_prefix_anti", f"WITH {_SEQS} SELECT sequence FROM lone")
+def theta_prefix_anti(spark, d):
+    return c.orphan_sequences(sequences(spark, d), table(spark, d, "tables_state"))
 
 
 @query(
@@ -273,12 +276,15 @@ def surprising_joins(spark, d):
 
 @query(
     "insights",
-    _R + f""", {_C}, key AS (SELECT * FROM col WHERE regexp_matches(column_name, '(?i)_(id|key|fk|ref)$') AND NOT is_pk),
+    _R.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + f""", {_C}, {_SEQS}, key AS (SELECT * FROM col WHERE regexp_matches(column_name, '(?i)_(id|key|fk|ref)$') AND NOT is_pk),
 ix AS (SELECT full_name, list_sort(i.columns) AS cols FROM (SELECT full_name, unnest(indexes) AS i FROM t)),
 g AS (SELECT full_name, fk_in + fk_out AS degree FROM d),
 f AS (SELECT u.a, u.b FROM u JOIN t x ON x.full_name = u.a JOIN t y ON y.full_name = u.b WHERE x.schema_name <> y.schema_name),
 n AS (SELECT p, list(q) AS qs FROM both_ways GROUP BY 1),
-s AS (SELECT f.a, f.b, list_filter(x.qs, lambda z: z <> f.b) AS na, list_filter(y.qs, lambda z: z <> f.a) AS nb FROM f JOIN n x ON x.p = f.a JOIN n y ON y.p = f.b)
+s AS (SELECT f.a, f.b, list_filter(x.qs, lambda z: z <> f.b) AS na, list_filter(y.qs, lambda z: z <> f.a) AS nb FROM f JOIN n x ON x.p = f.a JOIN n y ON y.p = f.b),
+walk(path) AS (SELECT [src, dst] FROM e WHERE src < dst UNION ALL SELECT list_append(path, e.dst) FROM walk JOIN e ON e.src = path[-1] WHERE e.dst > path[1] AND NOT list_contains(path, e.dst)),
+joined(node, other) AS (SELECT full_name, full_name FROM t UNION SELECT joined.node, b.q FROM joined JOIN both_ways b ON b.p = joined.other),
+part_of AS (SELECT node, min(other) AS component FROM joined GROUP BY 1)
 SELECT 'ORPHAN_TABLE' AS code, 'warning' AS severity, full_name AS table_name, NULL::VARCHAR AS column_name FROM d WHERE fk_in = 0 AND fk_out = 0
 UNION ALL SELECT 'NO_PK', 'error', full_name, NULL FROM t WHERE NOT coalesce(has_pk, false)
 UNION ALL SELECT 'NO_INDEXES', 'info', full_name, NULL FROM t WHERE coalesce(len(indexes), 0) = 0 AND column_count > 2
@@ -295,10 +301,47 @@ UNION ALL SELECT 'UNIQUE_WITHOUT_INDEX', 'info', full_name, array_to_string(list
 UNION ALL SELECT 'GOD_TABLE', 'info', full_name, NULL FROM (SELECT full_name FROM g WHERE (SELECT stddev_pop(degree) FROM g) = 0
   OR degree > (SELECT avg(degree) + 2 * stddev_pop(degree) FROM g) ORDER BY degree DESC, full_name LIMIT 10)
 UNION ALL SELECT 'SURPRISING_JOIN', 'info', a, b FROM (SELECT a, b, (CASE WHEN len(na) + len(nb) = 0 THEN 1.0
-  ELSE 1 - len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) END)::DECIMAL(18,4) AS surprise FROM s ORDER BY surprise DESC, a, b LIMIT 20)""",
+  ELSE 1 - len(list_intersect(na, nb)) / len(list_distinct(list_concat(na, nb))) END)::DECIMAL(18,4) AS surprise FROM s ORDER BY surprise DESC, a, b LIMIT 20)
+UNION ALL SELECT 'CIRCULAR_FK', 'warning', path[1], array_to_string(list_append(path, path[1]), ' → ') FROM walk JOIN e ON e.src = path[-1] AND e.dst = path[1]
+UNION ALL SELECT 'CIRCULAR_FK', 'warning', src, src || ' → ' || src FROM e WHERE src = dst
+UNION ALL SELECT 'ISLAND', 'warning', component, NULL FROM (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS rank FROM (SELECT component, count(*) AS size FROM part_of GROUP BY 1)) WHERE rank > 1 AND size > 1
+UNION ALL SELECT 'ORPHAN_SEQUENCE', 'info', sequence, NULL FROM lone""",
 )
 def insights(spark, d):
-    return c.insights(tables(spark, d), columns(spark, d))
+    return c.insights(tables(spark, d), columns(spark, d), sequences(spark, d))
+
+
+_PROPERTIES = f"""WITH {_T}, {_C}, n AS (SELECT full_name AS node, 'table' AS type, list_last(string_split(full_name, '.')) AS label FROM t UNION ALL SELECT table_name || '.' || column_name, 'column', column_name FROM col
+  UNION ALL SELECT DISTINCT 'migration:' || v, 'migration', 'V' || v FROM (SELECT created_in AS v FROM t UNION ALL SELECT unnest(modified_in) FROM t) WHERE v IS NOT NULL)"""
+
+
+@query("property_nodes", _PROPERTIES + " SELECT * FROM n")
+def property_nodes(spark, d):
+    return c.property_nodes(tables(spark, d), columns(spark, d))
+
+
+_P_EDGES = """ SELECT table_name AS src, table_name || '.' || column_name AS dst, 'contains' AS relation FROM col
+UNION ALL SELECT DISTINCT full_name, k.ref_table, 'foreign_key' FROM (SELECT full_name, unnest(constraints) AS k FROM t) WHERE k.type = 'foreign_key' AND k.ref_table IN (SELECT full_name FROM t)
+UNION ALL SELECT 'migration:' || created_in, full_name, 'creates' FROM t WHERE created_in IS NOT NULL
+UNION ALL SELECT 'migration:' || v, full_name, 'modifies' FROM (SELECT full_name, created_in, unnest(list_distinct(modified_in)) AS v FROM t) WHERE v IS DISTINCT FROM created_in"""
+
+
+@query("property_edges", _PROPERTIES + _P_EDGES)
+def property_edges(spark, d):
+    return c.property_edges(tables(spark, d), columns(spark, d))
+
+
+@query(
+    "graph_warnings",
+    _R.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, cc(node, other) AS (SELECT full_name, full_name FROM t UNION SELECT cc.node, b.q FROM cc JOIN both_ways b ON b.p = cc.other)
+SELECT 'components' AS warning, count(DISTINCT m) AS n FROM (SELECT node, min(other) AS m FROM cc GROUP BY 1)
+UNION ALL SELECT 'isolated nodes', count(*) FROM t WHERE full_name NOT IN (SELECT p FROM both_ways) AND full_name NOT IN (SELECT src FROM e)""",
+)
+def graph_warnings(spark, d):
+    """Of the graph of tables and foreign keys, which the property graph holds together by migrations."""
+    t = tables(spark, d)
+    nodes = c.property_nodes(t, columns(spark, d)).where("type = 'table'")
+    return c.graph_warnings(nodes, c.property_edges(t, columns(spark, d)).where("relation = 'foreign_key'"))
 
 
 @query(

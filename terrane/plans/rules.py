@@ -24,7 +24,7 @@ _LADDER = " ".join(
     f"WHEN regexp_matches(x, '{_q(k.pattern)}')" + (f" AND NOT regexp_matches(x, '{_q(k.unless)}')" if k.unless else "") + f" THEN '{_q(k.kind)}'" for k in r.RULES
 )
 _K = rf"""s AS (SELECT source_file, statement_index, arg_min(raw_sql, (arrived_at, op_id)) AS raw_sql FROM operations WHERE raw_sql IS NOT NULL GROUP BY 1, 2),
-one AS (SELECT *, upper(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(raw_sql, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '\s+', ' ', 'g')), ' ?;$', '')) AS x FROM s),
+one AS (SELECT *, upper(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(raw_sql, '--[^\n]*', ' ', 'g'), '(?s)/\*.*?\*/', ' ', 'g'), '[\s\v\x85\p{{Z}}]+', ' ', 'g')), ' ?;$', '')) AS x FROM s),
 kinds AS (SELECT source_file, statement_index, CASE {_LADDER} ELSE '{r.OTHER.kind}' END AS kind FROM one),
 k AS (SELECT *, {_case(r._of("category"), "kind")} AS category, {_case(r._of("level"), "kind")} AS level, {_case(r._of("weight"), "kind")} AS weight,
   {_case(r._of("penalty"), "kind")} AS penalty FROM kinds)"""
@@ -39,17 +39,6 @@ def statement_kinds(spark, d):
     return kinds(spark, d).groupBy("kind", "level").agg(F.count("*").alias("n"))
 
 
-@query(
-    "statement_findings",
-    f"""WITH {_K}, z AS (SELECT k.*, one.x, one.raw_sql FROM k JOIN one ON k.source_file = one.source_file AND k.statement_index = one.statement_index)
-SELECT source_file, statement_index, 'ADD_NOT_NULL_NO_DEFAULT' AS code, 'error' AS severity FROM z WHERE kind = 'ADD COLUMN NOT NULL'
-UNION ALL SELECT source_file, statement_index, 'SELECT_STAR_VIEW', 'warning' FROM z WHERE kind = 'CREATE PROC/VIEW' AND regexp_matches(x, '\\bVIEW\\b.* SELECT \\*')
-UNION ALL SELECT source_file, statement_index, 'LARGE_DELETE_NO_WHERE', 'warning' FROM z WHERE kind = 'DELETE (no where)'""",
-)
-def statement_findings(spark, d):
-    return r.statement_findings(kinds(spark, d))
-
-
 _RANK = _case({n: i for i, n in enumerate(r.CATEGORIES)}, "category")
 _RISK = _case({n: r.RISKS.index(x) for n, x in r.CATEGORIES.items()}, "category")
 
@@ -175,9 +164,11 @@ def stability_overall(spark, d):
 
 _PII = [(k, p) for k, ps in r.PII_PATTERNS.items() for p in ps]
 _PII_SQL = f"""WITH {_C}, p AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', '{_q(p)}')" for i, (k, p) in enumerate(_PII))}) v(i, category, pattern)),
-h AS (SELECT table_name, column_name, i, category, pattern, regexp_full_match(lower(column_name), pattern) AS whole FROM col JOIN p ON regexp_matches(lower(column_name), pattern)),
-g AS (SELECT table_name, column_name, arg_min(category, i) AS category, string_agg(category, ',' ORDER BY i) AS categories, bool_or(contains(pattern, '_')) AS wide, arg_max(pattern, i) AS evidence FROM h GROUP BY 1, 2),
-w AS (SELECT g.*, (SELECT bool_or(whole) FROM h WHERE h.table_name = g.table_name AND h.column_name = g.column_name AND h.category = g.category) AS whole FROM g)
+h AS (SELECT table_name, column_name, i, category, pattern FROM col JOIN p ON regexp_matches(lower(column_name), pattern)
+  UNION ALL SELECT table_name, column_name, 1000 + i, category, pattern FROM col JOIN p ON regexp_matches(column_comment, pattern)),
+g AS (SELECT table_name, column_name, arg_min(category, i) AS category, string_agg(category, ',' ORDER BY i) AS categories, arg_max(pattern, i) AS evidence FROM h GROUP BY 1, 2),
+w AS (SELECT g.*, (SELECT bool_or(regexp_full_match(lower(column_name), pattern)) FROM p WHERE p.category = g.category) AS whole,
+  (SELECT bool_or(regexp_matches(lower(column_name), pattern)) FROM p WHERE contains(pattern, '_')) AS wide FROM g)
 """
 
 
@@ -186,11 +177,154 @@ def pii_scan(spark, d):
     return r.pii(columns(spark, d))
 
 
+# What the scan must say of some columns, written out.
+_PII_CASES = [
+    ("EMAIL", None, "email", "email", 1.0, "e_?mail"),
+    ("CUSTOMER_NAME", None, "name", "name", 1.0, "(first|last|full|display|user|person|customer|client)_?name"),
+    ("X1", "holds the customer email address", "email", "email,address", 0.6, "(addr|address|street|city|state|province|postal|zip|postcode)"),
+    ("HOME_PHONE_NUMBER", None, "phone", "phone", 0.8, "(phone|mobile|cell|fax|tel)(_?num(ber)?)?"),
+    ("WEIGHT_KG", "weight kg of the row", "health", "health", 0.6, r"\bweight\b"),
+    ("CITY", None, "address", "address", 1.0, "(addr|address|street|city|state|province|postal|zip|postcode)"),
+    ("SESSION_ID", "A SESSION_ID", "cookie", "cookie", 1.0, "(session_?id|cookie|jwt|bearer)"),
+    ("QUANTITY", "how many", None, None, None, None),
+]
+
+
+@query(
+    "pii_cases",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{c}', '{k}', '{ks}', {conf}::DECIMAL(3,1), '{_q(e)}')" for c, _, k, ks, conf, e in _PII_CASES if k)
+    + ") v(column_name, category, categories, confidence, evidence)",
+)
+def pii_cases(spark, d):
+    cases = spark.createDataFrame([("T", c, text) for c, text, *_ in _PII_CASES], "table_name string, column_name string, column_comment string")
+    return r.pii(cases).drop("table_name")
+
+
 @query("pii_counts", _PII_SQL + "SELECT category, count(*) AS columns, count(DISTINCT table_name) AS tables FROM w GROUP BY 1")
 def pii_counts(spark, d):
     return r.pii(columns(spark, d)).groupBy("category").agg(F.count("*").alias("columns"), F.countDistinct("table_name").alias("tables"))
 
 
+@query("pii_tables", _PII_SQL + "SELECT table_name, count(*) AS columns, max(CASE WHEN whole THEN 1.0 WHEN wide THEN 0.8 ELSE 0.6 END)::DECIMAL(3,1) AS surest FROM w GROUP BY 1 ORDER BY columns DESC, 1 LIMIT 5")
+def pii_tables(spark, d):
+    return r.pii_tables(r.pii(columns(spark, d)))
+
+
+# Statements with what the rules must say of them, written out: kind, category, level, weight, penalty (null: it cannot be undone).
+_STATEMENTS = [
+    ("create table app.t (id number);", "CREATE TABLE", "table_creation", "SAFE", 20, 10),
+    ("CREATE TABLE T2 AS SELECT * FROM T", "CREATE TABLE AS SELECT", "table_creation", "SAFE", 60, 10),
+    ("CREATE INDEX IX ON T(A)", "CREATE INDEX", "index_management", "MEDIUM_RISK", 40, 5),
+    ("CREATE UNIQUE INDEX CONCURRENTLY IX ON T(A)", "CREATE INDEX CONCURRENTLY", "index_management", "SAFE", 20, 5),
+    ("CREATE SEQUENCE S START WITH 1", "CREATE SEQUENCE", "mixed", "SAFE", 10, 10),
+    ("CREATE OR REPLACE VIEW V AS SELECT A FROM T", "CREATE PROC/VIEW", "view_trigger_procedure", "SAFE", 5, 0),
+    ("-- gone\nDROP TABLE T CASCADE CONSTRAINTS", "DROP TABLE", "cleanup", "DANGEROUS", 10, None),
+    ("DROP VIEW V", "DROP VIEW", "cleanup", "HIGH_RISK", 10, None),
+    ("DROP INDEX IX", "DROP INDEX", "index_management", "MEDIUM_RISK", 5, 5),
+    ("ALTER TABLE T DROP COLUMN A", "DROP COLUMN", "column_removal", "HIGH_RISK", 70, None),
+    ("ALTER TABLE T ADD CONSTRAINT FK FOREIGN KEY (A) REFERENCES P (B)", "ADD CONSTRAINT", "constraint_modification", "MEDIUM_RISK", 60, 5),
+    ("ALTER TABLE T ADD (A NUMBER NOT NULL)", "ADD COLUMN NOT NULL", "column_addition", "HIGH_RISK", 80, 15),
+    ("ALTER TABLE T ADD (A NUMBER DEFAULT 0 NOT NULL)", "ADD COLUMN", "column_addition", "SAFE", 10, 15),
+    ("ALTER TABLE T MODIFY (A CLOB)", "MODIFY COLUMN", "constraint_modification", "HIGH_RISK", 80, None),
+    ("INSERT INTO T SELECT * FROM O", "INSERT ... SELECT", "data_migration", "SAFE", 60, None),
+    ("INSERT INTO T VALUES (1)", "INSERT", "data_migration", "SAFE", 10, None),
+    ("DELETE FROM T", "DELETE (no where)", "data_migration", "DANGEROUS", 90, None),
+    ("DELETE FROM T WHERE A = 1", "DELETE (where)", "data_migration", "HIGH_RISK", 50, None),
+    ("UPDATE T SET A = 1", "UPDATE (no where)", "data_migration", "DANGEROUS", 90, None),
+    ("UPDATE T SET A = 1 WHERE B = 2", "UPDATE (where)", "data_migration", "HIGH_RISK", 50, None),
+    ("TRUNCATE TABLE T", "TRUNCATE", "data_migration", "DANGEROUS", 80, None),
+    ("MERGE INTO T USING S ON (T.A = S.A) WHEN MATCHED THEN UPDATE SET B = 1", "MERGE", "data_migration", "MEDIUM_RISK", 90, None),
+    ("COMMENT ON TABLE T IS 'x'", "COMMENT", "mixed", "SAFE", 10, 0),
+    ("GRANT SELECT ON T TO U", "UNCLASSIFIED", "mixed", "MEDIUM_RISK", 30, 0),
+]
+
+
+def _sql(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + _q(x) + "'"
+
+
+def _log(spark, statements: list[str]):
+    rows = [("f", i, x, "1", None, 0) for i, x in enumerate(statements)]
+    return spark.createDataFrame(rows, "source_file string, statement_index int, raw_sql string, version string, arrived_at timestamp, op_id int")
+
+
+@query(
+    "statement_rules",
+    "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, x[1:]))})" for i, x in enumerate(_STATEMENTS)) + ") v(statement_index, kind, category, level, weight, penalty)",
+)
+def statement_rules(spark, d):
+    return r.with_kinds(_log(spark, [x[0] for x in _STATEMENTS])).select("statement_index", "kind", "category", "level", "weight", "penalty")
+
+
+_TRIGGER = "CREATE OR REPLACE TRIGGER TR BEFORE INSERT ON T FOR EACH ROW BEGIN IF :NEW.A IS NULL THEN :NEW.A := 0; END IF; " + "X := X + 1; " * 40 + "END;"
+_FINDING_SCRIPTS = [
+    ("ALTER TABLE T ADD (A NUMBER NOT NULL)", "ADD_NOT_NULL_NO_DEFAULT", "error"),
+    ("ALTER TABLE T ADD (A NUMBER DEFAULT 1 NOT NULL)", None, None),
+    ("CREATE VIEW V AS SELECT * FROM T", "SELECT_STAR_VIEW", "warning"),
+    ("CREATE VIEW V AS SELECT A FROM T", None, None),
+    (_TRIGGER, "TRIGGER_WITH_BUSINESS_LOGIC", "warning"),
+    ("CREATE TRIGGER TR BEFORE INSERT ON T BEGIN IF 1 = 1 THEN NULL; END IF; END;", None, None),
+    ("DELETE FROM T", "LARGE_DELETE_NO_WHERE", "warning"),
+    ("DELETE FROM T WHERE A = 1", None, None),
+]
+
+
+@query(
+    "statement_findings",
+    f"""WITH {_K}, z AS (SELECT k.*, one.x, one.raw_sql FROM k JOIN one ON k.source_file = one.source_file AND k.statement_index = one.statement_index)
+SELECT source_file, statement_index, 'ADD_NOT_NULL_NO_DEFAULT' AS code, 'error' AS severity FROM z WHERE kind = 'ADD COLUMN NOT NULL'
+UNION ALL SELECT source_file, statement_index, 'SELECT_STAR_VIEW', 'warning' FROM z WHERE kind = 'CREATE PROC/VIEW' AND regexp_matches(x, '\\bVIEW\\b.* SELECT \\*')
+UNION ALL SELECT source_file, statement_index, 'TRIGGER_WITH_BUSINESS_LOGIC', 'warning' FROM z WHERE regexp_matches(x, '^CREATE (OR REPLACE )?TRIGGER\\b') AND regexp_matches(x, '\\b(IF|CASE)\\b') AND length(raw_sql) > 500
+UNION ALL SELECT source_file, statement_index, 'LARGE_DELETE_NO_WHERE', 'warning' FROM z WHERE kind = 'DELETE (no where)'
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"('f', {i}, '{c}', '{v}')" for i, (_, c, v) in enumerate(_FINDING_SCRIPTS) if c) + ") v(source_file, statement_index, code, severity)",
+)
+def statement_findings(spark, d):
+    """Findings of the log's statements and of the scripts above, which have each finding and what only looks like one."""
+    scripts = _log(spark, [x[0] for x in _FINDING_SCRIPTS])
+    return r.statement_findings(kinds(spark, d)).unionByName(r.statement_findings(r.with_kinds(scripts)))
+
+
+_ONCE = """one AS (SELECT source_file, statement_index, arg_min(struct_pack(operation, table_name, column_name, raw_sql), (arrived_at, op_id)) AS x FROM operations WHERE raw_sql IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT source_file, statement_index, x.operation AS op, upper(trim(replace(x.table_name, '"', ''))) AS t, upper(trim(replace(x.column_name, '"', ''))) AS c, x.raw_sql AS raw_sql FROM one),
+v AS (SELECT source_file, statement_index, op, CASE op WHEN 'CREATE_TABLE' THEN 'DROP TABLE ' || t || ' CASCADE CONSTRAINTS;' WHEN 'CREATE_INDEX' THEN 'DROP INDEX ' || upper(regexp_extract(raw_sql, '(?i)INDEX[\\s\\p{Z}]+([^\\s\\p{Z}]+)[\\s\\p{Z}]+ON', 1)) || ';'
+    WHEN 'ADD_COLUMN' THEN 'ALTER TABLE ' || t || ' DROP COLUMN ' || c || ';' WHEN 'ADD_CONSTRAINT' THEN 'ALTER TABLE ' || t || ' DROP CONSTRAINT ' || upper(regexp_extract(raw_sql, '(?i)CONSTRAINT[\\s\\p{Z}]+([^\\s\\p{Z}]+)', 1)) || ';' END AS reverse,
+  CASE op WHEN 'CREATE_TABLE' THEN 'Rollback will drop table ' || t || ' - all data will be lost' WHEN 'CREATE_INDEX' THEN 'Rollback will drop index ' || upper(regexp_extract(raw_sql, '(?i)INDEX[\\s\\p{Z}]+([^\\s\\p{Z}]+)[\\s\\p{Z}]+ON', 1)) || ' - queries may be slower'
+    WHEN 'ADD_COLUMN' THEN 'Rollback will drop column ' || t || '.' || c || ' - data will be lost' WHEN 'DROP_TABLE' THEN 'Cannot restore table ' || t || ' without full backup and schema definition'
+    WHEN 'DROP_COLUMN' THEN 'Cannot restore dropped column ' || t || '.' || c || ' without backup' WHEN 'MODIFY_COLUMN' THEN 'Cannot undo MODIFY on ' || t || ' without knowing original column definitions'
+    WHEN 'UNKNOWN' THEN 'Cannot undo UPDATE without knowing original values' END AS warning,
+  op IN ('DROP_TABLE', 'DROP_COLUMN', 'MODIFY_COLUMN', 'UNKNOWN') AS lost,
+  CASE op WHEN 'CREATE_TABLE' THEN 10 WHEN 'CREATE_INDEX' THEN 5 WHEN 'ADD_COLUMN' THEN 15 WHEN 'ADD_CONSTRAINT' THEN 5 ELSE 0 END AS penalty FROM l)"""
+
+
+def _statement_ops(spark, d):
+    """The operations of each statement of the log, by the first delivery that has a text."""
+    from terrane.ddl.extract import extract
+
+    o = table(spark, d, "operations").where("raw_sql IS NOT NULL").groupBy("source_file", "statement_index")
+    one = o.agg(F.min_by("raw_sql", F.struct("arrived_at", "op_id")).alias("sql"))
+    rows = extract(one.select(F.to_json(F.struct("source_file", "statement_index")).alias("filename"), "sql"))
+    key = F.from_json("filename", "source_file string, statement_index int")
+    return rows.withColumn("k", key).withColumn("stmt_idx", F.col("k.statement_index")).withColumn("filename", F.col("k.source_file")).drop("k")
+
+
+@query("reverse_statements", f"WITH {_ONCE} SELECT source_file, statement_index, reverse, warning, lost AS irreversible FROM v")
+def reverse_statements(spark, d):
+    rows = r.reverse_operations(_statement_ops(spark, d)).where("op_idx = 0")
+    return rows.select(F.col("filename").alias("source_file"), F.col("stmt_idx").alias("statement_index"), "reverse", "warning", "irreversible")
+
+
+@query(
+    "rollback_scripts",
+    f"""WITH {_ONCE}, g AS (SELECT source_file, bool_or(lost) AS bad, sum(penalty) AS p, string_agg(reverse, chr(10) ORDER BY statement_index) AS script, count(DISTINCT warning) AS warnings, count(*) FILTER (WHERE lost) AS gone FROM v GROUP BY 1)
+SELECT source_file, CASE WHEN bad THEN 'irreversible' WHEN p > 0 OR warnings > 0 THEN 'partial' ELSE 'reversible' END AS feasibility, (CASE WHEN bad THEN 0 WHEN p > 0 OR warnings > 0 THEN greatest(20, 100 - p) ELSE 95 END)::INT AS score,
+  CASE WHEN NOT bad THEN script END AS script, warnings::INT AS warnings, gone::INT AS lost FROM g""",
+)
+def rollback_scripts(spark, d):
+    plan = r.rollback_plan(_statement_ops(spark, d))
+    return plan.select(F.col("filename").alias("source_file"), "feasibility", "score", "script", F.size("warnings").alias("warnings"), "lost")
+
+
 _FILE = r"'^([VUR])([0-9][0-9._]*)?__(.+?)(\.sql)?$'"
 
 
@@ -218,13 +352,33 @@ def duplicate_versions(spark, d):
     return r.duplicate_versions(table(spark, d, "migration_results"), "filename")
 
 
-@query(
-    "version_gaps",
-    """WITH o AS (SELECT DISTINCT source_file, statement_index FROM operations), n AS (SELECT source_file, statement_index AS after, lead(statement_index) OVER (PARTITION BY source_file ORDER BY statement_index) AS before FROM o)
-SELECT source_file, after, before, before - after - 1 AS missing FROM n WHERE before - after > 1""",
-)
+_FILES = [
+    "a/V1__x.sql", "a/V2__x.sql", "a/V02__again.sql", "a/V2.0__third.sql", "a/V5__x.sql", "a/V9.1__x.sql", "a/R__views.sql", "b/V1__x.sql", "b/V1_0__y.sql", "b/V3__x.sql", "V7__x.sql", "V8__x.sql",
+]
+
+
+def _files(spark):
+    return spark.createDataFrame([(f,) for f in _FILES], "filename string")
+
+
+@query("sample_duplicates", "SELECT * FROM (VALUES ('a', 'a/V02__again.sql', 3), ('b', 'b/V1_0__y.sql', 2)) v(folder, first_file, files)")
+def sample_duplicates(spark, d):
+    """Versions that several files carry, in a list of files that has some."""
+    return r.duplicate_versions(_files(spark), "filename")
+
+
+@query("sample_gaps", "SELECT folder, after::DECIMAL(38,0) AS after, before::DECIMAL(38,0) AS before, missing::DECIMAL(38,0) AS missing FROM (VALUES ('a', 2, 5, 2), ('a', 5, 9, 3), ('b', 1, 3, 1)) v(folder, after, before, missing)")
+def sample_gaps(spark, d):
+    """Gaps between the versions of a folder, in a list of files that has some."""
+    return r.missing_versions(_files(spark), "filename")
+
+
+_MAJOR = f"SELECT DISTINCT regexp_extract(filename, '^(.*)/', 1) AS folder, regexp_extract(regexp_extract(list_last(string_split(filename, '/')), {_FILE}, 2), '^[0-9]+')::HUGEINT AS n FROM migration_results"
+
+
+@query("version_gaps", f"WITH o AS ({_MAJOR}), g AS (SELECT folder, n AS after, lead(n) OVER (PARTITION BY folder ORDER BY n) AS before FROM o) SELECT folder, after::DECIMAL(38,0) AS after, before::DECIMAL(38,0) AS before, (before - after - 1)::DECIMAL(38,0) AS missing FROM g WHERE before - after > 1")
 def version_gaps(spark, d):
-    return r.version_gaps(table(spark, d, "operations"), "source_file", "statement_index")
+    return r.missing_versions(table(spark, d, "migration_results"), "filename")
 
 
 @query(
@@ -238,10 +392,15 @@ def out_of_order(spark, d):
     return r.order_check(table(spark, d, "migration_results"), "filename", "version")
 
 
+_LINT_WORDS = "select|from|where|insert|into|update|delete|create|alter|drop|table|index|view|join|group|order|values|constraint"
+
+
 @query(
     "lint_score",
-    r"""WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents),
-c AS (SELECT doc_id, len(list_filter(ls, lambda x: contains(x, chr(9)))) AS errors, len(list_filter(ls, lambda x: length(x) > 120)) AS warnings, len(list_filter(ls, lambda x: regexp_matches(x, '[ \t]$'))) AS notes FROM l)
+    rf"""WITH l AS (SELECT doc_id, coalesce(text, '') AS x, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM documents),
+c AS (SELECT doc_id, len(list_filter(ls, lambda y: contains(y, chr(9)))) + (length(x) - length(replace(x, '(', '')) <> length(x) - length(replace(x, ')', '')))::INT + ((length(x) - length(replace(x, chr(39), ''))) % 2 <> 0)::INT AS errors,
+  len(list_filter(ls, lambda y: length(y) > 120 OR regexp_matches(y, '^\s*,') OR (regexp_matches(y, '\b({_LINT_WORDS})\b') AND regexp_matches(y, '\b({_LINT_WORDS.upper()})\b')))) AS warnings,
+  len(list_filter(ls, lambda y: regexp_matches(y, '[ \t]$'))) + len(regexp_extract_all(x, '(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)[ \t]*(\r\n|\r|\n)')) AS notes FROM l)
 SELECT *, greatest(0, 100 - 10 * errors - 5 * warnings - notes) AS score, greatest(0, 100 - 10 * errors - 5 * warnings - notes) >= 80 AS passed FROM c""",
 )
 def lint_score(spark, d):
@@ -259,6 +418,22 @@ def creator_deps(spark, d):
     return r.creator_dependencies(table(spark, d, "operations"))
 
 
+@query(
+    "dependency_issues",
+    f"""WITH RECURSIVE s AS (SELECT DISTINCT {_NORM} AS t, operation, source_file, list_resize({_VK.format("version")}, 12, 0) AS v, statement_index FROM operations),
+c AS (SELECT t, arg_max(source_file, (v, statement_index)) AS creator FROM s WHERE operation = 'CREATE_TABLE' AND t IS NOT NULL GROUP BY 1),
+u AS (SELECT DISTINCT t, source_file FROM s WHERE t IS NOT NULL AND operation IN ('ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX')),
+g AS (SELECT DISTINCT creator AS a, source_file AS b FROM u JOIN c USING (t) WHERE creator <> source_file),
+r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b)
+SELECT 'UNREFERENCED_OBJECT' AS code, 'error' AS severity, source_file, t AS object FROM u WHERE t NOT IN (SELECT t FROM c)
+UNION ALL SELECT 'ISOLATED_MIGRATION', 'warning', source_file, NULL FROM (SELECT DISTINCT source_file FROM operations)
+  WHERE source_file NOT IN (SELECT b FROM g) AND source_file NOT IN (SELECT source_file FROM s WHERE operation = 'CREATE_TABLE' AND t IS NOT NULL)
+UNION ALL SELECT 'CIRCULAR_DEPENDENCY', 'error', p.a, min(p.b) FROM r p JOIN r q ON q.a = p.b AND q.b = p.a GROUP BY p.a""",
+)
+def dependency_issues(spark, d):
+    return r.dependency_issues(table(spark, d, "operations"))
+
+
 def _dialect_sql(name: str) -> str:
     length = "regexp_extract(data_type, '(\\(.*\\))', 1)"
     length = f"CASE WHEN base LIKE '%SERIAL' THEN '' ELSE {length} END" if name == "postgres" else length

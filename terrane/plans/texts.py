@@ -113,26 +113,49 @@ def shrink_gate(spark, d):
     return watch.shrink_checked(by, "day", "users")
 
 
-@query("split_statements", r"""WITH d AS (SELECT doc_id, string_split(text, ';') AS p FROM documents) SELECT doc_id, i::INT AS statement_no, length(p[i + 1])::INT AS chars FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM d)""")
-def split_statements(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", ";", -1)).alias("statement_no", "s")).select("doc_id", "statement_no", F.length("s").alias("chars"))
+# Scripts with what makes splitting hard, and the statements each has, as written.
+_SCRIPTS = [
+    ("quotes", "INSERT INTO T VALUES ('a;b', 'it''s;'); UPDATE \"X;Y\" SET A = 1 WHERE B = ';'", ["INSERT INTO T VALUES ('a;b', 'it''s;')", "UPDATE \"X;Y\" SET A = 1 WHERE B = ';'"]),
+    ("comments", "-- one; two\nDROP TABLE A; /* three; four */ DROP TABLE B;;", ["DROP TABLE A", "DROP TABLE B"]),
+    ("body", "CREATE OR REPLACE TRIGGER TR BEFORE INSERT ON T BEGIN\n  X := 1;\n  Y := 2;\nEND;\n/\nDROP TABLE C;", ["CREATE OR REPLACE TRIGGER TR BEFORE INSERT ON T BEGIN\n  X := 1;\n  Y := 2;\nEND;", "DROP TABLE C"]),
+    ("brackets", "CREATE TABLE T (A VARCHAR2(10) DEFAULT ';', B INT);\nALTER TABLE T ADD (C INT)", ["CREATE TABLE T (A VARCHAR2(10) DEFAULT ';', B INT)", "ALTER TABLE T ADD (C INT)"]),
+    ("empty", " ; \n -- nothing\n", []),
+]
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
+@query(
+    "split_statements",
+    "SELECT * FROM (VALUES " + ", ".join(f"({_text(n)}, {i}, {_text(x)})" for n, _, own in _SCRIPTS for i, x in enumerate(own)) + """) v(script, statement_no, statement)
+UNION ALL SELECT 'op ' || op_id, 0, rtrim(trim(raw_sql, ' ' || chr(9) || chr(10) || chr(13)), '; ' || chr(9) || chr(10) || chr(13)) FROM operations WHERE raw_sql IS NOT NULL AND NOT contains(raw_sql, '--')""",
+)
+def split_statements(spark, d):
+    """Scripts cut into statements: those above, and every text of the log, each of which is one."""
+    from terrane.ddl.extract import split
 
-_OP_KINDS = "'CREATE_TABLE', 'DROP_TABLE', 'ADD_COLUMN', 'MODIFY_COLUMN', 'DROP_COLUMN', 'ADD_CONSTRAINT', 'CREATE_INDEX', 'COMMENT'"
+    ops = table(spark, d, "operations").where("raw_sql IS NOT NULL AND NOT contains(raw_sql, '--')")
+    own = spark.createDataFrame([(n, x) for n, x, _ in _SCRIPTS], "filename string, sql string")
+    rows = split(own.unionByName(ops.select(F.concat(F.lit("op "), "op_id").alias("filename"), F.col("raw_sql").alias("sql"))))
+    return rows.select(F.col("filename").alias("script"), F.col("stmt_idx").alias("statement_no"), F.col("raw_sql").alias("statement"))
 
 
 @query(
     "ddl_extract",
-    f"""SELECT op_id, operation, upper(trim(replace(table_name, '"', ''))) AS table_name,
-  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN', 'DROP_COLUMN') THEN upper(trim(replace(column_name, '"', ''))) END AS column_name,
-  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN') THEN data_type END AS data_type FROM operations WHERE raw_sql IS NOT NULL AND operation IN ({_OP_KINDS})""",
+    """WITH o AS (SELECT *, upper(trim(replace(table_name, '"', ''))) AS t, upper(trim(replace(column_name, '"', ''))) AS c FROM operations WHERE raw_sql IS NOT NULL),
+d AS (SELECT op_id, t, unnest(col_defs) AS d, unnest(range(1, len(col_defs) + 1)) AS i FROM o WHERE operation = 'CREATE_TABLE')
+SELECT op_id, 0 AS op_idx, CASE operation WHEN 'UNKNOWN' THEN upper(regexp_extract(raw_sql, '[A-Za-z]+')) ELSE operation END AS operation, t AS table_name,
+  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN', 'DROP_COLUMN', 'COMMENT') THEN c WHEN operation = 'CREATE_INDEX' THEN upper(regexp_extract(raw_sql, '(?i)INDEX[\\s\\p{Z}]+([^\\s\\p{Z}]+)[\\s\\p{Z}]+ON', 1))
+    WHEN operation = 'ADD_CONSTRAINT' THEN upper(regexp_extract(raw_sql, '(?i)CONSTRAINT[\\s\\p{Z}]+([^\\s\\p{Z}]+)', 1)) END AS object,
+  CASE WHEN operation IN ('ADD_COLUMN', 'MODIFY_COLUMN') THEN data_type END AS data_type FROM o
+UNION ALL SELECT op_id, i::INT, 'CREATE_COLUMN', t, upper(trim(replace(d.name, '"', ''))), d.data_type FROM d""",
 )
 def ddl_extract(spark, d):
-    """Every statement's text parsed by our own extractor; the SQL takes what the log says of it."""
+    """All operations of every statement's text, parsed by our own extractor; the SQL takes what the log says of it."""
     from terrane.ddl.extract import extract
 
     ops = table(spark, d, "operations").where("raw_sql IS NOT NULL")
-    rows = extract(ops.select(F.col("op_id").cast("string").alias("filename"), F.col("raw_sql").alias("sql"))).where(f"op_idx = 0 AND operation IN ({_OP_KINDS})")
-    column = F.col("operation").isin("ADD_COLUMN", "MODIFY_COLUMN", "DROP_COLUMN")
-    return rows.select(F.col("filename").cast("bigint").alias("op_id"), "operation", "table_name", F.when(column, F.col("target")).alias("column_name"), "data_type")
+    rows = extract(ops.select(F.col("op_id").cast("string").alias("filename"), F.col("raw_sql").alias("sql")))
+    return rows.select(F.col("filename").cast("bigint").alias("op_id"), "op_idx", "operation", "table_name", F.col("target").alias("object"), "data_type")
