@@ -106,7 +106,9 @@ class Schema:
         return Schema(self.files.select("filename", "sql").unionByName(more))
 
     def chunks(self) -> DataFrame:
-        return retrieval.table_chunks(self.tables, self.columns, self.relationships)
+        """The summary, one chunk per table, and the relationship map."""
+        whole = retrieval.schema_chunks(self.tables, self.columns, self.relationships, self.sequences)
+        return whole.unionByName(retrieval.table_chunks(self.tables, self.columns, self.relationships))
 
     def ask(self, question: str, k: int = 6) -> str:
         """The prompt for a question: the best chunks and the question."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.names import domain_prefix
 from terrane.operators import graph
+from terrane.session import cut
 
 # Name endings of a column that looks like a reference.
 REFERENCE_SUFFIX = "(?i)_(id|key|fk|ref)$"
@@ -382,6 +383,7 @@ def insights(tables: DataFrame, columns: DataFrame, sequences: DataFrame | None
     island of two tables or more one for its least table. Sequences (sequence) without a table are named as table_name.
     """
     none = F.lit(None).cast("string")
+    tables, columns = cut(tables, "tables"), cut(columns, "columns")  # a dozen rules read them
 
     def found(df: DataFrame, code: str, severity: str, table: str = "full_name", column: Column = none) -> DataFrame:
         return df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(table).alias("table_name"), column.alias("column_name"))

@@ -118,17 +118,89 @@ def drift(base_tables: DataFrame, base_columns: DataFrame, tables: DataFrame, co
     return rows.withColumn("severity", severity)
 
 
+def constraint_rows(tables: DataFrame) -> DataFrame:
+    """(full_name, type, columns, name, ref_table, ref_columns, on_delete) of the tables' constraints."""
+    c = tables.select("full_name", F.explode("constraints").alias("c"))
+    return c.select("full_name", "c.type", "c.columns", "c.name", "c.ref_table", "c.ref_columns", "c.on_delete")
+
+
+def index_rows(tables: DataFrame) -> DataFrame:
+    """(full_name, name, columns, is_unique) of the tables' indexes."""
+    i = tables.select("full_name", F.explode("indexes").alias("i"))
+    return i.select("full_name", "i.name", "i.columns", "i.is_unique")
+
+
+def object_changes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(object, owner, name, change) of constraints and indexes of tables that both snapshots have, and of relationships of all.
+
+    Constraints compare by type, sorted columns and name; indexes by name, whatever their columns; relationships by
+    the tables, columns and name of a foreign key. Each is added or removed.
+    """
+    both = a.select("full_name").join(b.select(F.col("full_name").alias("_b")), F.col("full_name") == F.col("_b"), "left_semi").distinct()
+
+    def keyed(t: DataFrame) -> DataFrame:
+        own = t.join(both.withColumnRenamed("full_name", "_f"), F.col("full_name") == F.col("_f"), "left_semi")
+        text = lambda *cs: F.concat_ws(" ", *(F.coalesce(c, F.lit("-")) for c in cs))
+        listed = lambda c: F.array_join(c, ",")
+        cons = constraint_rows(own).select(F.lit("constraint").alias("object"), F.col("full_name").alias("owner"), text(F.col("type"), listed(F.array_sort("columns")), F.col("name")).alias("name"))
+        idx = index_rows(own).select(F.lit("index").alias("object"), F.col("full_name").alias("owner"), F.col("name").alias("name"))
+        fks = constraint_rows(t).where("type = 'foreign_key'")
+        rel = fks.select(F.lit("relationship").alias("object"), F.col("full_name").alias("owner"), text(listed("columns"), F.lit("→"), F.col("ref_table"), listed("ref_columns"), F.col("name")).alias("name"))
+        return cons.unionByName(idx).unionByName(rel).distinct()
+
+    return full_diff(keyed(a), keyed(b), ["object", "owner", "name"], []).where("change <> 'same'").select("object", "owner", "name", "change")
+
+
+def sequence_changes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(sequence, change, diffs) of sequences (sequence, start_with, increment_by) that differ."""
+    d = full_diff(a, b, ["sequence"], ["start_with", "increment_by"]).where("change <> 'same'")
+    said = lambda f: F.when(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}")), F.concat(F.lit(f"{f}: "), _shown(F.col(f"a_{f}")), F.lit("→"), _shown(F.col(f"b_{f}"))))
+    shown = F.when(F.col("change") == "modified", F.array_join(F.array_compact(F.array(said("start_with"), said("increment_by"))), "; ")).otherwise("")
+    return d.select("sequence", "change", shown.alias("diffs"))
+
+
+def _severity(category: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in DRIFT.items() for x in pair)), category)
+
+
 def constraint_drift(base: DataFrame, target: DataFrame) -> DataFrame:
-    """Constraints by (table, type, columns) and indexes by (table, columns, unique) that only one side has."""
+    """Constraints by (type, columns) and indexes by (columns, unique) of tables that both have, which only one side has: (full_name, category, key, severity, repair).
 
-    def keys(t: DataFrame) -> DataFrame:
-        c = t.select("full_name", F.explode("constraints").alias("c")).select("full_name", F.lit("constraint").alias("object"), F.concat_ws(" ", "c.type", F.array_join(F.array_sort("c.columns"), ",")).alias("key"))
-        i = t.select("full_name", F.explode("indexes").alias("i")).select("full_name", F.lit("index").alias("object"), F.concat_ws(" ", F.when(F.col("i.is_unique"), "unique").otherwise("plain"), F.array_join("i.columns", ",")).alias("key"))
-        return c.unionByName(i).distinct()
+    All checks of a table without columns are one. Of several with one key the least name is repaired; a constraint
+    without a name cannot be dropped by a statement and has an empty repair.
+    """
 
-    d = full_diff(keys(base), keys(target), ["full_name", "object", "key"], []).where("change <> 'same'")
-    category = F.concat(F.when(F.col("change") == "removed", "missing_").otherwise("extra_"), F.col("object"))
-    return d.select("full_name", category.alias("category"), "key")
+    def keys(t: DataFrame) -> DataFrame:
+        listed = lambda c: F.array_join(c, ", ")
+        alter = F.concat(F.lit("ALTER TABLE "), "full_name")
+        refs = F.concat(F.lit(" REFERENCES "), "ref_table", F.lit(" ("), listed("ref_columns"), F.lit(")"), F.coalesce(F.concat(F.lit(" ON DELETE "), "on_delete"), F.lit("")))
+        what = (
+            F.when(F.col("type") == "primary_key", F.concat(F.lit("PRIMARY KEY ("), listed("columns"), F.lit(")")))
+            .when(F.col("type") == "unique", F.concat(F.lit("UNIQUE ("), listed("columns"), F.lit(")")))
+            .when((F.col("type") == "foreign_key") & F.col("ref_table").isNotNull(), F.concat(F.lit("FOREIGN KEY ("), listed("columns"), F.lit(")"), refs))
+        )
+        add = F.coalesce(F.concat(alter, F.lit(" ADD CONSTRAINT "), F.coalesce("name", F.lit("None")), F.lit(" "), what, F.lit(";")), F.concat(F.lit("-- Cannot generate constraint: "), "type"))
+        drop = F.coalesce(F.concat(alter, F.lit(" DROP CONSTRAINT "), "name", F.lit(";")), F.lit(""))
+        c = constraint_rows(t).select("full_name", F.lit("constraint").alias("object"), F.concat_ws(" ", "type", F.array_join("columns", ",")).alias("key"), F.struct(F.coalesce("name", F.lit("")).alias("name"), add.alias("add"), drop.alias("drop")).alias("r"))
+        unique = F.when(F.col("is_unique"), F.lit("UNIQUE ")).otherwise("")
+        make = F.concat(F.lit("CREATE "), unique, F.lit("INDEX "), "name", F.lit(" ON "), "full_name", F.lit(" ("), listed("columns"), F.lit(");"))
+        gone = F.concat(F.lit("DROP INDEX "), "name", F.lit(";"))
+        i = index_rows(t).select("full_name", F.lit("index").alias("object"), F.concat_ws(" ", F.when(F.col("is_unique"), "unique").otherwise("plain"), F.array_join("columns", ",")).alias("key"), F.struct(F.coalesce("name", F.lit("")).alias("name"), make.alias("add"), gone.alias("drop")).alias("r"))
+        return c.unionByName(i).groupBy("full_name", "object", "key").agg(F.min("r").alias("r"))
+
+    shared = base.select(F.col("full_name").alias("_n")).join(target.select("full_name"), F.col("_n") == F.col("full_name"), "left_semi").distinct()
+    d = full_diff(keys(base), keys(target), ["full_name", "object", "key"], ["r"]).where("a_r IS NULL OR b_r IS NULL")
+    d = d.join(shared, F.col("full_name") == F.col("_n"), "left_semi")
+    category = F.concat(F.when(F.col("b_r").isNull(), "missing_").otherwise("extra_"), F.col("object"))
+    repair = F.when(F.col("b_r").isNull(), F.col("a_r.add")).otherwise(F.col("b_r.drop"))
+    return d.select("full_name", category.alias("category"), "key", repair.alias("repair")).withColumn("severity", _severity(F.col("category")))
+
+
+def create_statements(columns: DataFrame) -> DataFrame:
+    """(table_name, statement): a CREATE TABLE of the columns in their order, with default and NOT NULL."""
+    rule = F.concat(F.lit("  "), "column_name", F.lit(" "), F.coalesce("data_type", F.lit("UNKNOWN")), F.coalesce(F.concat(F.lit(" DEFAULT "), F.nullif("default_expr", F.lit(""))), F.lit("")), F.when(F.col("nullable"), "").otherwise(" NOT NULL"))
+    by = columns.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", rule.alias("x")))), lambda e: e["x"]), ",\n").alias("body"))
+    return by.select("table_name", F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" (\n"), "body", F.lit("\n);")).alias("statement"))
 
 
 def manifest(files: DataFrame, path_col: str, text_col: str) -> DataFrame:

@@ -117,18 +117,90 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: in
 
 
 def table_chunks(tables: DataFrame, columns: DataFrame, relationships: DataFrame) -> DataFrame:
-    """One text per table: its columns in order with type and flags, then what it refers to."""
+    """(chunk_id, content): one text per table with its columns, the keys out of it and into it, its indexes and checks.
+
+    Lines of columns are in their order, all others in that of their text. What a hub refers to or is referred to by is one
+    list in one row, as it is one text.
+    """
+
+    def block(lines: Column, title: str) -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{title}:\n"), F.array_join(lines, "\n"))).otherwise("")
+
+    def gathered(rows: DataFrame, key: str, line: Column, name: str) -> DataFrame:
+        return rows.groupBy(F.col(key).alias(f"_{name}")).agg(F.array_sort(F.collect_list(line)).alias(name))
+
+    flags = F.array_join(F.array_compact(F.array(
+        F.when(F.col("is_pk"), "PK"), F.when(~F.col("nullable"), "NOT NULL"), F.concat(F.lit("DEFAULT "), F.nullif("default_expr", F.lit(""))),
+        F.when(F.col("is_unique") & ~F.col("is_pk"), "UNIQUE"), F.when(F.col("is_fk"), "FK"),
+    )), ", ")
     line = F.concat(
-        F.lit("  "), "column_name", F.lit(": "), "data_type",
-        F.when(~F.col("nullable"), " [NOT NULL]").otherwise(""), F.coalesce(F.concat(F.lit(" -- "), "column_comment"), F.lit("")),
+        F.lit("  "), "column_name", F.lit(": "), F.coalesce("data_type", F.lit("UNKNOWN")), F.when(flags == "", "").otherwise(F.concat(F.lit(" ["), flags, F.lit("]"))),
+        F.coalesce(F.concat(F.lit(" -- "), "column_comment"), F.lit("")),
+    )
+    cols = columns.groupBy(F.col("table_name").alias("_cols")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]).alias("cols"))
+    listed = lambda c: F.array_join(c, ",")
+    tail = F.concat(F.coalesce(F.concat(F.lit(" ON DELETE "), "on_delete"), F.lit("")), F.coalesce(F.concat(F.lit(" ["), "name", F.lit("]")), F.lit("")))
+    named = relationships.where("to_table IS NOT NULL")
+    out = gathered(named, "from_table", F.concat(F.lit("  "), listed("from_cols"), F.lit(" → "), "to_table", F.lit("("), listed("to_cols"), F.lit(")"), tail), "out")
+    into = gathered(named, "to_table", F.concat(F.lit("  "), "from_table", F.lit("."), listed("from_cols"), F.lit(" → "), listed("to_cols")), "into")
+    index = F.transform("indexes", lambda i: F.concat(F.lit("  "), i["name"], F.lit(": ("), F.array_join(i["columns"], ", "), F.lit(")"), F.when(i["is_unique"], "  UNIQUE").otherwise(""), F.lit(" [V"), F.coalesce(i["created_in"], F.lit("?")), F.lit("]")))
+    check = F.transform(F.filter("constraints", lambda c: c["type"] == "check"), lambda c: F.concat(F.lit("  "), F.coalesce(c["name"], F.lit("unnamed")), F.lit(": CHECK ("), F.coalesce(c["check_expr"], F.lit("")), F.lit(")")))
+    rows = tables.join(cols, F.col("full_name") == F.col("_cols"), "left").join(out, F.col("full_name") == F.col("_out"), "left").join(into, F.col("full_name") == F.col("_into"), "left")
+    modified = F.when(F.size("modified_in") > 0, F.concat(F.lit(" | Modified: V"), F.array_join("modified_in", ", V"))).otherwise("")
+    described = F.coalesce(F.concat(F.lit("\nDescription: "), F.nullif("table_comment", F.lit(""))), F.lit(""))
+    head = F.concat(F.lit("TABLE: "), "full_name", described, F.lit("\nSchema: "), F.coalesce("schema_name", F.lit("default")), F.lit(" | Created: V"), F.coalesce("created_in", F.lit("?")), modified, F.lit("\n\nCOLUMNS:\n"))
+    content = F.concat(
+        head, F.coalesce(F.array_join("cols", "\n"), F.lit("")), block(F.col("out"), "REFERENCES (outgoing FK)"), block(F.col("into"), "REFERENCED BY"),
+        block(F.array_sort(index), "INDEXES"), block(F.array_sort(check), "CHECK CONSTRAINTS"),
+    )
+    return rows.select(F.concat(F.lit("table:"), "full_name").alias("chunk_id"), content.alias("content"))
+
+
+def map_lines(tables: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(full_name, content): each table's part of the relationship map, its keys out and in."""
+    listed = lambda c: F.array_join(c, ",")
+    named = relationships.where("to_table IS NOT NULL")
+    rule = F.coalesce(F.concat(F.lit("  [ON DELETE "), "on_delete", F.lit("]")), F.lit(""))
+    out = named.select(F.col("from_table").alias("t"), F.lit(0).alias("side"), F.concat(F.lit("  ──FK──▶ "), "to_table", F.lit(" via "), listed("from_cols"), rule).alias("l"))
+    into = named.select(F.col("to_table").alias("t"), F.lit(1).alias("side"), F.concat(F.lit("  ◀──FK── "), "from_table", F.lit(" via "), listed("from_cols")).alias("l"))
+    by = out.unionByName(into).groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "l"))), lambda x: x["l"]), "\n").alias("body"))
+    rows = tables.select("full_name").join(by, F.col("full_name") == F.col("t"), "left")
+    return rows.select("full_name", F.concat("full_name", F.lit(":\n"), F.coalesce("body", F.lit("  (no FK relationships)"))).alias("content"))
+
+
+MAX_SUMMARISED = 50_000  # tables, and foreign keys, that the two chunks of the whole schema name
+
+
+def schema_chunks(tables: DataFrame, columns: DataFrame, relationships: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, content) of the schema's summary and of its relationship map, each one text of all tables in order of name.
+
+    A schema of more than MAX_SUMMARISED tables or keys is refused; `map_lines` has the map in rows.
+    """
+    from terrane.operators.catalog import with_degrees
+
+    listed = lambda df, c: df.select(F.array_sort(F.collect_list(c)).alias("x")).select(F.assert_true(F.size("x") <= MAX_SUMMARISED, "too many objects for one text").alias("ok"), "x")
+    kind = F.when((F.col("fk_in") > 0) & (F.col("fk_out") == 0), "root/parent entity").when((F.col("fk_in") > 0) & (F.col("fk_out") > 0), "junction/child entity")
+    kind = kind.when(F.col("fk_out") > 0, "leaf/detail entity").otherwise("standalone")
+    role = F.concat(F.lit("  "), "full_name", F.lit(": "), kind, F.lit(" (referenced by "), "fk_in", F.lit(", references "), "fk_out", F.lit(")"))
+    named = relationships.where("to_table IS NOT NULL")
+    edge = F.concat(F.lit("  "), "from_table", F.lit("."), F.array_join("from_cols", ","), F.lit(" → "), "to_table", F.lit("."), F.array_join("to_cols", ","))
+    parts = {
+        "names": listed(tables, F.col("full_name")), "schemas": listed(tables.select("schema_name").where("schema_name IS NOT NULL").distinct(), F.col("schema_name")),
+        "edges": listed(named, edge), "roles": listed(with_degrees(tables), role), "map": listed(map_lines(tables, relationships), F.struct("full_name", "content")),
+        "seqs": listed(sequences if sequences is not None else tables.select(F.col("full_name").alias("sequence")).limit(0), F.col("sequence")),
+    }
+    one = columns.agg(F.count("*").alias("n_columns"))
+    for k, df in parts.items():
+        one = one.withColumn(k, df.where("ok IS NULL").select("x").scalar())
+    size = lambda c: F.size(c).cast("string")
+    summary = F.concat_ws(
+        "\n", F.lit("SCHEMA SUMMARY"), F.concat(F.lit("DB Schemas: "), F.array_join("schemas", ", ")), F.concat(F.lit("Tables: "), size("names"), F.lit(" ("), F.array_join("names", ", "), F.lit(")")),
+        F.concat(F.lit("Sequences: "), size("seqs"), F.lit(" ("), F.array_join("seqs", ", "), F.lit(")")), F.concat(F.lit("Total columns: "), "n_columns"),
+        F.concat(F.lit("FK relationships: "), size("edges")), F.lit("\nRELATIONSHIP MAP:"), F.when(F.size("edges") > 0, F.array_join("edges", "\n")), F.lit("\nTABLE ROLES:"), F.array_join("roles", "\n"),
     )
-    cols = columns.groupBy(F.col("table_name").alias("_t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("cols"))
-    refs = relationships.select(F.col("from_table").alias("_f"), F.concat(F.lit("  "), F.array_join("from_cols", ","), F.lit(" → "), "to_table").alias("l"))
-    refs = refs.groupBy("_f").agg(F.array_join(F.array_sort(F.collect_list("l")), "\n").alias("refs"))
-    rows = tables.join(cols, F.col("full_name") == F.col("_t"), "left").join(refs, F.col("full_name") == F.col("_f"), "left")
-    head = F.concat(F.lit("TABLE: "), "full_name", F.lit("\nSchema: "), "schema_name", F.lit(" | Created: V"), F.coalesce("created_in", F.lit("?")), F.lit("\n\nCOLUMNS:\n"))
-    tail = F.coalesce(F.concat(F.lit("\n\nREFERENCES:\n"), "refs"), F.lit(""))
-    return rows.select(F.concat(F.lit("table:"), "full_name").alias("chunk_id"), F.concat(head, F.coalesce("cols", F.lit("")), tail).alias("content"))
+    whole = F.concat(F.lit("RELATIONSHIP GRAPH (adjacency list)\n\n"), F.array_join(F.transform("map", lambda x: x["content"]), "\n"))
+    both = F.array(F.struct(F.lit("schema:summary").alias("chunk_id"), summary.alias("content")), F.struct(F.lit("schema:relationships").alias("chunk_id"), whole.alias("content")))
+    return one.select(F.explode(both).alias("c")).select("c.*")
 
 
 def prompt(question: str, ranked: DataFrame, chunks: DataFrame) -> str:

@@ -85,17 +85,77 @@ def drift_counts(spark, d):
     return diff.drift(ta, a, tb, b).groupBy("category", "severity").agg(F.count("*").alias("n"))
 
 
+# The snapshot against one whose foreign keys and plain indexes are gone, with a unique key and an index on the first column of each primary key.
+_CHANGED = """WITH a AS (SELECT DISTINCT full_name, name AS short, constraints, indexes, pk_columns FROM tables_state),
+ac AS (SELECT full_name, unnest(constraints) AS k FROM a), ai AS (SELECT full_name, unnest(indexes) AS k FROM a),
+ck AS (SELECT full_name, k.type AS ty, k.columns AS cols, k.name AS nm, k.ref_table AS rt, k.ref_columns AS rc, k.on_delete AS od FROM ac),
+bk AS (SELECT * FROM ck WHERE ty <> 'foreign_key' UNION ALL SELECT full_name, 'unique', [pk_columns[1]], 'UQ_' || short, NULL, [], NULL FROM a WHERE len(pk_columns) > 0),
+ik AS (SELECT full_name, k.name AS nm, k.columns AS cols, k.is_unique AS uq FROM ai),
+jk AS (SELECT * FROM ik WHERE uq UNION ALL SELECT full_name, 'IX_' || short || '_PK', [pk_columns[1]], false FROM a WHERE len(pk_columns) > 0)
+"""
+
+
+def _changed(spark, d):
+    t = tables(spark, d)
+    has = F.size("pk_columns") > 0
+    first = F.array(F.get("pk_columns", F.lit(0)))
+    text = F.lit(None).cast("string")
+    con = F.struct(
+        F.concat(F.lit("UQ_"), "name").alias("name"), F.lit("unique").alias("type"), first.alias("columns"), text.alias("ref_table"), F.array().cast("array<string>").alias("ref_columns"),
+        text.alias("on_delete"), text.alias("check_expr"),
+    )
+    idx = F.struct(F.concat(F.lit("IX_"), "name", F.lit("_PK")).alias("name"), first.alias("columns"), F.lit(False).alias("is_unique"), text.alias("created_in"))
+    kept = F.filter("constraints", lambda c: c["type"] != "foreign_key")
+    plain = F.filter("indexes", lambda i: i["is_unique"])
+    return t, t.withColumn("constraints", F.when(has, F.concat(kept, F.array(con))).otherwise(kept)).withColumn("indexes", F.when(has, F.concat(plain, F.array(idx))).otherwise(plain))
+
+
 @query(
     "constraint_drift",
-    """WITH t AS (SELECT DISTINCT * FROM tables_state),
-k AS (SELECT full_name, created_at, 'constraint' AS object, c.type || ' ' || array_to_string(list_sort(c.columns), ',') AS key FROM (SELECT full_name, created_at, unnest(constraints) AS c FROM t)
-  UNION SELECT full_name, created_at, 'index', CASE WHEN i.is_unique THEN 'unique ' ELSE 'plain ' END || array_to_string(i.columns, ',') FROM (SELECT full_name, created_at, unnest(indexes) AS i FROM t))
-SELECT full_name, 'missing_' || object AS category, key FROM k WHERE object = 'constraint' AND NOT contains(key, 'primary_key')""",
+    _CHANGED + """, pa AS (SELECT full_name, 'constraint' AS o, ty || ' ' || array_to_string(cols, ',') AS key, min_by(x, coalesce(nm, '')) AS x FROM (SELECT *, CASE ty
+    WHEN 'primary_key' THEN 'ALTER TABLE ' || full_name || ' ADD CONSTRAINT ' || coalesce(nm, 'None') || ' PRIMARY KEY (' || array_to_string(cols, ', ') || ');'
+    WHEN 'foreign_key' THEN 'ALTER TABLE ' || full_name || ' ADD CONSTRAINT ' || coalesce(nm, 'None') || ' FOREIGN KEY (' || array_to_string(cols, ', ') || ') REFERENCES ' || rt || ' (' || array_to_string(rc, ', ') || ')' || coalesce(' ON DELETE ' || od, '') || ';'
+    ELSE '-- Cannot generate constraint: ' || ty END AS x FROM ck) GROUP BY 1, 2, 3
+  UNION ALL SELECT full_name, 'index', CASE WHEN uq THEN 'unique ' ELSE 'plain ' END || array_to_string(cols, ','), min_by('CREATE ' || CASE WHEN uq THEN 'UNIQUE ' ELSE '' END || 'INDEX ' || nm || ' ON ' || full_name || ' (' || array_to_string(cols, ', ') || ');', nm) FROM ik GROUP BY 1, 2, 3),
+pb AS (SELECT full_name, 'constraint' AS o, ty || ' ' || array_to_string(cols, ',') AS key, min_by(coalesce('ALTER TABLE ' || full_name || ' DROP CONSTRAINT ' || nm || ';', ''), coalesce(nm, '')) AS x FROM bk GROUP BY 1, 2, 3
+  UNION ALL SELECT full_name, 'index', CASE WHEN uq THEN 'unique ' ELSE 'plain ' END || array_to_string(cols, ','), min_by('DROP INDEX ' || nm || ';', nm) FROM jk GROUP BY 1, 2, 3)
+SELECT full_name, 'missing_' || o AS category, key, x AS repair, CASE o WHEN 'constraint' THEN 'warning' ELSE 'info' END AS severity FROM pa WHERE (full_name, o, key) NOT IN (SELECT full_name, o, key FROM pb)
+UNION ALL SELECT full_name, 'extra_' || o, key, x, 'info' FROM pb WHERE (full_name, o, key) NOT IN (SELECT full_name, o, key FROM pa)""",
 )
 def constraint_drift(spark, d):
-    """The snapshot against itself with only primary keys left of the constraints."""
-    t = tables(spark, d)
-    return diff.constraint_drift(t, t.withColumn("constraints", F.filter("constraints", lambda c: c["type"] == "primary_key")))
+    return diff.constraint_drift(*_changed(spark, d))
+
+
+@query(
+    "object_diff",
+    _CHANGED + """, x AS (SELECT 'a' AS side, 'constraint' AS object, full_name AS owner, ty || ' ' || array_to_string(list_sort(cols), ',') || ' ' || coalesce(nm, '-') AS name FROM ck
+  UNION SELECT 'b', 'constraint', full_name, ty || ' ' || array_to_string(list_sort(cols), ',') || ' ' || coalesce(nm, '-') FROM bk
+  UNION SELECT 'a', 'index', full_name, nm FROM ik UNION SELECT 'b', 'index', full_name, nm FROM jk
+  UNION SELECT 'a', 'relationship', full_name, array_to_string(cols, ',') || ' → ' || rt || ' ' || array_to_string(rc, ',') || ' ' || coalesce(nm, '-') FROM ck WHERE ty = 'foreign_key')
+SELECT object, owner, name, CASE WHEN max(side) = 'a' THEN 'removed' ELSE 'added' END AS change FROM x GROUP BY 1, 2, 3 HAVING count(*) = 1""",
+)
+def object_diff(spark, d):
+    """Constraints, indexes and relationships of the two snapshots."""
+    return diff.object_changes(*_changed(spark, d))
+
+
+@query("sequence_diff", "SELECT * FROM (VALUES ('S_B', 'removed', ''), ('S_C', 'modified', 'start_with: 1→5; increment_by: 1→2'), ('S_D', 'modified', 'increment_by: 1→-1'), ('S_E', 'added', '')) v(sequence, change, diffs)")
+def sequence_diff(spark, d):
+    """Two lists of sequences, written out."""
+    fields = "sequence string, start_with bigint, increment_by bigint"
+    a = spark.createDataFrame([("S_A", 1, 1), ("S_B", 1, 1), ("S_C", 1, 1), ("S_D", 1, 1)], fields)
+    b = spark.createDataFrame([("S_A", 1, 1), ("S_C", 5, 2), ("S_D", 1, -1), ("S_E", 1, 1)], fields)
+    return diff.sequence_changes(a, b)
+
+
+@query(
+    "create_statements",
+    """WITH c AS (SELECT DISTINCT * FROM columns_state)
+SELECT table_name, 'CREATE TABLE ' || table_name || ' (' || chr(10) || string_agg('  ' || column_name || ' ' || coalesce(data_type, 'UNKNOWN') || coalesce(' DEFAULT ' || nullif(default_expr, ''), '') || CASE WHEN nullable THEN '' ELSE ' NOT NULL' END, ',' || chr(10) ORDER BY ord)
+  || chr(10) || ');' AS statement FROM c GROUP BY 1""",
+)
+def create_statements(spark, d):
+    return diff.create_statements(columns(spark, d))
 
 
 _AT = P5_SQL.replace("FROM operations\n", "FROM operations WHERE list_resize(list_transform(string_split(replace(version, '_', '.'), '.'), lambda x: x::HUGEINT), 12, 0) <= list_resize([5::HUGEINT], 12, 0)\n")

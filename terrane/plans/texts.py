@@ -37,18 +37,48 @@ def cosine_search(spark, d):
     return retrieval.cosine_search(v, v.where("vec_id % 100 = 0"), 10)
 
 
+_NL = "chr(10)"
+_CHUNKS = _R + f""", {_C}, cs AS (SELECT table_name, string_agg('  ' || column_name || ': ' || coalesce(data_type, 'UNKNOWN') || CASE WHEN fl = '' THEN '' ELSE ' [' || fl || ']' END || coalesce(' -- ' || column_comment, ''), {_NL} ORDER BY ord) AS l
+  FROM (SELECT *, concat_ws(', ', CASE WHEN is_pk THEN 'PK' END, CASE WHEN NOT nullable THEN 'NOT NULL' END, 'DEFAULT ' || nullif(default_expr, ''), CASE WHEN is_unique AND NOT is_pk THEN 'UNIQUE' END, CASE WHEN is_fk THEN 'FK' END) AS fl FROM col) GROUP BY 1),
+o1 AS (SELECT from_table AS f, '  ' || array_to_string(from_cols, ',') || ' → ' || to_table || '(' || array_to_string(to_cols, ',') || ')' || coalesce(' ON DELETE ' || on_delete, '') || coalesce(' [' || name || ']', '') AS l FROM r WHERE to_table IS NOT NULL),
+i1 AS (SELECT to_table AS f, '  ' || from_table || '.' || array_to_string(from_cols, ',') || ' → ' || array_to_string(to_cols, ',') AS l FROM r WHERE to_table IS NOT NULL),
+x1 AS (SELECT full_name AS f, '  ' || i.name || ': (' || array_to_string(i.columns, ', ') || ')' || CASE WHEN i.is_unique THEN '  UNIQUE' ELSE '' END || ' [V' || coalesce(i.created_in, '?') || ']' AS l FROM (SELECT full_name, unnest(indexes) AS i FROM t)),
+k1 AS (SELECT full_name AS f, '  ' || coalesce(k.name, 'unnamed') || ': CHECK (' || coalesce(k.check_expr, '') || ')' AS l FROM con WHERE k.type = 'check'),
+og AS (SELECT f, string_agg(l, {_NL} ORDER BY l) AS l FROM o1 GROUP BY 1), ig AS (SELECT f, string_agg(l, {_NL} ORDER BY l) AS l FROM i1 GROUP BY 1),
+xg AS (SELECT f, string_agg(l, {_NL} ORDER BY l) AS l FROM x1 GROUP BY 1), kg AS (SELECT f, string_agg(l, {_NL} ORDER BY l) AS l FROM k1 GROUP BY 1)
+"""
+
+
 @query(
     "chunks",
-    _R + f""", {_C}, cs AS (SELECT table_name, string_agg('  ' || column_name || ': ' || data_type || CASE WHEN NOT nullable THEN ' [NOT NULL]' ELSE '' END || coalesce(' -- ' || column_comment, ''), chr(10) ORDER BY ord) AS l FROM col GROUP BY 1),
-rs AS (SELECT from_table, string_agg('  ' || array_to_string(from_cols, ',') || ' → ' || to_table, chr(10) ORDER BY '  ' || array_to_string(from_cols, ',') || ' → ' || to_table) AS l FROM r GROUP BY 1)
-SELECT 'table:' || full_name AS chunk_id, 'TABLE: ' || full_name || chr(10) || 'Schema: ' || schema_name || ' | Created: V' || coalesce(created_in, '?') || chr(10) || chr(10) || 'COLUMNS:' || chr(10) || coalesce(cs.l, '')
-  || coalesce(chr(10) || chr(10) || 'REFERENCES:' || chr(10) || rs.l, '') AS content FROM t LEFT JOIN cs ON cs.table_name = full_name LEFT JOIN rs ON rs.from_table = full_name""",
+    _CHUNKS + f"""SELECT 'table:' || full_name AS chunk_id, 'TABLE: ' || full_name || coalesce({_NL} || 'Description: ' || nullif(table_comment, ''), '') || {_NL} || 'Schema: ' || coalesce(schema_name, 'default') || ' | Created: V' || coalesce(created_in, '?')
+  || CASE WHEN len(modified_in) > 0 THEN ' | Modified: V' || array_to_string(modified_in, ', V') ELSE '' END || {_NL} || {_NL} || 'COLUMNS:' || {_NL} || coalesce(cs.l, '')
+  || coalesce({_NL} || {_NL} || 'REFERENCES (outgoing FK):' || {_NL} || og.l, '') || coalesce({_NL} || {_NL} || 'REFERENCED BY:' || {_NL} || ig.l, '') || coalesce({_NL} || {_NL} || 'INDEXES:' || {_NL} || xg.l, '')
+  || coalesce({_NL} || {_NL} || 'CHECK CONSTRAINTS:' || {_NL} || kg.l, '') AS content
+FROM t LEFT JOIN cs ON cs.table_name = full_name LEFT JOIN og ON og.f = full_name LEFT JOIN ig ON ig.f = full_name LEFT JOIN xg ON xg.f = full_name LEFT JOIN kg ON kg.f = full_name""",
 )
 def chunks(spark, d):
     t = tables(spark, d)
     return retrieval.table_chunks(t, columns(spark, d), catalog.relationships(t))
 
 
+@query(
+    "schema_chunks",
+    _R + f""", {_C}, mo AS (SELECT from_table AS f, 0 AS side, '  ──FK──▶ ' || to_table || ' via ' || array_to_string(from_cols, ',') || coalesce('  [ON DELETE ' || on_delete || ']', '') AS l FROM r WHERE to_table IS NOT NULL
+  UNION ALL SELECT to_table, 1, '  ◀──FK── ' || from_table || ' via ' || array_to_string(from_cols, ',') FROM r WHERE to_table IS NOT NULL), mg AS (SELECT f, string_agg(l, {_NL} ORDER BY side, l) AS l FROM mo GROUP BY 1),
+ed AS (SELECT '  ' || from_table || '.' || array_to_string(from_cols, ',') || ' → ' || to_table || '.' || array_to_string(to_cols, ',') AS l FROM r WHERE to_table IS NOT NULL),
+ro AS (SELECT '  ' || full_name || ': ' || CASE WHEN fk_in > 0 AND fk_out = 0 THEN 'root/parent entity' WHEN fk_in > 0 THEN 'junction/child entity' WHEN fk_out > 0 THEN 'leaf/detail entity' ELSE 'standalone' END || ' (referenced by ' || fk_in || ', references ' || fk_out || ')' AS l FROM d)
+SELECT 'schema:summary' AS chunk_id, 'SCHEMA SUMMARY' || {_NL} || 'DB Schemas: ' || (SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT schema_name AS s FROM t)) || {_NL} || 'Tables: ' || (SELECT count(*) || ' (' || string_agg(full_name, ', ' ORDER BY full_name) || ')' FROM t)
+  || {_NL} || 'Sequences: 0 ()' || {_NL} || 'Total columns: ' || (SELECT count(*) FROM col) || {_NL} || 'FK relationships: ' || (SELECT count(*) FROM ed) || {_NL} || {_NL} || 'RELATIONSHIP MAP:' || {_NL} || (SELECT string_agg(l, {_NL} ORDER BY l) FROM ed)
+  || {_NL} || {_NL} || 'TABLE ROLES:' || {_NL} || (SELECT string_agg(l, {_NL} ORDER BY l) FROM ro) AS content
+UNION ALL SELECT 'schema:relationships', 'RELATIONSHIP GRAPH (adjacency list)' || {_NL} || {_NL} || string_agg(full_name || ':' || {_NL} || coalesce(l, '  (no FK relationships)'), {_NL} ORDER BY full_name) FROM t LEFT JOIN mg ON f = full_name""",
+)
+def schema_chunks(spark, d):
+    """The summary of the whole schema and its relationship map."""
+    t = tables(spark, d)
+    return retrieval.schema_chunks(t, columns(spark, d), catalog.relationships(t))
+
+
 @query("chat_history", "SELECT user_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 4")
 def chat_history(spark, d):
     return retrieval.history(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", "event_id", 2)
