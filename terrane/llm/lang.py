@@ -566,10 +566,31 @@ def unstated(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataF
     """(doc_id, lang, sentences, confidence): known languages of full sentences of a document that its label does not state.
 
     `sentences` counts them and `confidence` is that of the surest. The label goes through the estimate with its
-    text, so no text is shuffled. Null doc_ids are ids like any other; repeated rows count once, and of
-    different rows with one doc_id each is held against its own label.
+    text, so no text is shuffled, and only what is found comes back from it. Null doc_ids are ids like any other; repeated
+    rows count once, and of different rows with one doc_id each is held against its own label.
     """
-    full = detect(docs, model, min_words).select("doc_id", "stated", F.posexplode("segments").alias("at", "s")).where("s.full")
-    other = full.where(~F.col("s.lang").eqNullSafe(F.col("stated")) & (F.col("s.lang") != UNKNOWN))
-    by = other.groupBy("doc_id", F.col("s.lang").alias("lang"), "at").agg(F.max("s.confidence").alias("confidence"))
-    return by.groupBy("doc_id", "lang").agg(F.count("*").alias("sentences"), F.max("confidence").alias("confidence"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def estimate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value
+        place = {x: i for i, x in enumerate(model.langs)}
+        for part in _batches(parts):
+            found, doc = _cut(part["text"].tolist(), min_words)
+            pi, post, ll = _estimate(model, found, doc, len(part))
+            best = post.argmax(axis=1)
+            said = np.array([place.get(x, -1) for x in part["stated"]], dtype=np.int64)
+            wanted = np.fromiter((s.full for s in found), dtype=bool, count=len(found)) & (best != said[doc]) & (best < len(model.langs))
+            if not wanted.any():
+                continue
+            sure = certainty(ll, doc, pi, best, model.temperature)
+            by = pd.DataFrame({"doc": doc[wanted], "lang": best[wanted], "sure": sure[wanted]}).groupby(["doc", "lang"])["sure"].agg(["size", "max"]).reset_index()
+            row = by["doc"].to_numpy()
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].to_numpy()[row], "h": part["h"].to_numpy()[row], "lang": np.array(model.langs, dtype=object)[by["lang"].to_numpy()],
+                "sentences": by["size"].to_numpy(), "confidence": by["max"].to_numpy(),
+            })
+
+    label = stated(F.col("lang"), model.langs) if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", label.alias("stated"), F.xxhash64("text").alias("h")).mapInPandas(estimate, "doc_id long, h long, lang string, sentences long, confidence double")
+    by = rows.groupBy("doc_id", "lang", "h").agg(F.max("sentences").alias("sentences"), F.max("confidence").alias("confidence"))
+    return by.groupBy("doc_id", "lang").agg(F.sum("sentences").alias("sentences"), F.max("confidence").alias("confidence"))
