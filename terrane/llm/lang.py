@@ -73,7 +73,7 @@ _WORDY = re.compile(r"\w")
 _CAPITALS = re.compile(r"[^\W\d_a-zß-öø-ÿа-џ]{2}")  # two letters that may be capitals
 
 
-@dataclass
+@dataclass(slots=True)
 class Sentence:
     start: int
     stop: int
@@ -200,14 +200,17 @@ def _plain(raw: str, clean: bool = False) -> tuple[str, int]:
     return " ".join((plain.translate(_BLANKS) if plain.isascii() else _NOT_LETTERS.sub(" ", plain)).split()), n
 
 
-def sentences(text: str | None, min_words: int = MIN_WORDS) -> list[Sentence]:
-    """The sentences and shorter phrases of a text's prose, with what tells their language: lower case, no identifiers."""
+def sentences(text: str | None, min_words: int = MIN_WORDS, places: bool = True) -> list[Sentence]:
+    """The sentences and shorter phrases of a text's prose, with what tells their language: lower case, no identifiers.
+
+    Without `places`, where each starts and stops is left at 0.
+    """
     out: list[Sentence] = []
     clean = _is_plain(text or "")
     for spans in _stretches(text or ""):
         joined = " ".join(text[a:b] for a, b in spans)
         starts, pos = [], 0
-        for a, b in spans:
+        for a, b in spans if places else ():
             starts.append((pos, a))
             pos += b - a + 1
 
@@ -221,7 +224,7 @@ def sentences(text: str | None, min_words: int = MIN_WORDS) -> list[Sentence]:
                 plain, n = _plain(raw, clean)
                 if plain:
                     full = n >= min_words and plain.count(" ") >= min_words // 2 and _ENDS.search(raw.rstrip()) is not None
-                    out.append(Sentence(place(lo), place(hi - 1) + 1, f" {plain} ", n, full))
+                    out.append(Sentence(place(lo) if places else 0, place(hi - 1) + 1 if places else 0, f" {plain} ", n, full))
     return out
 
 
@@ -249,20 +252,16 @@ def _features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     codes = codes.astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), lengths)
     rows, owners = [], []
+    h = np.zeros(len(codes), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for order in ORDERS:
-            n = len(codes) - order + 1
-            if n <= 0:
-                rows.append(np.empty(0, dtype=np.int64))
-                owners.append(np.empty(0, dtype=np.int64))
-                continue
-            h = np.full(n, order, dtype=np.uint64)
-            for i in range(order):
-                h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(31)
-            inside = owner[:n] == owner[order - 1 :]
-            rows.append((h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)[inside])
-            owners.append(owner[:n][inside])
+        for order in range(1, max(ORDERS) + 1):  # the hash of an n-gram goes on from that of one character less
+            n = max(len(codes) - order + 1, 0)
+            h = (h[:n] ^ codes[order - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+            if order in ORDERS:
+                inside = owner[:n] == owner[order - 1 :]
+                rows.append((h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)[inside])
+                owners.append(owner[:n][inside])
     return rows, owners
 
 
@@ -417,11 +416,11 @@ def certainty(ll: np.ndarray, doc: np.ndarray, pi: np.ndarray, best: np.ndarray,
     return joint[np.arange(len(doc)), best] / joint.sum(axis=1)
 
 
-def _cut(texts: list, min_words: int) -> tuple[list[Sentence], np.ndarray]:
+def _cut(texts: list, min_words: int, places: bool = False) -> tuple[list[Sentence], np.ndarray]:
     """Sentences of the texts and the number of each one's text."""
     found, doc = [], []
     for i, t in enumerate(texts):
-        own = sentences(t, min_words)
+        own = sentences(t, min_words, places)
         found += own
         doc += [i] * len(own)
     return found, np.array(doc, dtype=np.int64)
@@ -525,7 +524,7 @@ def detect(docs: DataFrame, model: Model, min_words: int = MIN_WORDS) -> DataFra
         model = sent.value
         langs = np.array([*model.langs, UNKNOWN], dtype=object)
         for part in _batches(parts):
-            found, doc = _cut(part["text"].tolist(), min_words)
+            found, doc = _cut(part["text"].tolist(), min_words, places=True)
             pi, post, ll = _estimate(model, found, doc, len(part))
             best = post.argmax(axis=1)
             sure = certainty(ll, doc, pi, best, model.temperature)
