@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators.hierarchy import hierarchy
-from terrane.session import cut
-
-MAX_OPS_PER_TABLE = 1_000_000  # operations on one table since it was last created; more are refused, see changefeed for such feeds
 
 _STATE = (
     "full_name string, columns array<struct<name:string,data_type:string,nullable:boolean,default_expr:string,is_pk:boolean,comment:string>>,"
@@ -18,26 +17,43 @@ _STATE = (
 )
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The tables that one group of operations leaves (a table with all names it had)."""
+_NAMES = ["full_name", "columns", "constraints", "indexes", "table_comment", "created_in", "modified_in"]
+
+
+def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tables that groups of operations leave, which come one group after the other and each in the order of the log.
+
+    A group is a table with all names it had. Only the tables of the group at hand are held, not its operations.
+    """
+    group: str | None = None
     tables: dict[str, dict] = {}
+    done: list[list] = []
 
     def changed(t: dict, version: str) -> None:
-        if version not in t["modified_in"]:
-            t["modified_in"].append(version)
+        t["modified_in"][version] = None
 
     def find(t: dict, name: str) -> dict | None:
         return next((c for c in t["columns"] if c["name"] == name), None)
 
+    def close() -> None:
+        done.extend([list(t[n]) if n == "modified_in" else t[n] for n in _NAMES] for t in tables.values())
+        tables.clear()
+
     applied = True
-    for r in rows.sort_values(["file_key", "filename", "stmt_idx", "op_idx"]).itertuples(index=False):
+    for r in (x for part in parts for x in part.itertuples(index=False)):
+        if r.group != group:
+            close()
+            group, applied = r.group, True
+            if len(done) >= 1_000:
+                yield pd.DataFrame(done, columns=_NAMES)
+                done.clear()
         t, op = tables.get(r.table_name), r.operation
         cols = list(r.columns) if r.columns is not None else []
         if op == "CREATE_TABLE":
             applied = not (r.guarded and t is not None)
             if applied:
                 tables[r.table_name] = {
-                    "full_name": r.table_name, "columns": [], "constraints": [], "indexes": [], "table_comment": None, "created_in": r.version, "modified_in": [],
+                    "full_name": r.table_name, "columns": [], "constraints": [], "indexes": [], "table_comment": None, "created_in": r.version, "modified_in": {},
                 }
             continue
         inline = r.comment == "inline" and op in ("CREATE_COLUMN", "ADD_CONSTRAINT")
@@ -96,8 +112,9 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
                 t["table_comment"] = r.comment
             elif find(t, r.target):
                 find(t, r.target)["comment"] = r.comment
-    names = ["full_name", "columns", "constraints", "indexes", "table_comment", "created_in", "modified_in"]
-    return pd.DataFrame([[t[n] for n in names] for t in tables.values()], columns=names)
+    close()
+    if done:
+        yield pd.DataFrame(done, columns=_NAMES)
 
 
 _TABLE_OPS = (
@@ -111,7 +128,8 @@ def snapshot(ops: DataFrame) -> DataFrame:
 
     A table's operations, under all names that renames gave it, are folded in the order of the log: IF NOT
     EXISTS keeps a table, a plain CREATE replaces it; adding an existing column changes nothing but marks the
-    table; renaming a column renames it in the table's constraints. Indexes are dropped by name.
+    table; renaming a column renames it in the table's constraints. Indexes are dropped by name. Operations are sorted on
+    disk and read one by one, so a table may have any number of them; a constraint or index takes its place in the state.
     """
     new = F.when(F.col("new_name").contains(".") | ~F.col("table_name").contains("."), F.col("new_name")).otherwise(
         F.concat(F.regexp_extract("table_name", "^(.*)[.]", 1), F.lit("."), "new_name")
@@ -124,12 +142,9 @@ def snapshot(ops: DataFrame) -> DataFrame:
     # An index is dropped without its table's name: the table is the one it was created on.
     made = ops.where("operation = 'CREATE_INDEX' AND target IS NOT NULL").select(F.col("target").alias("_x"), F.col("table_name").alias("_on")).distinct()
     drops = ops.where("operation = 'DROP_INDEX'").join(made, F.col("target") == F.col("_x")).withColumn("table_name", F.col("_on")).select(*ops.columns)
-    rows = mine.unionByName(drops).join(roots, F.col("table_name") == F.col("_id"), "left").withColumn("_group", F.coalesce("_root", "table_name")).drop("_id", "_root")
-    rows = cut(rows, "ddl")
-    most = rows.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_OPS_PER_TABLE:
-        raise ValueError(f"{most} operations on one table; at most {MAX_OPS_PER_TABLE} are folded")
-    t = rows.groupBy("_group").applyInPandas(_fold, _STATE)
+    rows = mine.unionByName(drops).join(roots, F.col("table_name") == F.col("_id"), "left").withColumn("group", F.coalesce("_root", "table_name")).drop("_id", "_root")
+    order = ["group", "file_key", "filename", "stmt_idx", "op_idx"]
+    t = rows.repartition("group").sortWithinPartitions(*order).mapInPandas(_fold, _STATE)
     keys = F.flatten(F.transform(F.filter("constraints", lambda k: k["type"] == "primary_key"), lambda k: k["columns"]))
     none = F.lit(None).cast("timestamp_ntz")
     return t.select(
