@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.numbering import numbered
 from terrane.session import cut
 
 SMALL = 500_000  # edges, and nodes, that one task holds
@@ -168,17 +169,8 @@ def components(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFr
 def islands(edges: DataFrame, nodes: DataFrame, small: int = SMALL) -> DataFrame:
     """Components by size (then least node): (component, rank, size, label); the largest is main, the others islands."""
     by = components(edges, nodes, small).groupBy("component").agg(F.count("*").alias("size"))
-    # Ranks need an order over components only; they are numbered by range, not in one task.
-    ordered = by.orderBy(F.desc("size"), "component")
-    ranked = cut(ordered.withColumn("_id", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftrightunsigned("_id", 33)
-    sizes = {r.p: r.n for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row per partition
-    base, total = {}, 0
-    for p in sorted(sizes):
-        base[p], total = total, total + sizes[p]
-    start = F.create_map(*(F.lit(x) for pair in base.items() for x in pair)) if base else None
-    rank = (start[part] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint") if base else F.lit(0).cast("bigint")
-    rows = ranked.select("component", rank.alias("rank"), "size")
+    ranked = numbered(by.withColumn("_less", -F.col("size")), [], ["_less", "component"], "rank")
+    rows = ranked.select("component", "rank", "size")
     return rows.withColumn("label", F.when(F.col("rank") == 0, "main").otherwise(F.concat(F.lit("island-"), F.col("rank").cast("string"))))
 
 
@@ -320,6 +312,34 @@ def cascade(relationships: DataFrame, start: str, small: int = SMALL) -> DataFra
     return rows.select("node", "depth", "parent", action.alias("action"))
 
 
+def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int = 5, direction: str = "out", small: int = SMALL) -> DataFrame:
+    """(node, type, depth, parent, kind, leaf) of what changes to `starts` (node) affect, at most `max_depth` steps away.
+
+    `direction` follows edges `out` of an object or `in` to it. `nodes` (node, type) give types, "unknown" where there is none;
+    `kind` is direct for one step, else transitive; a leaf leads to nothing further. Several starts give one merged
+    result: each object once, at its least depth.
+    """
+    if direction not in ("out", "in"):
+        raise ValueError("direction is out or in")
+    e = edges.select("src", "dst") if direction == "out" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = cut(reach(e, starts, max_depth, small), "impact")
+    types = nodes.select(F.col("node").alias("_n"), "type").dropDuplicates(["_n"])
+    used = found.where("parent IS NOT NULL").select(F.col("parent").alias("_p"), F.lit(True).alias("_leads")).distinct()
+    rows = found.where("depth > 0").join(types, F.col("node") == F.col("_n"), "left").join(used, F.col("node") == F.col("_p"), "left")
+    kind = F.when(F.col("depth") == 1, "direct").otherwise("transitive")
+    return rows.select("node", F.coalesce("type", F.lit("unknown")).alias("type"), "depth", "parent", kind.alias("kind"), F.col("_leads").isNull().alias("leaf"))
+
+
+def impact_paths(found: DataFrame) -> DataFrame:
+    """(node, path) of each leaf of an `impact`: the objects from a start to it. As many joins as it is deep."""
+    up = found.select(F.col("node").alias("_n"), F.col("parent").alias("_up"))
+    rows = found.where("leaf").select("node", F.col("parent").alias("at"), F.array("node").alias("path"))
+    for _ in range(found.agg(F.max("depth")).first()[0] or 0):
+        rows = rows.withColumn("path", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")))
+        rows = rows.join(up, F.col("at") == F.col("_n"), "left").select("node", F.col("_up").alias("at"), "path")
+    return rows.select("node", "path")
+
+
 def _weights(edges: DataFrame) -> DataFrame:
     """Undirected edges without loops as (src, dst, w), src < dst."""
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))

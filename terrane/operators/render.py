@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.numbering import numbered
+
 
 def csv_line(*cells: str | Column) -> Column:
     """Every cell quoted, quotes doubled, null as empty."""
@@ -42,7 +44,6 @@ def mermaid_edges(relationships: DataFrame) -> DataFrame:
 
 def grid(tables: DataFrame, columns: int = 3, width: int = 320, height: int = 240) -> DataFrame:
     """(full_name, x, y): tables of each schema in name order on a grid of `columns` columns."""
-    from pyspark.sql import Window as W
-
-    at = F.row_number().over(W.partitionBy("schema_name").orderBy("full_name")) - 1
-    return tables.select("schema_name", "full_name", (F.pmod(at, F.lit(columns)) * width).alias("x"), (F.floor(at / columns) * height).cast("int").alias("y"))
+    at = F.col("place")
+    rows = numbered(tables.select("schema_name", "full_name"), ["schema_name"], ["full_name"])
+    return rows.select("schema_name", "full_name", (F.pmod(at, F.lit(columns)) * width).cast("int").alias("x"), (F.floor(at / columns) * height).cast("int").alias("y"))

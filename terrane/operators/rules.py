@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.names import sequence_key, version_key
 from terrane.functions.versions import base_name, file_description, file_kind, file_version
+from terrane.operators.numbering import numbered
 from terrane.session import cut
 
 LEVELS = ("SAFE", "MEDIUM_RISK", "HIGH_RISK", "DANGEROUS")
@@ -395,9 +396,8 @@ def version_gaps(numbers: DataFrame, group: str, value: str) -> DataFrame:
 def order_check(files: DataFrame, path_col: str, version_col: str) -> DataFrame:
     """Per folder each file's rank by name and by version; `renumbered` is the rank by version, `moved` where they differ."""
     rows = files.select(F.col(path_col).alias("filename"), F.regexp_extract(path_col, "^(.*)/", 1).alias("folder"), version_key(F.col(version_col)).alias("k")).distinct()
-    by_name = F.row_number().over(W.partitionBy("folder").orderBy("filename"))
-    by_version = F.row_number().over(W.partitionBy("folder").orderBy("k", "filename"))
-    rows = rows.select("folder", "filename", by_name.alias("by_name"), by_version.alias("renumbered"))
+    rows = numbered(numbered(rows, ["folder"], ["filename", "k"], "by_name"), ["folder"], ["k", "filename"], "renumbered")
+    rows = rows.select("folder", "filename", (F.col("by_name") + 1).cast("int").alias("by_name"), (F.col("renumbered") + 1).cast("int").alias("renumbered"))
     return rows.withColumn("moved", F.col("by_name") != F.col("renumbered"))
 
 

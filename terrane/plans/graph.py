@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.names import norm_name
 from terrane.operators import catalog, graph, hierarchy, rules
-from terrane.plans.catalog import _PAIRS, _R, _T, tables
+from terrane.plans.catalog import _P_EDGES, _PAIRS, _PROPERTIES, _R, _T, columns, tables
 from terrane.plans.problems import _P3_CTE
 from terrane.plans.registry import query, table
 from terrane.session import cut
@@ -241,3 +241,36 @@ def schema_domains(spark, d):
     """Schemas as domains, named by the words of their tables' names."""
     t = tables(spark, d)
     return catalog.domains(edges(spark, d), t.select(F.col("full_name").alias("node"), F.col("schema_name").alias("community")))
+
+
+_IMPACT = _PROPERTIES.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + f""", pe AS ({_P_EDGES}),
+b(node, depth) AS (SELECT full_name, 0 FROM t WHERE starts_with(full_name, 'CLINIC.') UNION SELECT pe.src, depth + 1 FROM b JOIN pe ON pe.dst = b.node WHERE depth < 4),
+m AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1),
+f AS (SELECT m.node, m.depth, min(q.node) AS parent FROM m JOIN pe ON pe.src = m.node JOIN m q ON q.node = pe.dst AND q.depth = m.depth - 1 WHERE m.depth > 0 GROUP BY 1, 2)
+"""
+
+
+def _impact(spark, d):
+    t, c = tables(spark, d), columns(spark, d)
+    starts = t.where("startswith(full_name, 'CLINIC.')").select(F.col("full_name").alias("node"))
+    return graph.impact(catalog.property_edges(t, c), catalog.property_nodes(t, c), starts, 4, "in")
+
+
+@query(
+    "impact_objects",
+    _IMPACT + """SELECT f.node, coalesce(n.type, 'unknown') AS type, depth::INT AS depth, parent, CASE WHEN depth = 1 THEN 'direct' ELSE 'transitive' END AS kind,
+  f.node NOT IN (SELECT parent FROM f) AS leaf FROM f LEFT JOIN n ON n.node = f.node""",
+)
+def impact_objects(spark, d):
+    """What depends on the tables of one schema, through all kinds of edges."""
+    return _impact(spark, d)
+
+
+@query(
+    "impact_paths",
+    _IMPACT + """, w(node, up, path) AS (SELECT node, parent, [node] FROM f WHERE node NOT IN (SELECT parent FROM f)
+  UNION ALL SELECT w.node, f.parent, list_prepend(w.up, path) FROM w LEFT JOIN f ON f.node = w.up WHERE w.up IS NOT NULL)
+SELECT node, path FROM w WHERE up IS NULL""",
+)
+def impact_paths(spark, d):
+    return graph.impact_paths(cut(_impact(spark, d), "found"))
