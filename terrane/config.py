@@ -20,6 +20,8 @@ class Settings:
     question_chunks: int = 6
     naming_pattern: str = "^[a-z0-9_]+$"
     cost_profile: str = "default"
+    recursive: bool = True
+    gate_level: str = "HIGH_RISK"
 
     @classmethod
     def load(cls, env: dict[str, str] | None = None, folders: tuple[Path, ...] | None = None) -> Settings:
@@ -31,7 +33,8 @@ class Settings:
         for f in fields(cls):
             value = env.get(PREFIX + f.name.upper(), held.get(f.name))
             if value is not None:
-                setattr(out, f.name, type(getattr(out, f.name))(value))
+                kind = type(getattr(out, f.name))
+                setattr(out, f.name, parse_bool(str(value)) if kind is bool else kind(value))
         return out
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.names import domain_prefix
+from terrane.functions.names import domain_prefix, norm_name
 from terrane.operators import graph
 from terrane.session import cut
 
@@ -102,6 +102,40 @@ def filter_tables(
     return kept.select("full_name", "column_count", mark(F.col("has_pk")).alias("pk"), "fk_out", "fk_in", mark(orphan).alias("orphan"), "created_in")
 
 
+def tables_in_schema(tables: DataFrame, *schemas: str) -> DataFrame:
+    return tables.where(F.upper("schema_name").isin(*(x.upper() for x in schemas)))
+
+
+def find_table(tables: DataFrame, name: str) -> DataFrame:
+    """The table of that full name, else the first by full name of those with that short name, in any case; no row if there is none."""
+    full, short = F.upper("full_name") == name.upper(), F.upper("name") == name.upper()
+    return tables.where(full | short).orderBy(F.when(full, 0).otherwise(1), "full_name").limit(1)
+
+
+def filter_findings(findings: DataFrame, severity: str | None = None, codes: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Distinct findings of a severity, of some codes, and of tables whose normalised name begins with `prefix`."""
+    kept = findings if severity is None else findings.where(F.col("severity") == severity)
+    kept = kept.where(F.col("code").isin(*codes)) if codes else kept
+    return (kept.where(norm_name(F.col("table_name")).startswith(prefix)) if prefix else kept).distinct()
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """Findings and their distinct tables per severity and code; exact repeats count once."""
+    return findings.distinct().groupBy("severity", "code").agg(F.count("*").alias("n"), F.countDistinct(norm_name(F.col("table_name"))).alias("tables"))
+
+
+def top_findings(findings: DataFrame, k: int = 20) -> DataFrame:
+    """The `k` findings first by severity, table (none is first), code and id."""
+    f = findings.distinct().withColumn("table_name", F.coalesce("table_name", F.lit("")))
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return f.orderBy(rank, "table_name", "code", "finding_id").limit(k).select("finding_id", "severity", "table_name", "code")
+
+
+def latest(rows: DataFrame, key: str, order: list[str], field: str) -> DataFrame:
+    """Per key the `field` of its last row by `order`, the greatest first order column, and the number of rows."""
+    return rows.groupBy(key).agg(F.max_by(field, F.struct(*order)).alias(field), F.max(order[0]).alias(order[0]), F.count("*").alias("n"))
+
+
 def filter_columns(
     columns: DataFrame,
     table: str | None = None,

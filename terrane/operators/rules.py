@@ -197,6 +197,13 @@ def safety(kinds: DataFrame) -> DataFrame:
     return by.withColumn("needs_approval", F.col("level").isin("HIGH_RISK", "DANGEROUS"))
 
 
+def gate(safe: DataFrame, level: str = "HIGH_RISK") -> DataFrame:
+    """(files, blocked, exit_code) in one row: files at `level` or above are blocked, and any of them makes the exit code 1."""
+    order = _lookup(F.col("level"), {x: i for i, x in enumerate(LEVELS)})
+    blocked = F.count_if(order >= LEVELS.index(level))
+    return safe.agg(F.count("*").alias("files"), blocked.alias("blocked"), F.when(blocked > 0, 1).otherwise(0).alias("exit_code"))
+
+
 def cost(kinds: DataFrame, profile: str = "default", mib_per_second: float = 100.0, rows: int = 100_000, row_bytes: int = 200) -> DataFrame:
     """Per file the clamped sum of weights, its grade, and the time estimated for tables of `rows` rows."""
     factors = PROFILES[profile]

@@ -78,7 +78,7 @@ def missing_fk(spark, d):
 
 @query("schema_tables", f"WITH {_T} SELECT schema_name, count(*) AS tables, sum(column_count)::BIGINT AS columns FROM t WHERE upper(schema_name) IN ('CORE', 'STOCK') GROUP BY 1")
 def schema_tables(spark, d):
-    rows = tables(spark, d).where(F.upper("schema_name").isin("CORE", "STOCK"))
+    rows = c.tables_in_schema(tables(spark, d), "core", "stock")
     return rows.groupBy("schema_name").agg(F.count("*").alias("tables"), F.sum("column_count").alias("columns"))
 
 
@@ -350,8 +350,7 @@ def graph_warnings(spark, d):
 SELECT severity, code, count(*) AS n, count(DISTINCT upper(trim(replace(table_name, '"', '')))) AS tables FROM f GROUP BY 1, 2""",
 )
 def finding_counts(spark, d):
-    f = table(spark, d, "findings").distinct()
-    return f.groupBy("severity", "code").agg(F.count("*").alias("n"), F.countDistinct(norm_name(F.col("table_name"))).alias("tables"))
+    return c.finding_counts(table(spark, d, "findings"))
 
 
 @query(
@@ -359,8 +358,8 @@ def finding_counts(spark, d):
     """SELECT DISTINCT finding_id, code, table_name FROM findings WHERE severity = 'error' AND code IN ('NO_PK', 'UNRESOLVED_FK') AND starts_with(upper(trim(replace(table_name, '"', ''))), 'BILLING.')""",
 )
 def findings_filter(spark, d):
-    f = table(spark, d, "findings").where("severity = 'error' AND code IN ('NO_PK', 'UNRESOLVED_FK')")
-    return f.where(norm_name(F.col("table_name")).startswith("BILLING.")).select("finding_id", "code", "table_name").distinct()
+    f = table(spark, d, "findings").select("finding_id", "code", "severity", "table_name")
+    return c.filter_findings(f, "error", ("NO_PK", "UNRESOLVED_FK"), "BILLING.").select("finding_id", "code", "table_name")
 
 
 @query(
@@ -369,6 +368,9 @@ def findings_filter(spark, d):
 ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, coalesce(table_name, ''), code, finding_id LIMIT 20""",
 )
 def top_findings(spark, d):
-    f = table(spark, d, "findings").distinct().withColumn("table_name", F.coalesce("table_name", F.lit("")))
-    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return f.orderBy(rank, "table_name", "code", "finding_id").limit(20).select("finding_id", "severity", "table_name", "code")
+    return c.top_findings(table(spark, d, "findings"), 20)
+
+
+@query("find_table", f"WITH {_T} SELECT full_name, column_count FROM (SELECT * FROM t WHERE upper(name) = 'LEDGER_ENTRY' OR upper(full_name) = 'LEDGER_ENTRY' ORDER BY upper(full_name) <> 'LEDGER_ENTRY', full_name LIMIT 1)")
+def find_table(spark, d):
+    return c.find_table(tables(spark, d), "ledger_entry").select("full_name", "column_count")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrane.functions.names import version_key
-from terrane.operators import changefeed, diff
+from terrane.operators import catalog, changefeed, diff
 from terrane.plans.catalog import columns, tables
 from terrane.plans.problems import P5_SQL
 from terrane.plans.registry import query, table
@@ -173,8 +173,7 @@ def state_at(spark, d):
     "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, count(*) AS events FROM events GROUP BY 1",
 )
 def latest_state(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"), F.count("*").alias("events"))
+    return catalog.latest(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").withColumnRenamed("n", "events")
 
 
 @query(

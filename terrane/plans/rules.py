@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import types, versions
 from terrane.functions.names import norm_name
+from terrane.operators import migrations
 from terrane.operators import rules as r
 from terrane.plans.catalog import _C, _T, columns
 from terrane.plans.registry import query, table
@@ -75,8 +76,7 @@ def safety_levels(spark, d):
 
 @query("threshold_gates", f"WITH {_K}, g AS (SELECT source_file, max({_LEVEL}) AS l FROM k GROUP BY 1) SELECT count(*) AS files, count(*) FILTER (WHERE l >= 2) AS blocked, CASE WHEN count(*) FILTER (WHERE l >= 2) > 0 THEN 1 ELSE 0 END AS exit_code FROM g")
 def threshold_gates(spark, d):
-    blocked = F.count_if("needs_approval")
-    return r.safety(kinds(spark, d)).agg(F.count("*").alias("files"), blocked.alias("blocked"), F.when(blocked > 0, 1).otherwise(0).alias("exit_code"))
+    return r.gate(r.safety(kinds(spark, d)), "HIGH_RISK")
 
 
 def _cost_sql(profile: str) -> str:
@@ -502,3 +502,28 @@ def pr_extract(spark, d):
         .otherwise(F.concat(F.lit("merge branch 'pr/"), i, F.lit("'")))
     )
     return table(spark, d, "findings").select("finding_id", "message").distinct().select("finding_id", versions.pr_number(msg).alias("pr"))
+
+
+_NODES = f"""n AS (SELECT source_file, min(version) AS version, replace(regexp_extract(list_last(string_split(source_file, '/')), {_FILE}, 3), '_', ' ') AS description,
+  list_sort(list_distinct(list({_NORM}) FILTER (WHERE operation = 'CREATE_TABLE'))) AS creates,
+  list_sort(list_distinct(list({_NORM}) FILTER (WHERE operation IN ('ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX')))) AS alters FROM operations GROUP BY 1)"""
+
+
+@query("migration_timeline", f"WITH {_NODES} SELECT source_file, version, description, coalesce(creates, []) AS creates, coalesce(alters, []) AS alters, row_number() OVER (ORDER BY version, source_file) - 1 AS place FROM n")
+def migration_timeline(spark, d):
+    """Files with what they create and change, in the order of their versions as text."""
+    return migrations.timeline(migrations.nodes(table(spark, d, "operations")))
+
+
+@query(
+    "migration_dot",
+    f"""WITH {_NODES}, s AS (SELECT {_NORM} AS t, operation, source_file, list_resize({_VK.format("version")}, 12, 0) AS v, statement_index FROM operations),
+c AS (SELECT t, arg_max(source_file, (v, statement_index)) AS creator FROM s WHERE operation = 'CREATE_TABLE' GROUP BY 1),
+u AS (SELECT DISTINCT t, source_file FROM s WHERE operation IN ('ADD_COLUMN', 'DROP_COLUMN', 'MODIFY_COLUMN', 'ADD_CONSTRAINT', 'DROP_TABLE', 'CREATE_INDEX'))
+SELECT 0 AS part, source_file, '  "' || source_file || '" [label="' || concat_ws('\\n', version, description) || '", fillcolor=' || CASE WHEN len(creates) > 0 THEN 'lightgreen' WHEN len(alters) > 0 THEN 'lightyellow' ELSE 'lightblue' END || ', style="filled,rounded"];' AS line FROM n
+UNION ALL SELECT DISTINCT 1, source_file, '  "' || source_file || '" -> "' || creator || '";' FROM u JOIN c USING (t) WHERE creator <> source_file""",
+)
+def migration_dot(spark, d):
+    """The lines of the graph of files."""
+    ops = table(spark, d, "operations")
+    return migrations.dot_lines(migrations.nodes(ops), migrations.edges(ops))

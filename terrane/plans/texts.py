@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrane.operators import catalog, render, retrieval
 from terrane.plans.catalog import _C, _R, _T, columns, tables
 from terrane.plans.registry import query, table
+from terrane.sources import migrations
 from terrane.streaming import watch
 
 QUESTION = "Which foreign key references the ledger entry when a migration script drops an old index, and which script fails?"
@@ -119,9 +120,9 @@ def grid_layout(spark, d):
 @query("cache_misses", "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text NOT IN (SELECT content FROM chunks WHERE content IS NOT NULL) GROUP BY 1")
 def cache_misses(spark, d):
     """Distinct texts, by content hash, that are not cached yet."""
-    held = table(spark, d, "chunks").where("content IS NOT NULL").select(F.sha2("content", 256).alias("_h"))
+    held = table(spark, d, "chunks").where("content IS NOT NULL").select(F.sha2("content", 256).alias("cache_key"))
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return docs.join(held, F.col("hash") == F.col("_h"), "left_anti").groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return migrations.lacking(docs, held, "hash").groupBy("hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
 @query(

@@ -33,5 +33,16 @@ def content_key(files: DataFrame) -> DataFrame:
 
 def uncached(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files whose key the cache lacks (left anti)."""
-    held = cache.select(F.col("cache_key").alias("_k"))
-    return content_key(files).join(held, F.col("cache_key") == F.col("_k"), "left_anti")
+    return lacking(content_key(files), cache, "cache_key")
+
+
+def lacking(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Rows whose `key` is no cache_key of the cache."""
+    return rows.join(cache.select(F.col("cache_key").alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+
+
+def dump(spark: SparkSession, path: str) -> DataFrame:
+    """The tables of a snapshot that `sinks.snapshot_json` wrote: (full_name, created_in, table_comment, columns), camel-cased or not."""
+    body = spark.read.option("multiLine", True).json(path).select(F.explode("tables").alias("t")).select("t.*")
+    pick = lambda *names: next((F.col(n) for n in names if n in body.columns), F.lit(None))
+    return body.select(pick("fullName", "full_name").alias("full_name"), pick("createdIn", "created_in").cast("string").alias("created_in"), pick("tableComment", "table_comment").cast("string").alias("table_comment"), "columns")

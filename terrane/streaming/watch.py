@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,6 +35,56 @@ def check_shrink(old: int, new: int, least: float = 0.8, force: bool = False) ->
         raise Shrunk(f"{new} objects after {old}")
 
 
+class Busy(RuntimeError):
+    """Another process builds already."""
+
+
+class BuildLock:
+    """One build at a time of those that share a file: `with BuildLock(path):`. A file left by a process that is gone is taken over."""
+
+    def __init__(self, path: str):
+        self.path = Path(path)
+
+    def __enter__(self) -> BuildLock:
+        try:
+            handle = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            held = self.path.read_text().strip()
+            if held.isdigit() and not os.path.exists(f"/proc/{held}"):
+                self.path.unlink(missing_ok=True)
+                return self.__enter__()
+            raise Busy(f"process {held or 'unknown'} builds already") from None
+        with os.fdopen(handle, "w") as f:
+            f.write(str(os.getpid()))
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.path.unlink(missing_ok=True)
+
+
+def watch_schema(spark: SparkSession, folder: str, react: Callable, checkpoint: str, lock: str, every: str | None = None, force: bool = False):
+    """Call `react(schema)` with the schema of the whole folder whenever .sql files came to it, one build at a time.
+
+    What comes within one trigger (`every`, such as "2 seconds") is one burst and one rebuild. A schema that has lost
+    more than a fifth of its tables since the last rebuild raises Shrunk unless `force` is given.
+    """
+    from terrane.engine import Schema
+
+    last = {"tables": 0}
+
+    def rebuild(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        with BuildLock(lock):
+            schema = Schema.read(spark, folder)
+            n = schema.tables.count()
+            check_shrink(last["tables"], n, force=force)
+            last["tables"] = n
+            react(schema)
+
+    return watch_files(spark, folder, rebuild, checkpoint, every)
+
+
 def watch_files(spark: SparkSession, folder: str, react: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Call `react(rows, batch)` with (filename, sql) of the .sql files that come to `folder`; without `every`, for what is there now."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sql").load(folder)
