@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -80,7 +80,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: in
     """The `k` vectors nearest to each of `queries` (vec_id, embedding): (query_id, vec_id, score, rank), the greater id first on ties.
 
     A stated set of queries against all rows: queries go out in blocks of `block`, each task keeps its best `k` per
-    query and batch, and only those meet in the shuffle. Null ids, and vectors that are null or of another length
+    query, and only those meet in the shuffle. Null ids, and vectors that are null or of another length
     than the query, are passed over; repeated vectors count once.
     """
     spark = vectors.sparkSession
@@ -97,6 +97,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: in
             for size in {len(v) for _, v in sent.value}:
                 same = [(i, v) for i, v in sent.value if len(v) == size]
                 by_size[size] = np.array([i for i, _ in same]), np.stack([v for _, v in same])
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by size: ids and scores of the k best of each query so far
             for batch in batches:
                 sizes = batch["embedding"].map(len)
                 for size, (ids, q) in by_size.items():
@@ -104,11 +105,21 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: in
                     if not len(part) or not size:
                         continue
                     v, vec = np.stack(part["embedding"].to_numpy()).astype(float), part["vec_id"].to_numpy()
-                    score = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9)
-                    score = np.round(score, 4)
-                    for i, row in zip(ids, score, strict=True):
-                        top = np.lexsort((-vec, -row))[:k]
-                        yield pd.DataFrame({"query_id": i, "vec_id": vec[top], "score": row[top]})
+                    score = np.round((q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :] + 1e-9), 4)
+                    vec = np.broadcast_to(vec, score.shape)
+                    if size in best:
+                        vec, score = np.hstack([best[size][0], vec]), np.hstack([best[size][1], score])
+                    # A vector that an earlier batch had too is there twice, so a few more than k are kept.
+                    top = np.lexsort((-vec, -score), axis=1)
+                    vec, score = np.take_along_axis(vec, top, 1), np.take_along_axis(score, top, 1)
+                    again = np.zeros(score.shape, dtype=bool)
+                    again[:, 1:] = vec[:, 1:] == vec[:, :-1]
+                    first = np.argsort(again, axis=1, kind="stable")[:, :k]
+                    best[size] = np.take_along_axis(vec, first, 1), np.take_along_axis(np.where(again, -2.0, score), first, 1)
+            for size, (vec, score) in best.items():
+                ids = np.repeat(by_size[size][0], vec.shape[1])
+                kept = score.ravel() >= -1.5
+                yield pd.DataFrame({"query_id": ids[kept], "vec_id": vec.ravel()[kept], "score": score.ravel()[kept]})
 
         parts.append(rows.mapInPandas(nearest, "query_id long, vec_id long, score double"))
     found = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").cast("decimal(18,4)").alias("score"))
@@ -214,3 +225,31 @@ def history(turns: DataFrame, key: str, order: str, max_turns: int) -> DataFrame
     """The last 2 * max_turns rows of each conversation."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
     return turns.withColumn("_r", rank).where(F.col("_r") <= 2 * max_turns).drop("_r")
+
+
+def make_retriever(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, vectors: DataFrame | None = None) -> Callable[[str, int], DataFrame]:
+    """A function of question and k to (chunk_id, score): by cosine if there are an `embed` function and `vectors` (vec_id, chunk_id, embedding), else by words.
+
+    `embed` turns texts into vectors; a question's vector is made on the driver, those of chunks by `embed_chunks`.
+    """
+    if embed is None or vectors is None:
+        return lambda question, k=6: bm25(chunks, question, k)
+
+    def search(question: str, k: int = 6) -> DataFrame:
+        top = cosine_top(vectors, embed([question])[0], k)
+        return top.join(vectors.select("vec_id", "chunk_id"), "vec_id").select("chunk_id", "score")
+
+    return search
+
+
+def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 96) -> DataFrame:
+    """(vec_id, chunk_id, embedding) of chunks (chunk_id, content): `embed` is called in the tasks, with at most `batch` texts at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), batch):
+                own = part.iloc[at : at + batch]
+                yield pd.DataFrame({"vec_id": own["vec_id"], "chunk_id": own["chunk_id"], "embedding": [list(map(float, v)) for v in embed(own["content"].fillna("").tolist())]})
+
+    rows = chunks.where("chunk_id IS NOT NULL").select(F.xxhash64("chunk_id").alias("vec_id"), "chunk_id", "content")
+    return rows.mapInPandas(run, "vec_id long, chunk_id string, embedding array<double>")

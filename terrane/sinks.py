@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrane.operators import catalog, render
+from terrane.operators import catalog, graph, migrations, render
 from terrane.operators.diff import full_diff
 
 MAX_DRAWN = 20_000  # objects of one diagram or page; more are refused, as they are drawn on the driver
@@ -161,21 +161,139 @@ def html(tables: DataFrame, columns: DataFrame, findings: DataFrame | None = Non
 
 def graph_json(tables: DataFrame, communities: DataFrame) -> str:
     """Nodes with community and degree, and links."""
+    return json.dumps(_graph(tables, communities), indent=1)
+
+
+def _graph(tables: DataFrame, communities: DataFrame) -> dict:
     d = catalog.with_degrees(tables).select("full_name", (F.col("fk_in") + F.col("fk_out")).alias("degree"))
     nodes = d.join(communities.withColumnRenamed("node", "full_name"), "full_name", "left").orderBy("full_name")
     links = catalog.fk_edges(tables).orderBy("src", "dst")
-    body = {"nodes": [{"id": r.full_name, "degree": r.degree, "community": r.community} for r in _few(nodes)], "links": [{"source": r.src, "target": r.dst} for r in _few(links)]}
-    return json.dumps(body, indent=1)
+    return {"nodes": [{"id": r.full_name, "degree": r.degree, "community": r.community} for r in _few(nodes)], "links": [{"source": r.src, "target": r.dst} for r in _few(links)]}
+
 
+# The ten colours of communities.
+COLOURS = ("#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC")
 
-def report(tables: DataFrame, columns: DataFrame, communities: DataFrame) -> str:
-    """A Markdown report: counts, density, the most linked tables, communities."""
+_PAGE = """<!doctype html><meta charset=utf-8><title>{title}</title><style>body{{font:13px sans-serif;margin:0}}#q{{position:fixed;left:1em;top:1em}}circle{{stroke:#fff}}line{{stroke:#bbb}}</style>
+<input id=q placeholder="name"><svg id=s width=1200 height=800></svg><script>
+const g={body},colours={colours},svg=document.getElementById("s"),make=(n,a)=>{{const e=document.createElementNS("http://www.w3.org/2000/svg",n);for(const k in a)e.setAttribute(k,a[k]);svg.append(e);return e}};
+const names=[...new Set(g.nodes.map(n=>n.community))],at={{}};
+g.nodes.forEach((n,i)=>{{const c=names.indexOf(n.community),t=2*Math.PI*i/g.nodes.length;at[n.id]=[600+(250+20*(c%8))*Math.cos(t),400+(250+20*(c%8))*Math.sin(t)]}});
+g.links.forEach(l=>{{const a=at[l.source],b=at[l.target];if(a&&b)make("line",{{x1:a[0],y1:a[1],x2:b[0],y2:b[1]}})}});
+const drawn=g.nodes.map(n=>{{const e=make("circle",{{cx:at[n.id][0],cy:at[n.id][1],r:4+Math.sqrt(n.degree),fill:n.community=="-1"?"#999":colours[names.indexOf(n.community)%colours.length]}});const t=document.createElementNS("http://www.w3.org/2000/svg","title");t.textContent=n.id+" ("+n.degree+")";e.append(t);return [n.id.toLowerCase(),e]}});
+document.getElementById("q").oninput=e=>drawn.forEach(([n,c])=>c.setAttribute("opacity",n.includes(e.target.value.toLowerCase())?1:.15));
+</script>
+"""
+
+
+def graph_html(tables: DataFrame, communities: DataFrame, title: str = "Schema graph") -> str:
+    """A page that draws tables and foreign keys, coloured by community, with a box that looks for names."""
+    from html import escape
+
+    body = json.dumps(_graph(tables, communities)).replace("</", "<\\/")
+    return _PAGE.format(title=escape(title), body=body, colours=json.dumps(COLOURS))
+
+
+def report(tables: DataFrame, columns: DataFrame, communities: DataFrame, most: int = 20) -> str:
+    """A Markdown report: counts, density, components, the most linked tables, the `most` largest communities and how many there are besides."""
     s = catalog.state_stats(tables, columns).first()
     top = catalog.graph_metrics(tables).collect()
-    groups = communities.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(20).collect()
-    out = ["# Schema", "", f"- tables: {s.tables}", f"- columns: {s.columns}", f"- foreign keys: {s.relationships}", f"- density: {top[0].density if top else 0}", "", "## Most linked", ""]
-    out += [f"- {r.full_name}: {r.degree} ({r.centrality})" for r in top]
-    return "\n".join([*out, "", "## Communities", "", *(f"- {r.community}: {r.n}" for r in groups)]) + "\n"
+    parts = graph.islands(catalog.fk_edges(tables), tables.select(F.col("full_name").alias("node"))).agg(F.count("*").alias("n"), F.max("size").alias("size")).first()
+    groups = catalog.domains(catalog.fk_edges(tables), communities)
+    n = groups.count()
+    shown = groups.orderBy(F.desc("size"), "community").limit(most).collect()
+    out = ["# Schema", "", f"- tables: {s.tables}", f"- columns: {s.columns}", f"- foreign keys: {s.relationships}", f"- density: {top[0].density if top else 0}", f"- components: {parts.n}, the largest of {parts.size or 0} tables"]
+    out += ["", "## Most linked", "", *(f"- {r.full_name}: {r.degree} ({r.centrality})" for r in top), "", "## Communities", ""]
+    out += [f"- {r.name} ({r.community}): {r.size} tables, cohesion {r.cohesion}" for r in shown]
+    return "\n".join([*out, *([f"- and {n - most} smaller ones"] if n > most else [])]) + "\n"
+
+
+def migration_dot(files: DataFrame, links: DataFrame, circular: DataFrame | None = None, critical: DataFrame | None = None) -> str:
+    """The graph of `operators.migrations`; circular files are salmon, those of a longest chain gold."""
+    lines = _few(migrations.dot_lines(files, links, circular, critical).orderBy("part", "source_file", "line"))
+    return "\n".join(["digraph migrations {", "  rankdir=LR;", "  node [shape=box, style=rounded];", *(r.line for r in lines), "}"]) + "\n"
+
+
+def _needs(links: DataFrame) -> DataFrame:
+    return links.groupBy(F.col("source_file").alias("_s")).agg(F.array_sort(F.collect_set("depends_on")).alias("depends_on"))
+
+
+def timeline(files: DataFrame, links: DataFrame) -> str:
+    """One block per file in the order of versions as text: what it creates, changes and depends on."""
+    rows = _few(migrations.timeline(files).join(_needs(links), F.col("source_file") == F.col("_s"), "left").orderBy("place"))
+    out = ["Migration timeline", ""]
+    for r in rows:
+        out.append(f"  {r.version}: {r.description} [{r.source_file}]")
+        out += [f"    {what}: {', '.join(names)}" for what, names in (("creates", r.creates), ("alters", r.alters), ("depends on", r.depends_on)) if names]
+    return "\n".join([*out, "", f"{len(rows)} migrations, {sum(len(r.depends_on or ()) for r in rows)} dependencies"]) + "\n"
+
+
+def migration_json(files: DataFrame, links: DataFrame) -> str:
+    rows = _few(files.join(_needs(links), F.col("source_file") == F.col("_s"), "left").drop("_s").orderBy("version", "source_file"))
+    nodes = [r.asDict() | {"depends_on": r.depends_on or []} for r in rows]
+    edges = [{"from": r["source_file"], "to": x} for r in nodes for x in r["depends_on"]]
+    return json.dumps({"nodes": nodes, "edges": edges, "stats": {"migration_count": len(nodes), "dependency_count": len(edges)}}, indent=1)
+
+
+def dependency_text(files: DataFrame, links: DataFrame, issues: DataFrame, critical: DataFrame) -> str:
+    """Counts, the longest chain, and the issues of `rules.dependency_issues` by severity."""
+    chain = " → ".join(r.node for r in critical.orderBy("level").collect())
+    found = _few(issues.orderBy("severity", "code", "source_file", "object"))
+    out = [f"{files.count()} migrations, {links.count()} dependencies", f"Longest chain: {chain or 'none'}", f"{len(found)} issues"]
+    return "\n".join([*out, *(f"  [{r.severity}] {r.code} {r.source_file}{' ' + r.object if r.object else ''}" for r in found)]) + "\n"
+
+
+def lineage_text(links: DataFrame, start: str, depth: int = 5) -> str:
+    """The columns that (src, dst) leads to from `start`, indented by their distance."""
+    found = _few(graph.reach(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth).orderBy("depth", "node"))
+    return "\n".join("  " * r.depth + r.node + (f" (from {r.parent})" if r.parent else "") for r in found) + "\n"
+
+
+def lineage_mermaid(links: DataFrame, start: str, depth: int = 5) -> str:
+    """The edges of (src, dst) within `depth` steps of `start`, as a Mermaid flow chart."""
+    found = graph.reach(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth)
+    near = found.where(F.col("depth") < depth).select(F.col("node").alias("src"))
+    rows = _few(links.join(near, "src", "left_semi").select("src", "dst", render.identifier(F.col("src")).alias("a"), render.identifier(F.col("dst")).alias("b")).distinct().orderBy("src", "dst"))
+    return "\n".join(["flowchart LR", *(f'    {r.a}["{r.src}"] --> {r.b}["{r.dst}"]' for r in rows)]) + "\n"
+
+
+def lineage_json(links: DataFrame, start: str, depth: int = 5) -> str:
+    found = graph.reach(links, links.sparkSession.createDataFrame([(start,)], "node string"), depth).orderBy("depth", "node")
+    return json.dumps({"start": start, "columns": [r.asDict() for r in _few(found)]}, indent=1)
+
+
+DIAGRAMS = {"dot": ("dot", dot), "mermaid": ("mmd", mermaid), "excalidraw": ("excalidraw", excalidraw), "drawio": ("drawio", drawio)}
+
+
+def export(tables: DataFrame, columns: DataFrame, folder: str, form: str = "all") -> list[str]:
+    """Write the diagram of that form, or of all, to `folder`; the paths written."""
+    if form != "all" and form not in DIAGRAMS:
+        raise ValueError(f"no form {form}; there are all, {', '.join(DIAGRAMS)}")
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    out = []
+    for name, (ending, draw) in DIAGRAMS.items():
+        if form in ("all", name):
+            out.append(str(Path(folder) / f"schema.{ending}"))
+            write_text(draw(tables, columns) if name == "mermaid" else draw(tables), out[-1])
+    return out
+
+
+def plain_yaml(value, depth: int = 0) -> str:
+    """Lists, dictionaries and scalars as YAML; texts are written as JSON strings, which YAML reads."""
+    pad = "  " * depth
+    if isinstance(value, dict):
+        return "".join(f"{pad}{k}:" + (f"\n{plain_yaml(v, depth + 1)}" if isinstance(v, dict | list) and v else f" {json.dumps(v, default=str, ensure_ascii=False)}\n") for k, v in value.items())
+    return "".join(f"{pad}-\n{plain_yaml(v, depth + 1)}" if isinstance(v, dict | list) and v else f"{pad}- {json.dumps(v, default=str, ensure_ascii=False)}\n" for v in value)
+
+
+def snapshot_yaml(tables: DataFrame, columns: DataFrame, version: str | None = None) -> str:
+    return plain_yaml(json.loads(snapshot_json(tables, columns, version)))
+
+
+def snapshot_manifest(tables: DataFrame, columns: DataFrame, version: str | None = None) -> dict:
+    """The snapshot's version, counts and fingerprints."""
+    prints = catalog.fingerprints(columns, tables).orderBy("schema_name")
+    return {"version": version, "stats": catalog.state_stats(tables, columns).first().asDict(), "fingerprints": {r.schema_name or "": r.fingerprint for r in _few(prints)}}
 
 
 def snapshot_json(tables: DataFrame, columns: DataFrame, version: str | None = None) -> str:
@@ -208,3 +326,26 @@ def assert_contract(df: DataFrame, text: str) -> None:
     plain = lambda s: [(f.name, f.dataType) for f in s.fields]
     if plain(df.schema) != plain(want):
         raise ValueError(f"the result is {df.schema.simpleString()}, its contract {want.simpleString()}")
+
+
+class Contracts:
+    """Contracts by name and version: all, one, the latest of a name, those of a command."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, str], dict] = {}
+
+    def add(self, name: str, version: str, schema: StructType, command: str = "", deprecated: bool = False) -> None:
+        self.held[name, version] = {"name": name, "version": version, "schema": schema, "command": command, "deprecated": deprecated}
+
+    def all(self) -> list[dict]:
+        return [self.held[k] for k in sorted(self.held)]
+
+    def get(self, name: str, version: str) -> dict | None:
+        return self.held.get((name, version))
+
+    def latest(self, name: str) -> dict | None:
+        """One that is not deprecated before any that is, then the greatest version as text."""
+        return max((c for (n, _), c in self.held.items() if n == name), key=lambda c: (not c["deprecated"], c["version"]), default=None)
+
+    def of_command(self, command: str) -> list[dict]:
+        return [c for c in self.all() if c["command"] == command]

@@ -11,8 +11,9 @@ from terrane import config, sinks
 from terrane.ddl import lineage
 from terrane.ddl.tokens import statements
 from terrane.engine import Schema
-from terrane.operators import rules
-from terrane.sources import git
+from terrane.operators import graph, retrieval, rules
+from terrane.sources import git, migrations
+from terrane.streaming import watch
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +111,77 @@ def test_git(spark, tmp_path):
     assert [r.filename for r in git.changed_files(spark, str(tmp_path), staged=True).collect()] == ["V2__b.sql"]
     later = p.withColumn("commit", F.lit("z")).where("filename <> 'V2__b.sql'")
     assert {(r.filename, r.status) for r in git.verify(p, later).collect()} == {("V1__a.sql", "commit_changed"), ("V2__b.sql", "missing_in_current")}
+
+
+def test_build_writes_everything(schema, tmp_path):
+    paths = schema.build(str(tmp_path / "out"))
+    assert len(paths) == len(set(paths)) >= 20
+    page = (tmp_path / "out" / "graph.html").read_text()
+    assert "SHOP.GOODS" in page and page.count("</script>") == 1
+    manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert manifest["stats"]["tables"] == 4 and set(manifest["fingerprints"]) == {"SHOP"}
+    assert '"SHOP.GOODS"' in (tmp_path / "out" / "snapshot.yaml").read_text()
+    graph = json.loads((tmp_path / "out" / "migrations.json").read_text())
+    assert graph["stats"]["migration_count"] == len(graph["nodes"]) > 1
+    assert "Longest chain" in (tmp_path / "out" / "dependencies.txt").read_text() and "migrations," in (tmp_path / "out" / "timeline.txt").read_text()
+    back = migrations.dump(schema.files.sparkSession, str(tmp_path / "out" / "snapshot.json"))
+    assert {r.full_name for r in back.collect()} == {r.full_name for r in schema.tables.collect()}
+    with pytest.raises(ValueError):
+        sinks.export(schema.tables, schema.columns, str(tmp_path), "png")
+
+
+def test_simulation_report(schema):
+    r = schema.simulation("ALTER TABLE shop.goods ADD (extra INT);")
+    assert r["success"] and r["rollback"] == "partial" and r["rollback_script"] == "ALTER TABLE SHOP.GOODS DROP COLUMN EXTRA;"
+    assert {(x["table_name"], x["column_name"], x["change"]) for x in r["columns"]} == {("SHOP.GOODS", "EXTRA", "added")}
+    text = schema.simulation_text("DROP TABLE shop.goods; SOMETHING ELSE;", 1)
+    assert "Success: False" in text and "Rollback: irreversible" in text and "more" in text
+
+
+def test_impact_of_changed_files(schema, spark):
+    files = schema.files.where("sql LIKE '%goods%' OR sql LIKE '%GOODS%'").select("filename")
+    starts = schema.changed_tables(files)
+    assert "SHOP.GOODS" in {r.node for r in starts.collect()}
+    found = schema.impact_of(spark.createDataFrame([("SHOP.PEOPLE",)], "node string"))
+    rows = {r.node: r for r in found.collect()}
+    assert rows["SHOP.ORDERS"].kind == "direct" and rows["SHOP.ORDER_LINES"].kind == "transitive" and rows["SHOP.ORDERS"].type == "table"
+    paths = {r.node: r.path for r in graph.impact_paths(found).collect()}
+    assert paths["SHOP.ORDER_LINES"] == ["SHOP.PEOPLE", "SHOP.ORDERS", "SHOP.ORDER_LINES"]
+    with pytest.raises(ValueError):
+        schema.impact_of(starts, direction="up")
+
+
+def test_lineage_renderings(spark):
+    links = spark.createDataFrame([("a.x", "b.x"), ("b.x", "c.x"), ("q.x", "r.x")], "src string, dst string")
+    assert sinks.lineage_text(links, "a.x").splitlines() == ["a.x", "  b.x (from a.x)", "    c.x (from b.x)"]
+    assert sinks.lineage_mermaid(links, "a.x", 1).splitlines() == ["flowchart LR", '    a_x["a.x"] --> b_x["b.x"]']
+    assert [c["node"] for c in json.loads(sinks.lineage_json(links, "a.x"))["columns"]] == ["a.x", "b.x", "c.x"]
+
+
+def test_contracts(schema):
+    held = sinks.Contracts()
+    for version, old in (("1", False), ("2", False), ("3", True)):
+        held.add("stats", version, schema.query("stats").schema, "stats", old)
+    assert held.latest("stats")["version"] == "2" and held.latest("none") is None and len(held.of_command("stats")) == 3 and held.get("stats", "3")["deprecated"]
+
+
+def test_one_build_at_a_time(spark, tmp_path):
+    lock = str(tmp_path / "lock")
+    with watch.BuildLock(lock), pytest.raises(watch.Busy), watch.BuildLock(lock):
+        pass
+    (tmp_path / "lock").write_text("999999999")  # of a process that is gone
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql" / "V1__a.sql").write_text("CREATE TABLE a (x INT); CREATE TABLE b (x INT);")
+    seen = []
+    watch.watch_schema(spark, str(tmp_path / "sql"), lambda s: seen.append(s.tables.count()), str(tmp_path / "check"), lock).awaitTermination()
+    assert seen == [2] and not (tmp_path / "lock").exists()
+
+
+def test_retriever_by_vectors_or_words(schema):
+    chunks = schema.chunks().selectExpr("chunk_id", "chunk_id AS title", "'' AS hint", "content", "CAST(NULL AS TIMESTAMP) AS built_at")
+    embed = lambda texts: [[float(t.count("NICK")), float(t.count("PRICE")), 1.0] for t in texts]
+    vectors = retrieval.embed_chunks(chunks, embed, batch=2)
+    by_vector = retrieval.make_retriever(chunks, embed, vectors)("NICK NICK NICK NICK", 3)
+    assert "table:SHOP.PEOPLE" in {r.chunk_id for r in by_vector.collect()}
+    assert retrieval.make_retriever(chunks)("nick of people", 1).first().chunk_id in {r.chunk_id for r in chunks.collect()}
+    assert {"schema:summary", "schema:relationships"} <= {r.chunk_id for r in chunks.collect()}
