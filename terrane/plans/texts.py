@@ -161,13 +161,13 @@ def _text(x: str) -> str:
 @query(
     "split_statements",
     "SELECT * FROM (VALUES " + ", ".join(f"({_text(n)}, {i}, {_text(x)})" for n, _, own in _SCRIPTS for i, x in enumerate(own)) + """) v(script, statement_no, statement)
-UNION ALL SELECT 'op ' || op_id, 0, rtrim(trim(raw_sql, ' ' || chr(9) || chr(10) || chr(13)), '; ' || chr(9) || chr(10) || chr(13)) FROM operations WHERE raw_sql IS NOT NULL AND NOT contains(raw_sql, '--')""",
+UNION ALL SELECT 'op ' || op_id, 0, rtrim(trim(regexp_replace(raw_sql, '--[^\\n]*$', ''), ' ' || chr(9) || chr(10) || chr(13)), '; ' || chr(9) || chr(10) || chr(13)) FROM operations WHERE raw_sql IS NOT NULL""",
 )
 def split_statements(spark, d):
     """Scripts cut into statements: those above, and every text of the log, each of which is one."""
     from terrane.ddl.extract import split
 
-    ops = table(spark, d, "operations").where("raw_sql IS NOT NULL AND NOT contains(raw_sql, '--')")
+    ops = table(spark, d, "operations").where("raw_sql IS NOT NULL")
     own = spark.createDataFrame([(n, x) for n, x, _ in _SCRIPTS], "filename string, sql string")
     rows = split(own.unionByName(ops.select(F.concat(F.lit("op "), "op_id").alias("filename"), F.col("raw_sql").alias("sql"))))
     return rows.select(F.col("filename").alias("script"), F.col("stmt_idx").alias("statement_no"), F.col("raw_sql").alias("statement"))
