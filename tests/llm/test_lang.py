@@ -114,6 +114,7 @@ def test_one_sentence_of_a_very_long_document_keeps_its_language():
     assert post[n // 2].argmax() == 1
 
 
+# These were at hand when the margin was chosen; what it is worth is for HELD_OUT to say.
 FOREIGN = {
     "pl": "Po zmianie schematu wszystkie raporty trzeba było uruchomić jeszcze raz, ponieważ stare dane były niekompletne.",
     "sv": "Efter ändringen av schemat måste alla rapporter köras om eftersom de gamla uppgifterna var ofullständiga.",
@@ -172,3 +173,30 @@ def test_model_is_saved(tmp_path, model):
     model.save(str(tmp_path / "m"))
     again = lang.Model.load(str(tmp_path / "m"))
     assert again.langs == model.langs and (again.likelihoods([" the road "]) == model.likelihoods([" the road "])).all()
+
+
+# Languages and sentences that had no part in choosing the margin.
+HELD_OUT = {
+    "hu":["A régi adatok hiányosak voltak, ezért minden kimutatást újra le kellett futtatni a szerveren.","Kérjük, ellenőrizze, hogy a szállítási dátum oszlopa helyesen lett-e kitöltve a következő lépés előtt."],
+    "sk":["Staré údaje boli neúplné, preto bolo potrebné znova spustiť všetky zostavy na serveri.","Pred ďalším krokom skontrolujte, či je stĺpec s dátumom dodania správne vyplnený."],
+    "hr":["Stari podaci bili su nepotpuni pa je sva izvješća trebalo ponovno pokrenuti na poslužitelju.","Prije sljedećeg koraka provjerite je li stupac s datumom isporuke ispravno popunjen."],
+    "et":["Vanad andmed olid puudulikud, seetõttu tuli kõik aruanded serveris uuesti käivitada.","Enne järgmist sammu kontrollige, kas tarnekuupäeva veerg on õigesti täidetud."],
+    "lt":["Seni duomenys buvo neišsamūs, todėl visas ataskaitas serveryje teko paleisti iš naujo.","Prieš kitą žingsnį patikrinkite, ar pristatymo datos stulpelis užpildytas teisingai."],
+    "lv":["Vecie dati bija nepilnīgi, tāpēc visi pārskati serverī bija jāpalaiž no jauna.","Pirms nākamā soļa pārbaudiet, vai piegādes datuma kolonna ir aizpildīta pareizi."],
+    "sq":["Të dhënat e vjetra ishin të paplota, prandaj të gjitha raportet u desh të ekzekutoheshin përsëri.","Para hapit tjetër kontrolloni nëse kolona me datën e dorëzimit është plotësuar saktë."],
+    "id":["Data lama tidak lengkap sehingga semua laporan harus dijalankan kembali pada server itu.","Sebelum langkah berikutnya, periksa apakah kolom tanggal pengiriman sudah diisi dengan benar."],
+    "vi":["Dữ liệu cũ không đầy đủ nên tất cả các báo cáo phải được chạy lại trên máy chủ.","Trước bước tiếp theo hãy kiểm tra xem cột ngày giao hàng đã được điền đúng chưa."],
+    "no":["De gamle opplysningene var ufullstendige, og derfor måtte alle rapportene kjøres på nytt i går.","Kontroller at kolonnen med leveringsdatoen er riktig utfylt før du går videre til neste trinn."],
+    "bg":["Старите данни бяха непълни и затова всички отчети трябваше да бъдат изпълнени отново на сървъра.","Преди следващата стъпка проверете дали колоната с датата на доставка е попълнена правилно."],
+    "sr":["Стари подаци су били непотпуни па је све извештаје требало поново покренути на серверу.","Пре следећег корака проверите да ли је колона са датумом испоруке исправно попуњена."],
+    "gl":["Os datos antigos estaban incompletos e por iso houbo que executar de novo todos os informes.","Antes do seguinte paso comprobe se a columna coa data de entrega está ben cuberta."],
+    "af":["Die ou data was onvolledig en daarom moes al die verslae weer op die bediener uitgevoer word.","Kontroleer voor die volgende stap of die kolom met die afleweringsdatum korrek ingevul is."],
+    "uk":["Старі відомості були неповними, тому всі звіти довелося запускати знову на сервері.","Перед наступним кроком перевірте, чи правильно заповнено стовпець із датою доставки."],
+}
+
+
+def test_held_out_languages_are_unknown(spark, fitted):
+    """26 of 30 when this was written; Galician was taken for Spanish and Afrikaans for Dutch."""
+    rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, own in HELD_OUT.items() for t in own)]
+    got = lang.detect(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fitted).collect()
+    assert sum(r.lang == lang.UNKNOWN for r in got) >= 26
