@@ -27,10 +27,17 @@ _EFFECTIVE = ("CREATE_TABLE", "DROP_TABLE", "ADD_COLUMN", "MODIFY_COLUMN", "DROP
 
 
 def _statements(ops: DataFrame) -> DataFrame:
-    """One row per statement key; of several deliveries the first to arrive counts (then the lowest op_id)."""
+    """One row per statement key; of several deliveries the first to arrive counts (then the lowest op_id).
+
+    Deliveries without effect can be the first as well. They are read by themselves, with their key and time only, so that
+    the scan of the others filters on their kind.
+    """
     effective = F.col("operation").isin(*_EFFECTIVE) & F.col("table_name").isNotNull()
     payload = F.struct("version", "operation", "table_name", "column_name", "data_type", "col_defs")
-    by = ops.groupBy("source_file", "statement_index").agg(F.min(F.struct(F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"), "op_id", F.when(effective, payload).alias("p"))).alias("s"))
+    key = ("source_file", "statement_index", F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"), "op_id")
+    told = ops.where(effective).select(*key, payload.alias("p"))
+    silent = ops.where(~F.coalesce(effective, F.lit(False))).select(*key, F.lit(None).cast(told.schema["p"].dataType).alias("p"))
+    by = told.unionByName(silent).groupBy("source_file", "statement_index").agg(F.min(F.struct("arrived_at", "op_id", "p")).alias("s"))
     p = F.col("s.p")
     return by.select(
         "source_file",
