@@ -179,39 +179,51 @@ def map_lines(tables: DataFrame, relationships: DataFrame) -> DataFrame:
     return rows.select("full_name", F.concat("full_name", F.lit(":\n"), F.coalesce("body", F.lit("  (no FK relationships)"))).alias("content"))
 
 
-MAX_SUMMARISED = 50_000  # tables, and foreign keys, that the two chunks of the whole schema name
-
-
 def schema_chunks(tables: DataFrame, columns: DataFrame, relationships: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
     """(chunk_id, content) of the schema's summary and of its relationship map, each one text of all tables in order of name.
 
-    A schema of more than MAX_SUMMARISED tables or keys is refused; `map_lines` has the map in rows.
+    Lines are put in ranges by their order and each range becomes one piece of text, so that only pieces meet in a text's own
+    task. A text is one value of one row, which that task holds a few times over; `map_lines` has the map in rows.
     """
     from terrane.operators.catalog import with_degrees
 
-    listed = lambda df, c: df.select(F.array_sort(F.collect_list(c)).alias("x")).select(F.assert_true(F.size("x") <= MAX_SUMMARISED, "too many objects for one text").alias("ok"), "x")
     kind = F.when((F.col("fk_in") > 0) & (F.col("fk_out") == 0), "root/parent entity").when((F.col("fk_in") > 0) & (F.col("fk_out") > 0), "junction/child entity")
     kind = kind.when(F.col("fk_out") > 0, "leaf/detail entity").otherwise("standalone")
     role = F.concat(F.lit("  "), "full_name", F.lit(": "), kind, F.lit(" (referenced by "), "fk_in", F.lit(", references "), "fk_out", F.lit(")"))
     named = relationships.where("to_table IS NOT NULL")
     edge = F.concat(F.lit("  "), "from_table", F.lit("."), F.array_join("from_cols", ","), F.lit(" → "), "to_table", F.lit("."), F.array_join("to_cols", ","))
-    parts = {
-        "names": listed(tables, F.col("full_name")), "schemas": listed(tables.select("schema_name").where("schema_name IS NOT NULL").distinct(), F.col("schema_name")),
-        "edges": listed(named, edge), "roles": listed(with_degrees(tables), role), "map": listed(map_lines(tables, relationships), F.struct("full_name", "content")),
-        "seqs": listed(sequences if sequences is not None else tables.select(F.col("full_name").alias("sequence")).limit(0), F.col("sequence")),
-    }
-    one = columns.agg(F.count("*").alias("n_columns"))
-    for k, df in parts.items():
-        one = one.withColumn(k, df.where("ok IS NULL").select("x").scalar())
-    size = lambda c: F.size(c).cast("string")
+
+    def lines(rows: DataFrame, part: str, line: Column, key: Column | None = None) -> DataFrame:
+        return rows.select(F.lit(part).alias("part"), (F.lit("") if key is None else key).alias("k"), line.alias("l")).where("l IS NOT NULL")
+
+    parts = [
+        lines(tables, "names", F.col("full_name")), lines(tables.select("schema_name").distinct(), "schemas", F.col("schema_name")), lines(named, "edges", edge),
+        lines(with_degrees(tables), "roles", role), lines(map_lines(tables, relationships), "map", F.col("content"), F.col("full_name")),
+    ]
+    if sequences is not None:
+        parts.append(lines(sequences, "seqs", F.col("sequence")))
+
+    def gathered(rows: DataFrame, by: list[str], order: str, n: Column) -> DataFrame:
+        """Per group its number of lines and their text `l`, in order."""
+        texts = F.transform(F.array_sort("x"), lambda y: y["l"])
+        text = F.when(F.col("part").isin("names", "schemas", "seqs"), F.array_join(texts, ", ")).otherwise(F.array_join(texts, "\n"))
+        return rows.groupBy(*by).agg(n.alias("n"), F.collect_list(F.struct(order, "l")).alias("x")).select(*by, "n", text.alias("l"))
+
+    ranges = reduce(DataFrame.unionByName, parts).repartitionByRange("part", "k", "l").withColumn("_range", F.spark_partition_id())
+    texts = gathered(gathered(ranges, ["part", "_range"], "k", F.count("*")), ["part"], "_range", F.sum("n"))
+    summary_id, map_id = F.lit("schema:summary"), F.lit("schema:relationships")
+    both = columns.agg(F.count("*").alias("n")).select(F.explode(F.array(summary_id, map_id)).alias("chunk_id"), F.lit("columns").alias("part"), "n", F.lit("").alias("l"))
+    rows = texts.withColumn("chunk_id", F.when(F.col("part") == "map", map_id).otherwise(summary_id)).unionByName(both)
+    one = rows.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("part", F.struct("n", "l")))).alias("m"))
+    size = lambda part: F.coalesce(F.col("m")[part]["n"], F.lit(0)).cast("string")
+    text = lambda part: F.coalesce(F.col("m")[part]["l"], F.lit(""))
     summary = F.concat_ws(
-        "\n", F.lit("SCHEMA SUMMARY"), F.concat(F.lit("DB Schemas: "), F.array_join("schemas", ", ")), F.concat(F.lit("Tables: "), size("names"), F.lit(" ("), F.array_join("names", ", "), F.lit(")")),
-        F.concat(F.lit("Sequences: "), size("seqs"), F.lit(" ("), F.array_join("seqs", ", "), F.lit(")")), F.concat(F.lit("Total columns: "), "n_columns"),
-        F.concat(F.lit("FK relationships: "), size("edges")), F.lit("\nRELATIONSHIP MAP:"), F.when(F.size("edges") > 0, F.array_join("edges", "\n")), F.lit("\nTABLE ROLES:"), F.array_join("roles", "\n"),
+        "\n", F.lit("SCHEMA SUMMARY"), F.concat(F.lit("DB Schemas: "), text("schemas")), F.concat(F.lit("Tables: "), size("names"), F.lit(" ("), text("names"), F.lit(")")),
+        F.concat(F.lit("Sequences: "), size("seqs"), F.lit(" ("), text("seqs"), F.lit(")")), F.concat(F.lit("Total columns: "), size("columns")),
+        F.concat(F.lit("FK relationships: "), size("edges")), F.lit("\nRELATIONSHIP MAP:"), F.col("m")["edges"]["l"], F.lit("\nTABLE ROLES:"), text("roles"),
     )
-    whole = F.concat(F.lit("RELATIONSHIP GRAPH (adjacency list)\n\n"), F.array_join(F.transform("map", lambda x: x["content"]), "\n"))
-    both = F.array(F.struct(F.lit("schema:summary").alias("chunk_id"), summary.alias("content")), F.struct(F.lit("schema:relationships").alias("chunk_id"), whole.alias("content")))
-    return one.select(F.explode(both).alias("c")).select("c.*")
+    whole = F.concat(F.lit("RELATIONSHIP GRAPH (adjacency list)\n\n"), text("map"))
+    return one.select("chunk_id", F.when(F.col("chunk_id") == summary_id, summary).otherwise(whole).alias("content"))
 
 
 def prompt(question: str, ranked: DataFrame, chunks: DataFrame) -> str:

@@ -142,6 +142,24 @@ def test_diff_and_integrity(spark):
     assert {r.filename: r.status for r in diff.integrity(diff.manifest(crlf, "p", "t"), diff.manifest(lf, "p", "t")).collect()} == {"f": "clean", "g": "modified", "h": "new"}
 
 
+def test_schema_texts_name_all(spark):
+    n = 50_001  # tables and keys; more than 50,000 were refused
+    cons = "array(struct('F' AS name, 'foreign_key' AS type, array('HUB_ID') AS columns, 'S.T000000' AS ref_table, array('ID') AS ref_columns, CAST(NULL AS string) AS on_delete, CAST(NULL AS string) AS check_expr))"
+    t = spark.range(n).selectExpr("concat('S.T', lpad(id, 6, '0')) AS full_name", "'S' AS schema_name", "array('ID') AS pk_columns", f"{cons} AS constraints")
+    seqs = spark.createDataFrame([("Q2",), ("Q1",), (None,)], "sequence string")
+    got = {r.chunk_id: r.content for r in retrieval.schema_chunks(t, spark.range(3), catalog.relationships(t), seqs).collect()}
+    names = [f"S.T{i:06}" for i in range(n)]
+    role = lambda x: f"junction/child entity (referenced by {n}, references 1)" if x == names[0] else "leaf/detail entity (referenced by 0, references 1)"
+    into = "".join(f"\n  ◀──FK── {x} via HUB_ID" for x in names)
+    summary = "\n".join([
+        "SCHEMA SUMMARY", "DB Schemas: S", f"Tables: {n} ({', '.join(names)})", "Sequences: 2 (Q1, Q2)", "Total columns: 3", f"FK relationships: {n}",
+        "", "RELATIONSHIP MAP:", *(f"  {x}.HUB_ID → S.T000000.ID" for x in names), "", "TABLE ROLES:", *(f"  {x}: {role(x)}" for x in names),
+    ])
+    graph = "RELATIONSHIP GRAPH (adjacency list)\n\n" + "\n".join(f"{x}:\n  ──FK──▶ S.T000000 via HUB_ID{into if x == names[0] else ''}" for x in names)
+    same = got == {"schema:summary": summary, "schema:relationships": graph}
+    assert same  # without the texts, which are long
+
+
 def test_retrieval(spark):
     rows = [("a", "orders of people", "hint", "customers place orders", None), ("b", "people", None, "nobody here", None), ("b", "people", None, "nobody here", None), (None, "orders", "x", "y", None), ("c", None, None, None, None)]
     df = spark.createDataFrame(rows, "chunk_id string, title string, hint string, content string, built_at timestamp")
